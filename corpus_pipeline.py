@@ -1,12 +1,58 @@
-"""The corpus pipeline: quality, near duplicates, benchmark leaks, mixing, sharding."""
+"""The corpus pipeline: quality, near duplicates, benchmark leaks, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and
+read again as the next stage's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scanweave.llm import decontam, minhash, mixing, quality, sharding
+from scanweave.llm.shared import materialise, n_words, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: a row for every whole epoch, and one more where the cut leaves it at least half of its words.
+
+    Documents without words give the mix nothing and are kept once.
+    """
+    sized = docs.withColumn("__size", n_words(F.col("text")))
+    taken = mixing.mix(sized, size=F.col("__size")).select(F.col("doc_id").alias("t_id"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("times"))
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["t_id"]))
+    return rows.where(F.col("times") > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[docs[c] for c in docs.columns])
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of every row of the mix."""
+    return sharding.shard(docs, shards=40).select("doc_id", "size", "shard", "slot")
+
+
+STAGES = [("quality", good_quality), ("near_duplicates", one_of_each), ("decontamination", no_benchmark), ("mixing", mixed), ("sharding", sharded)]
 
-STAGES: list = []
+#: SQL can't express the quality stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
