@@ -73,18 +73,24 @@ def _pieces(keys: np.ndarray, docs: np.ndarray, buckets: int, wanted: Callable,
     if ends:
         last = np.append(first[1:], True) & ~first
         open_keys, open_docs = np.concatenate([open_keys, keys[last]]), np.concatenate([open_docs, docs[last]])
-    rows: dict[str, list] = {"bucket": [], "settled": [], "keys": [], "docs": []}
-    for settled, k, d, by in ((True, keys[done], docs[done], docs[done].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), (False, open_keys, open_docs, open_keys)):
-        bucket = ((by >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket, k, d = bucket[order], k[order], d[order]
-        at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-        for a, b in zip(at, [*at[1:], len(bucket)], strict=True):
-            rows["bucket"].append(int(bucket[a]))
-            rows["settled"].append(settled)
-            rows["keys"].append(k[a:b].tobytes())
-            rows["docs"].append(d[a:b].tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["settled"], pa.bool_()), pa.array(rows["keys"], pa.binary()), pa.array(rows["docs"], pa.binary())], ["bucket", "settled", "keys", "docs"])
+    parts = [(True, x) for x in _dealt(keys[done], docs[done], _spread(docs[done]), buckets)] + [(False, x) for x in _dealt(open_keys, open_docs, open_keys, buckets)]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([x[0] for _, x in parts], pa.int32()), pa.array([settled for settled, _ in parts], pa.bool_()), pa.array([x[1] for _, x in parts], pa.binary()), pa.array([x[2] for _, x in parts], pa.binary())], ["bucket", "settled", "keys", "docs"]
+    )
+
+
+def _spread(docs: np.ndarray) -> np.ndarray:
+    return docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _dealt(keys: np.ndarray, docs: np.ndarray, by: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, keys, docs) of each bucket that by's hashes choose."""
+    bucket = ((by >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, keys, docs = bucket[order], keys[order], docs[order]
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+    for a, b in zip(at, [*at[1:], len(bucket)], strict=True) if len(bucket) else ():
+        yield int(bucket[a]), keys[a:b].tobytes(), docs[a:b].tobytes()
 
 
 def _gathered(found: Iterator[tuple[int, np.ndarray]], buckets: int, wanted: Callable, ends: bool) -> Iterator[pa.RecordBatch]:
@@ -141,30 +147,37 @@ def _extended(buckets: int) -> Callable:
     return run
 
 
-def _settle(wanted: Callable) -> Callable:
-    """For one bucket: (doc_id, keys) of the documents whose keys are wanted."""
+def _gather(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column)])
+
+
+def _settle(wanted: Callable, shares: int) -> Callable:
+    """For one bucket: the wanted (key, doc), dealt into shares by document."""
 
     def run(rows: pa.Table) -> pa.Table:
-        keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        done_keys, done_docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for settled, k, d in zip(rows["settled"].to_pylist(), rows["keys"], rows["docs"], strict=True):
-            (done_keys if settled else keys).append(np.frombuffer(k.as_buffer(), np.uint64))
-            (done_docs if settled else docs).append(np.frombuffer(d.as_buffer(), np.int64))
-        k, d, least, most, _ = _by_key(np.concatenate(keys), np.concatenate(docs))
+        done = rows["settled"].to_numpy()
+        own, known = rows.filter(pa.array(~done)), rows.filter(pa.array(done))
+        k, d, least, most, _ = _by_key(_gather(own["keys"], np.uint64), _gather(own["docs"], np.int64))
         take = wanted(d, least, most)
-        k, d = np.concatenate([k[take], *done_keys]), np.concatenate([d[take], *done_docs])
-        order = np.argsort(d, kind="stable")
-        k, d = k[order], d[order]
-        names, sizes = np.unique(d, return_counts=True)
-        return pa.table({"doc_id": pa.array(names, pa.int64()), "keys": lists(k.view(np.int64), sizes, pa.int64())})
+        k, d = np.concatenate([k[take], _gather(known["keys"], np.uint64)]), np.concatenate([d[take], _gather(known["docs"], np.int64)])
+        parts = list(_dealt(k, d, _spread(d), shares))
+        return pa.table({"share": pa.array([x[0] for x in parts], pa.int32()), "keys": pa.array([x[1] for x in parts], pa.binary()), "docs": pa.array([x[2] for x in parts], pa.binary())})
 
     return run
 
 
-def _settled(pieces: DataFrame, wanted: Callable) -> DataFrame:
-    """(did, keys): a document's wanted keys, sorted."""
-    out = pieces.groupBy("bucket").applyInArrow(_settle(wanted), "doc_id long, keys array<long>")
-    return out.groupBy(F.col("doc_id").alias("did")).agg(F.flatten(F.collect_list("keys")).alias("keys"))
+def _by_document(rows: pa.Table) -> pa.Table:
+    """For one share of the documents: a row with all its keys for each."""
+    k, d = _gather(rows["keys"], np.uint64), _gather(rows["docs"], np.int64)
+    order = np.argsort(d, kind="stable")
+    names, sizes = np.unique(d, return_counts=True)
+    return pa.table({"did": pa.array(names, pa.int64()), "keys": lists(k[order].view(np.int64), sizes, pa.int64())})
+
+
+def _settled(pieces: DataFrame, wanted: Callable, shares: int) -> DataFrame:
+    """(did, keys): a document's wanted keys, a row for each document that has any."""
+    out = pieces.groupBy("bucket").applyInArrow(_settle(wanted, shares), "share int, keys binary, docs binary")
+    return out.groupBy("share").applyInArrow(_by_document, "did long, keys array<long>")
 
 
 def covered(h: np.ndarray, repeated: np.ndarray) -> np.ndarray:
@@ -211,10 +224,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 4000)
-    shared = _settled(cols.mapInArrow(_anchors(buckets), PIECES), _shared)
+    partitions, n = int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count()
+    buckets, shares = max(4 * partitions, n // 4000), max(2 * partitions, n // 8000)
+    shared = _settled(cols.mapInArrow(_anchors(buckets), PIECES), _shared, shares)
     near = materialise(cols.join(shared, cols["doc_id"] == shared["did"]).select("doc_id", "text", "keys"), "anchored")
-    beaten = _settled(near.mapInArrow(_extended(buckets), PIECES), _beaten)
+    beaten = _settled(near.mapInArrow(_extended(buckets), PIECES), _beaten, shares)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     if _repeated_ids(cols):
         both = cols.join(beaten, cols["doc_id"] == beaten["did"], "left").select("doc_id", "text", "keys")
