@@ -75,7 +75,7 @@ def drift(frames: DataFrame, shape: tuple[int, int], reference: str | int = "fir
                 out.append((t, quiet(dy), quiet(dx), s))
             return pd.DataFrame(out, columns=["t", "dy", "dx", "sharpness"])
 
-        return frames.select("t", "frame").groupBy(F.lit(0)).applyInPandas(serial, schema)
+        return frames.select("t", "frame", F.col("t").isNull().alias("g")).groupBy("g").applyInPandas(serial, schema)
     first = frames.agg(F.min("t")).first()[0] if reference == "first" else int(reference)
     row = frames.where(F.col("t") == first).select("frame").first()
     if row is None:
