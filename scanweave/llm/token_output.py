@@ -11,15 +11,17 @@ A shard is one row of a Parquet table in the shared folder (any store that Spark
 writes to; a task's rows appear only when it has ended), its content in the
 layout of `pack`.
 
-Encoding: the tokenizer drops white space and never lets a token, or the
-normalisation, reach across it; so a text's ids are those of its words one
-after the other, and a word that a worker has met before needn't be encoded
-again. The memo is bounded.
+Encoding: the tokenizer splits a text into pieces (runs of letters, digits, runs
+of other marks), drops white space, and encodes each piece by its own. So a piece
+that a worker has met before needn't be encoded again: texts of ASCII and Western
+European letters are split here and their pieces' ids are kept in a bounded memo;
+any other text is encoded by the library as a whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,57 +39,80 @@ SHARD_IDS, ROUNDS, PAIRS, SLOT_BITS = 1_000_000, 6, 2048, 18
 MAGIC = b"RPG1"
 
 
-class WordEncoder:
-    """Ids of texts, by way of their words; flat holds the ids of all known words."""
+#: A text of other characters, or with what may be a special token's name, is encoded by the library as a whole.
+_OTHER = re.compile("[^\\x20-\\x7e\\t\\n\\x0b\\x0c\\r\u00df-\u00f6\u00f8-\u00ff]|<\\|")
+#: The tokenizer's own way to split a text, for the characters that are left.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: The usual characters for bytes in byte-level vocabularies: printable ones stand for themselves, the others follow from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_VISIBLE = dict(zip([b for b in range(256) if b not in _PRINTABLE], range(256, 512), strict=False))
 
-    def __init__(self, path: str, most: int = 600_000):
+
+class _Numbers(dict):
+    """Pieces by number; a new one gets the next number and waits to be learnt."""
+
+    def __init__(self):
+        self.waiting: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.waiting.append(piece)
+        return n
+
+
+class TextEncoder:
+    """Ids of texts, by way of their pieces; flat holds the ids of all known pieces."""
+
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
-        self.memo: dict[bytes, int] = {}
+        self.memo = _Numbers()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
-    def learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        total, known = sum(map(len, ids)), len(self.memo)
+    def learn(self) -> None:
+        pieces, self.memo.waiting = self.memo.waiting, []
+        ids = [[t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_VISIBLE))] for p in pieces]
+        total, known = sum(map(len, ids)), len(self.memo) - len(pieces)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while known + len(words) > len(self.start):
+        while known + len(pieces) > len(self.start):
             self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
         sizes = np.array([len(x) for x in ids], np.int32)
-        self.size[known : known + len(words)] = sizes
-        self.start[known : known + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[known : known + len(pieces)] = sizes
+        self.start[known : known + len(pieces)] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
         self.used += total
-        self.memo.update(zip(words, range(known, known + len(words)), strict=True))
 
     def __call__(self, text: bytes) -> np.ndarray:
-        # the tokenizer lower-cases, except in the names of its special tokens
-        words = (text if b"<|" in text else text.lower()).split()
-        new = set(words).difference(self.memo)
-        if len(self.memo) + len(new) > self.most:
+        whole = text.decode()
+        lower = whole.lower()
+        if _OTHER.search(lower):
+            return np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, np.int32)
+        pieces = _PIECE.findall(lower)
+        if len(self.memo) > self.most:
             self.clear()
-            new = set(words)
-        if new:
-            self.learn(list(new))
-        at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
+        if self.memo.waiting:
+            self.learn()
         size = self.size[at]
         first = np.cumsum(size) - size
         return self.flat[np.repeat(self.start[at] - first, size) + np.arange(size.sum())]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> TextEncoder:
     """A worker's encoder, kept from task to task."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
 
 
@@ -184,6 +209,9 @@ class Shard:
         self.ends = np.cumsum(take("<u4", docs), dtype=np.int64)
         self.symbols = take(f"<u{wide}", symbols).astype(np.uint32)
         self.after = np.cumsum(size[self.symbols])
+        # every symbol's expansion, one after the other
+        self.size, self.start = size, np.cumsum(size) - size
+        self.flat = np.concatenate([np.arange(VOCABULARY, dtype=np.uint32), expand(np.arange(VOCABULARY, VOCABULARY + rules, dtype=np.uint32), self.rules)])
 
     def ids(self, start: int, end: int) -> np.ndarray:
         """The ids from start to end of the shard."""
@@ -191,7 +219,10 @@ class Shard:
             return np.zeros(0, np.uint32)
         a, b = np.searchsorted(self.after, start, "right"), np.searchsorted(self.after, end - 1, "right")
         before = int(self.after[a - 1]) if a else 0
-        return expand(self.symbols[a : b + 1], self.rules)[start - before : end - before]
+        symbols = self.symbols[a : b + 1]
+        size = self.size[symbols]
+        at = np.repeat(self.start[symbols] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return self.flat[at][start - before : end - before]
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document, its end id included."""
@@ -249,8 +280,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, seq, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             shard = Shard(data)
             n = np.diff(shard.ends, prepend=0)
-            whole = shard.ids(0, int(shard.ends[-1])).astype("<u4")
-            crc = [zlib.crc32(whole[e - k : e].tobytes()) for e, k in zip(shard.ends.tolist(), n.tolist(), strict=True)]
+            whole = memoryview(shard.ids(0, int(shard.ends[-1])).astype("<u4", copy=False)).cast("B")
+            crc = [zlib.crc32(whole[4 * (e - k) : 4 * e]) for e, k in zip(shard.ends.tolist(), n.tolist(), strict=True)]
             rows = len(n)
             yield pa.RecordBatch.from_arrays([pa.array([part] * rows, pa.int32()), pa.array([seq] * rows, pa.int32()), pa.array(shard.doc_ids, pa.int64()), pa.array(shard.ends - n), pa.array(n), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
