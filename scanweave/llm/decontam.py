@@ -23,12 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, mixed, text_bytes
+from .shared import WordHashes, text_bytes
 
 #: Offsets that each mask keeps; all of weight six.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 4, 6, 8, 10), (0, 1, 2, 7, 8, 9), (0, 1, 5, 6, 9, 10))
 WINDOW, AGREE, LEAST = 13, 10, 8
 BLOCK_WORDS = 1_000_000
+#: Words of documents taken at once.
+AT_ONCE = 1 << 16
+#: Odd factors for the six kept words.
+_FACTORS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _EDGE = b".,;:!?\"'()[]{}<>*#%&$|/\\-_=+~^`"
 RESULT = "doc_id long, item_id long, agreed int, window int, equal_words int, item_words int, doc_start int, item_start int"
 
@@ -38,15 +42,17 @@ def tokens(text: bytes) -> list[bytes]:
     return [w for w in (x.strip(_EDGE) for x in text.lower().split()) if w]
 
 
-def seeds(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
-    n = len(h) - mask[-1]
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.full(n, mask[-1] * 64 + mask[1], np.uint64)
-    for p in mask:
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[p : p + n]
-        out ^= out >> np.uint64(31)
-    return mixed(out)
+def seeds(h: np.ndarray) -> list[np.ndarray]:
+    """For each mask the seeds at all its places: sums of the words' hashes times a factor for each kept offset. Word hashes are spread evenly, so a factor each is enough."""
+    scaled = [h * np.uint64(f) for f in _FACTORS]
+    out = []
+    for m, mask in enumerate(MASKS):
+        n = max(0, len(h) - mask[-1])
+        s = np.full(n, m, np.uint64)
+        for k, p in enumerate(mask):
+            s += scaled[k][p : p + n]
+        out.append((s ^ (s >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
 class Items:
@@ -57,8 +63,7 @@ class Items:
         self.words = [hashes(tokens(t)) for _, t in rows]
         seed, item, at = [], [], []
         for i, h in enumerate(self.words):
-            for mask in MASKS if len(h) >= LEAST else ():
-                s = seeds(h, mask)
+            for s in seeds(h) if len(h) >= LEAST else ():
                 seed.append(s)
                 item.append(np.full(len(s), i, np.int32))
                 at.append(np.arange(len(s), dtype=np.int32))
@@ -70,23 +75,24 @@ class Items:
         self.bitmap = np.zeros(1 << self.bits, bool)
         self.bitmap[self.seed >> np.uint64(64 - self.bits)] = True
 
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        """Distinct (item, place of the item's first word in h) of the seeds that h shares."""
-        out = [np.zeros((0, 2), np.int64)]
-        for mask in MASKS:
-            s = seeds(h, mask)
+    def hits(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Distinct (document, item, place of the item's first word in the document) of shared seeds; h holds documents one after the other, from starts on."""
+        out = [np.zeros((0, 3), np.int64)]
+        for s in seeds(h):
             p = np.flatnonzero(self.bitmap[s >> np.uint64(64 - self.bits)])
             lo, hi = np.searchsorted(self.seed, s[p], "left"), np.searchsorted(self.seed, s[p], "right")
             n = hi - lo
             if n.any():
                 entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                out.append(np.unique(np.stack([self.item[entry].astype(np.int64), np.repeat(p, n) - self.at[entry]], axis=1), axis=0))
+                p = np.repeat(p, n)
+                doc = np.searchsorted(starts, p, "right") - 1
+                out.append(np.stack([doc, self.item[entry].astype(np.int64), p - starts[doc] - self.at[entry]], axis=1))
         return np.unique(np.concatenate(out), axis=0)
 
-    def overlaps(self, h: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int, int]]:
-        """(item, agreed, window, equal words, item's words, start in h, start in item) of each item's best verified window."""
+    def best(self, h: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+        """(item, agreed, window, equal words, item's words, start in h, start in item) of each item's best verified window, of (item, place) candidates."""
         best: dict[int, tuple] = {}
-        for i, place in self.hits(h).tolist():
+        for i, place in places.tolist():
             item = self.words[i]
             a, b = max(0, place), min(len(h), place + len(item))
             size = min(WINDOW, len(item))
@@ -101,14 +107,34 @@ class Items:
         for i, found in sorted(best.items()):
             yield i, *found
 
+    def overlaps(self, texts: Iterator[bytes], hashes: WordHashes) -> Iterator[tuple]:
+        """(number of the text, *best) for all texts."""
+        held: list[np.ndarray] = []
+        first = size = 0
+
+        def searched() -> Iterator[tuple]:
+            starts = np.cumsum([0, *map(len, held[:-1])])
+            found = self.hits(np.concatenate(held), starts)
+            for d in np.unique(found[:, 0]):
+                for x in self.best(held[d], found[found[:, 0] == d, 1:]):
+                    yield first + int(d), *x
+
+        for t in texts:
+            held.append(hashes(tokens(t)))
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                yield from searched()
+                first, size, held = first + len(held), 0, []
+        if held:
+            yield from searched()
+
 
 def _search(items) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, block = WordHashes(), items.value
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                rows += [(doc, block.ids[i], *x) for i, *x in block.overlaps(hashes(tokens(text)))]
+            doc = batch.column(0).to_pylist()
+            rows = [(doc[n], block.ids[i], *x) for n, i, *x in block.overlaps(text_bytes(batch.column(1)), hashes)]
             cols = list(zip(*rows, strict=True)) or [[]] * 8
             names = [x.split()[0] for x in RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(cols)], names)
@@ -150,8 +176,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
-                keep = [next(items.value.overlaps(hashes(tokens(t))), None) is None for t in text_bytes(batch.column(at))]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+                keep = np.ones(batch.num_rows, bool)
+                keep[[n for n, *_ in items.value.overlaps(text_bytes(batch.column(at)), hashes)]] = False
+                yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(run, docs.schema)
     return out
