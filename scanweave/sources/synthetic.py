@@ -61,3 +61,71 @@ def strained_vectors(spark: SparkSession, ny: int = 4, nx: int = 5, strain: floa
 def particles_at(truth: DataFrame, drift: DataFrame) -> DataFrame:
     """(t, id, y, x): particles (id, birth, death, y, x in the laboratory) present at birth <= t < death, in the sample's frame."""
     return drift.join(truth, (F.col("t") >= F.col("birth")) & (F.col("t") < F.col("death"))).select("t", "id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"))
+
+
+def eels_image(spark: SparkSession, ny: int = 16, nx: int = 16, channels: int = 1024, edges: dict[str, float] | None = None, seed: int = 1) -> DataFrame:
+    """(y, x, spectrum, concentration): 200 to 800 eV, a power law of exponent 3 whose thickness grows with y, and core-loss edges (300, 450 and 600 eV unless given) of concentrations that vary along x; Poisson noise. concentration maps an edge to its truth."""
+    onset = edges or {"A": 300.0, "B": 450.0, "C": 600.0}
+
+    def make(batches):
+        x = np.linspace(200, 800, channels)
+        for rows in batches:
+            out = []
+            for y, xx in rows[["y", "x"]].itertuples(index=False):
+                rng = np.random.default_rng((seed, int(y), int(xx)))
+                u = xx / max(1, nx - 1)
+                c = {n: float(v) for n, v in zip(onset, (u, 1 - u, 0.5), strict=False)}
+                v = (1 + y / ny) * 2e10 * x**-3.0
+                for n, e in onset.items():
+                    v = v + np.where(x >= e, 400 * c.get(n, 0.0) * (x / e) ** -2.5, 0)
+                out.append((int(y), int(xx), rng.poisson(v).astype(float), c))
+            yield pd.DataFrame(out, columns=["y", "x", "spectrum", "concentration"])
+
+    return nav_grid(spark, y=ny, x=nx).mapInPandas(make, "y int, x int, spectrum array<double>, concentration map<string,double>")
+
+
+def eds_image(spark: SparkSession, ny: int = 16, nx: int = 16, channels: int = 2048, lines: dict[str, float] | None = None, seed: int = 2) -> DataFrame:
+    """(y, x, spectrum, concentration): 0 to 20 keV, a falling background and X-ray lines (Fe, Ni and Cu K alpha and beta unless given) of width 0.06 keV; Poisson noise."""
+    at = lines or {"Fe_Ka": 6.40, "Fe_Kb": 7.06, "Ni_Ka": 7.47, "Ni_Kb": 8.26, "Cu_Ka": 8.05, "Cu_Kb": 8.90}
+
+    def make(batches):
+        x = np.linspace(0, 20, channels)
+        for rows in batches:
+            out = []
+            for y, xx in rows[["y", "x"]].itertuples(index=False):
+                rng = np.random.default_rng((seed, int(y), int(xx)))
+                u = xx / max(1, nx - 1)
+                c = {"Fe": u, "Ni": 1 - u, "Cu": y / max(1, ny - 1)}
+                v = 20 * np.exp(-x / 4)
+                for n, e in at.items():
+                    element, line = n.split("_")
+                    v = v + 300 * c.get(element, 0.0) * (1.0 if line == "Ka" else 0.13) * np.exp(-((x - e) ** 2) / (2 * 0.06**2))
+                out.append((int(y), int(xx), rng.poisson(v).astype(float), {k: float(w) for k, w in c.items()}))
+            yield pd.DataFrame(out, columns=["y", "x", "spectrum", "concentration"])
+
+    return nav_grid(spark, y=ny, x=nx).mapInPandas(make, "y int, x int, spectrum array<double>, concentration map<string,double>")
+
+
+def atom_lattice(ny: int = 8, nx: int = 10, spacing: float = 16.0, dumbbell: float = 0.0, displacement: float = 0.0, ellipticity: float = 1.0, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(image, positions (y, x)): Gaussians of width 2.5 on a grid that isn't square; a partner at a distance along x, random displacements and elongation if asked for."""
+    rng = np.random.default_rng(seed)
+    base = np.array([((i + 1) * spacing, (j + 1) * spacing) for i in range(ny) for j in range(nx)])
+    base = base + rng.normal(0, displacement, base.shape) if displacement else base
+    points = np.concatenate([base, base + [0, dumbbell]]) if dumbbell else base
+    yy, xx = np.mgrid[: int((ny + 1) * spacing), : int((nx + 1) * spacing)]
+    image = np.zeros(yy.shape)
+    for y, x in points:
+        image += np.exp(-((yy - y) ** 2) / (2 * 2.5**2) - (xx - x) ** 2 / (2 * (2.5 * ellipticity) ** 2))
+    return image, points
+
+
+def tilt_members(spark: SparkSession, members: int = 7, ny: int = 32, nx: int = 36, most: int = 3, seed: int = 5) -> DataFrame:
+    """(member, tilt, azimuth, frame, true_oy, true_ox): overview images of one area, member 0 untilted and the rest on a ring of 1 degree, displaced by planted whole pixels."""
+    rng = np.random.default_rng(seed)
+    scene = gaussian_filter(rng.normal(size=(ny + 2 * most, nx + 2 * most)), 1.5)
+    rows = []
+    for m in range(members):
+        oy, ox = (0, 0) if m == 0 else (int(v) for v in rng.integers(-most, most + 1, 2))
+        cut = scene[most - oy : most - oy + ny, most - ox : most - ox + nx]
+        rows.append((m, 0.0 if m == 0 else 1.0, 0.0 if m == 0 else 360.0 * (m - 1) / (members - 1), cut.ravel().tolist(), oy, ox))
+    return spark.createDataFrame(rows, "member int, tilt double, azimuth double, frame array<double>, true_oy int, true_ox int")
