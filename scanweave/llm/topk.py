@@ -20,26 +20,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries sent to the executors at once, and the block of scores that a task holds: queries x vectors.
-QUERY_BLOCK, QUERIES, VECTORS = 16_384, 256, 4096
+QUERY_BLOCK, QUERIES, VECTORS = 16_384, 64, 2048
+
+
+def exact_type(queries: np.ndarray, vectors: np.ndarray) -> type:
+    """The narrower integer type that no score, whole or partial, can leave."""
+    top = lambda a: int(np.abs(a).max(initial=0))
+    return np.int32 if top(queries) * top(vectors) * max(1, vectors.shape[1]) < 2**31 else np.int64
 
 
 def accumulate(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """(queries, vectors) of integer scores, by term. Terms that most vectors have are added as a whole row."""
-    scores = np.zeros((len(queries), len(vectors)), np.int64)
-    by_term = np.ascontiguousarray(vectors.T)
+    """(queries, vectors) of integer scores, by term. A term that most vectors have is added as a whole row."""
+    kind = exact_type(queries, vectors)
+    scores, part = np.zeros((len(queries), len(vectors)), kind), np.empty((len(queries), len(vectors)), kind)
+    by_query, by_term = queries.astype(kind), np.ascontiguousarray(vectors.T.astype(kind))
     for term, weights in enumerate(by_term):
-        who = np.flatnonzero(queries[:, term])
-        posting = np.flatnonzero(weights)
+        own = by_query[:, term]
+        who, posting = np.flatnonzero(own), np.flatnonzero(weights)
         if not len(who) or not len(posting):
             continue
-        if 2 * len(posting) >= len(weights):
-            add = np.multiply.outer(queries[who, term], weights)
-            if len(who) == len(queries):
-                scores += add
-            else:
-                scores[who] += add
+        if 2 * len(posting) >= len(weights) and 2 * len(who) >= len(own):
+            np.multiply(own[:, None], weights[None, :], out=part)
+            scores += part
         else:
-            scores[np.ix_(who, posting)] += np.multiply.outer(queries[who, term], weights[posting])
+            scores[np.ix_(who, posting)] += np.multiply.outer(own[who], weights[posting])
     return scores
 
 
