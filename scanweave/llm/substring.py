@@ -225,7 +225,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     partitions, n = int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count()
-    buckets, shares = max(4 * partitions, n // 4000), max(2 * partitions, n // 8000)
+    # each bucket hands a piece to each share, so their numbers are kept near those of a plain shuffle
+    buckets, shares = max(2 * partitions, n // 4000), max(partitions, n // 8000)
     shared = _settled(cols.mapInArrow(_anchors(buckets), PIECES), _shared, shares)
     near = materialise(cols.join(shared, cols["doc_id"] == shared["did"]).select("doc_id", "text", "keys"), "anchored")
     beaten = _settled(near.mapInArrow(_extended(buckets), PIECES), _beaten, shares)
