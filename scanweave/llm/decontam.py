@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .shared import WordHashes, text_bytes
 
-#: Offsets that each mask keeps; all of weight six.
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 4, 6, 8, 10), (0, 1, 2, 7, 8, 9), (0, 1, 5, 6, 9, 10))
+#: Offsets that each mask keeps; all of weight six. At every allowed substitution in a window of 8 to 13 words some mask at some place meets only words that agree, so no overlap is missed.
+MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 5, 6), (0, 1, 3, 4, 6, 7), (0, 1, 2, 7, 8, 9), (0, 1, 3, 6, 8, 9), (0, 1, 2, 8, 9, 10))
 WINDOW, AGREE, LEAST = 13, 10, 8
 BLOCK_WORDS = 1_000_000
 #: Words of documents taken at once.

@@ -155,6 +155,24 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert decontam.clean(df, bench).count() == 0
 
 
+@pytest.mark.parametrize("size", range(8, 16))
+def test_decontamination_misses_no_substitution(size):
+    """Every choice of replaced words: what the rule allows is found, one word more is not."""
+    from itertools import combinations
+
+    hashes = WordHashes()
+    item = [f"w{k}" for k in range(size)]
+    block = decontam.Items([(1, " ".join(item).encode())], hashes)
+    window = min(13, size)
+    agree = 10 if window == 13 else -(-4 * window // 5)
+    for n in range(window - agree + 2):
+        cuts = list(combinations(range(size), n))
+        texts = [" ".join(["before", *(f"other{k}" if k in cut else w for k, w in enumerate(item)), "after"]).encode() for cut in cuts]
+        found = {cuts[t] for t, *_ in block.overlaps(iter(texts), hashes)}
+        most = lambda cut: max(window - sum(a <= k < a + window for k in cut) for a in range(size - window + 1))  # noqa: B023, E731
+        assert found == {cut for cut in cuts if most(cut) >= agree}
+
+
 # 4 quality ----------------------------------------------------------------
 
 
