@@ -19,9 +19,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The document of the smallest id of each group of near duplicates.
+
+    Every row is a document. Where ids repeat or are null, rows are numbered in
+    the order of their ids (null last, then by text), and the numbers stand for them.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+        return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    # a row's place in the input comes last, so that no id and no text is too large for a range
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("__place")]
+    placed = docs.withColumn("__place", F.monotonically_increasing_id())
+    numbered = materialise(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    kept = minhash.near_duplicates(numbered, id_col="__row").where("kept").select(F.col("doc_id").alias("kept_row"))
+    return numbered.join(kept, numbered["__row"] == kept["kept_row"], "left_semi").select(*docs.columns)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +46,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words give the mix nothing and are kept once.
     """
     sized = docs.withColumn("__size", n_words(F.col("text")))
-    taken = mixing.mix(sized, size=F.col("__size")).select(F.col("doc_id").alias("t_id"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("times"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["t_id"]))
-    return rows.where(F.col("times") > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[docs[c] for c in docs.columns])
+    taken = mixing.mix(sized, size=F.col("__size"), carry=docs.columns)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    rows = taken.select("row", times.alias("times")).where(F.col("times") > 0)
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,7 @@ def mix(
     seed: str = "mix",
     ranges: int | None = None,
     size: Column | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): how many of each document's words the mix takes.
 
@@ -63,10 +64,12 @@ def mix(
     empty result. Other columns of docs are ignored, whatever their names.
 
     ranges: the number of key ranges, by default one for each 256 documents, from
-    16 to 65,536.
+    16 to 65,536. carry: columns of docs that the result has too, in a struct
+    called row, so that rows need no joining back by an id that may repeat.
     """
     words = n_words(F.col(text_col)) if size is None else size
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), words.alias("size"))
+    carried = [F.struct(*carry).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), words.alias("size"), *carried)
     if ranges is None:
         ranges = max(16, min(65_536, docs.count() // 256))
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
@@ -89,4 +92,4 @@ def mix(
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return joined.select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), *(["row"] if carry else []))

@@ -61,6 +61,23 @@ def test_stages_on_odd_rows(spark, docs, empty):
             df.collect()
 
 
+def test_pipeline_on_repeated_and_null_ids(spark):
+    from collections import Counter
+
+    text = lambda k: " ".join(f"w{k}_{i}" for i in range(40))
+    rows = [(None, text(0))] * 5 + [(None, text(1))] * 3 + [(7, text(2))] * 4 + [(7, text(3)), (3, text(3)), (9, text(1)), (None, None), (None, ""), (8, text(4))]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["near_duplicates"](spark, df, SF)
+    assert once.columns == df.columns
+    want = [(None, text(0)), (9, text(1)), (7, text(2)), (3, text(3)), (8, text(4)), (None, None), (None, "")]
+    assert Counter((r.doc_id, r.text) for r in once.collect()) == Counter(want)
+    # one source: its target is its size, so each row is taken once
+    mix = stages["mixing"](spark, df, SF)
+    assert mix.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in mix.collect()) == Counter(rows)
+
+
 def test_pipeline_has_crc(spark):
     one = spark.range(1).select(F.crc32(F.lit("5").cast("binary"))).first()[0]
     assert one == zlib.crc32(b"5")
