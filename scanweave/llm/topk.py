@@ -48,18 +48,21 @@ def accumulate(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the places of its k highest scores, ties to the smaller id, without its own. ids are in order."""
-    if k >= len(ids):
-        top = [np.lexsort((ids, -s)) for s in scores]
-    else:
-        # the k-th score bounds the set; one more than k since a query's own vector may be among them
-        kth = -np.partition(-scores, min(k, len(ids) - 1), axis=1)[:, min(k, len(ids) - 1)]
-        top = []
-        for s, least in zip(scores, kth, strict=True):
-            above = np.flatnonzero(s > least)
-            above = above[np.argsort(-s[above], kind="stable")]
-            top.append(np.concatenate([above, np.flatnonzero(s == least)[: k + 1]]))
-    return [t[ids[t] != o][:k] for t, o in zip(top, own, strict=True)]
+    """For each query the places of its k highest scores, ties to the smaller id, without any row of its own id. ids are in order."""
+    first, last = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+    top = []
+    for s, a, b in zip(scores, first, last, strict=True):
+        # the rows of the query's own id, however many, are taken out before any selection
+        others, places = (s, None) if a == b else (np.concatenate([s[:a], s[b:]]), np.concatenate([np.arange(a), np.arange(b, len(ids))]))
+        if k >= len(others):
+            t = np.argsort(-others, kind="stable")
+        else:
+            least = -np.partition(-others, k - 1)[k - 1]
+            above = np.flatnonzero(others > least)
+            above = above[np.argsort(-others[above], kind="stable")]
+            t = np.concatenate([above, np.flatnonzero(others == least)[: k - len(above)]])
+        top.append(t if places is None else places[t])
+    return top
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:

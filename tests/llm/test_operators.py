@@ -425,6 +425,15 @@ def test_topk(spark, monkeypatch):
     assert topk.top_k(topk.integer_vectors(df.where("false"), "vec_id", "embedding"), F.col("vec_id") == 20).collect() == []
 
 
+@pytest.mark.parametrize("copies", [3, 30])
+def test_topk_of_a_repeated_query(spark, copies):
+    rows = [(20, [9, 9])] * copies + [(100 + i, [i % 7, 1]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").coalesce(1)
+    got = topk.top_k(df, F.col("vec_id") == 20, 20).collect()
+    want = sorted((-9 * (v[0] + v[1]), i) for i, v in rows[copies:])[:20]
+    assert bag(got) == bag((20, r, i, -s) for r, (s, i) in enumerate(want, 1))
+
+
 # 9 token files ------------------------------------------------------------
 
 
