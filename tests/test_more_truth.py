@@ -67,3 +67,17 @@ def test_cif(spark):
     text = "data_x\n_cell_length_a 4.0862\n_cell_length_b 4.0862\n_cell_length_c 4.2\n_chemical_formula_sum 'Ba O3 Ti'\n"
     df = spark.createDataFrame([(text,), ("",)], "t string").select(*[c.alias(n) for n, c in store.parse_cif(F.col("t")).items()]).collect()
     assert df[0].a == 4.0862 and df[0].elements == ["Ba", "O", "Ti"] and df[1].a is None and df[1].elements == []
+
+
+def test_dense_has_a_slot_for_every_vector(spark):
+    from scanweave.operators import ragged
+
+    rows = [(0, 0, float(i), 0.0, 1.0, i) for i in range(9)] + [(1, 1, 0.5, 0.0, 2.0, 20)]
+    v = spark.createDataFrame(rows, "nav_y int, nav_x int, kx double, ky double, intensity double, ord long")
+    grid = {"nav_y": 2, "nav_x": 2}
+    got = ragged.to_dense(v, grid).collect()
+    assert len(got) == 4 * 9
+    filled = sorted((r.nav_y, r.nav_x, r.slot, r.kx) for r in got if r.kx is not None)
+    assert filled == [(0, 0, i, float(i)) for i in range(9)] + [(1, 1, 0, 0.5)]
+    assert ragged.to_dense(v, grid, 5).count() == 4 * 5
+    assert ragged.to_dense(v.where("false"), grid).collect() == []
