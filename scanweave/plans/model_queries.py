@@ -115,10 +115,14 @@ def power_law_background(spark, sf_dir):
 _ATOMS = "a AS (SELECT p_partkey AS id, (p_partkey * 7919 % 1009)::DOUBLE AS x, (p_partkey * 104729 % 997)::DOUBLE AS y, 1 + (p_partkey % 7)::DOUBLE AS sigma_x, (p_partkey % 5)::DOUBLE AS sigma_y, p_retailprice AS intensity FROM part WHERE p_partkey <= 300)"
 
 
-def _atoms(spark, sf_dir):
+def _all_atoms(spark, sf_dir):
     k = F.col("p_partkey")
     f = lambda c: c.cast("double")
-    return d.read(spark, sf_dir, "part").where("p_partkey <= 300").select(k.alias("id"), f(k * 7919 % 1009).alias("x"), f(k * 104729 % 997).alias("y"), (1 + f(k % 7)).alias("sigma_x"), f(k % 5).alias("sigma_y"), F.col("p_retailprice").alias("intensity"))
+    return d.read(spark, sf_dir, "part").select(k.alias("id"), f(k * 7919 % 1009).alias("x"), f(k * 104729 % 997).alias("y"), (1 + f(k % 7)).alias("sigma_x"), f(k % 5).alias("sigma_y"), F.col("p_retailprice").alias("intensity"))
+
+
+def _atoms(spark, sf_dir):
+    return _all_atoms(spark, sf_dir).where("id <= 300")
 
 
 _NN = "nn AS (SELECT a.id, b.id AS n_id, b.x AS nx, b.y AS ny, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) AS rank FROM a, a b WHERE a.id <> b.id)"
@@ -153,7 +157,7 @@ def dumbbell_properties(spark, sf_dir):
 
 @query()
 def dumbbell_pairs(spark, sf_dir):
-    return atoms.dumbbell_pairs(_atoms(spark, sf_dir), -153.0, 44.0, 0.05)
+    return atoms.dumbbell_pairs(_all_atoms(spark, sf_dir), -153.0, 44.0, 0.05)
 
 
 @query(f"WITH {_ATOMS} SELECT CAST(round_even(y / 10, 0) AS INT) AS y, CAST(round_even(x / 10, 0) AS INT) AS x, arg_max(intensity, id) AS value FROM a WHERE round_even(y / 10, 0) < 60 AND round_even(x / 10, 0) < 80 GROUP BY ALL")

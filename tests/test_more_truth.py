@@ -81,3 +81,20 @@ def test_dense_has_a_slot_for_every_vector(spark):
     assert filled == [(0, 0, i, float(i)) for i in range(9)] + [(1, 1, 0, 0.5)]
     assert ragged.to_dense(v, grid, 5).count() == 4 * 5
     assert ragged.to_dense(v.where("false"), grid).collect() == []
+
+
+def test_dumbbell_pairs_take_the_whole_table(spark, tmp_path):
+    from scanweave.plans import model_queries
+
+    spark.range(1, 901).select(F.col("id").alias("p_partkey"), F.lit(1.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    xy = {k: (k * 7919 % 1009, k * 104729 % 997) for k in range(1, 901)}
+    reach = 0.05 * np.hypot(153.0, 44.0)
+    near = sorted((np.hypot(xy[b][0] - xy[a][0] + 153, xy[b][1] - xy[a][1] - 44), a, b) for a in xy for b in xy if a != b)
+    firsts, seconds, want = set(), set(), set()
+    for dist, a, b in near:
+        if dist <= reach and a not in firsts and b not in seconds:
+            firsts.add(a)
+            seconds.add(b)
+            want.add((a, b))
+    got = {(r.a, r.b) for r in model_queries.dumbbell_pairs(spark, str(tmp_path)).collect()}
+    assert got == want and max(map(max, got)) > 300
