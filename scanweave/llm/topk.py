@@ -1,26 +1,27 @@
 """Exact top-k search by inner product, term at a time.
 
-A term is a dimension, its postings the vectors with a weight there. A block of
-queries is sent to the executors; each task takes its vectors in blocks, turns
-them into postings, and for one term after the other scatters query weight times
-posting weight into a dense array of scores. Every score is complete before any
-is dropped: the best k of each query and task are picked by partition selection,
-and a final ranking merges the tasks' lists. Weights are integers, so scores are
-exact.
+A term is a dimension, its postings the vectors with a weight there. Queries and
+vectors are dealt into blocks, and each pair of a query block and a vector block
+is a cell of a grid, one task's work. The task keeps its queries, takes the
+vectors as they stream past, turns a few thousand at a time into postings, and
+for one term after the other scatters query weight times posting weight into a
+dense array of scores. Every score is complete before any is dropped: the best k
+of each query are picked by partition selection and merged into the task's
+running list, which leaves the task once. A final ranking merges the cells'
+lists. Weights are integers, so scores are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries sent to the executors at once, and the block of scores that a task holds: queries x vectors.
-QUERY_BLOCK, QUERIES, VECTORS = 16_384, 64, 2048
+#: Queries that a task holds, and the block of scores that it fills at a time: queries x vectors.
+QUERY_BLOCK, QUERIES, VECTORS = 65_536, 64, 2048
 
 
 def exact_type(queries: np.ndarray, vectors: np.ndarray) -> type:
@@ -47,54 +48,79 @@ def accumulate(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return scores
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the places of its k highest scores, ties to the smaller id, without any row of its own id. ids are in order."""
-    first, last = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
-    top = []
-    for s, a, b in zip(scores, first, last, strict=True):
-        # the rows of the query's own id, however many, are taken out before any selection
-        others, places = (s, None) if a == b else (np.concatenate([s[:a], s[b:]]), np.concatenate([np.arange(a), np.arange(b, len(ids))]))
-        if k >= len(others):
-            t = np.argsort(-others, kind="stable")
-        else:
-            least = -np.partition(-others, k - 1)[k - 1]
-            above = np.flatnonzero(others > least)
-            above = above[np.argsort(-others[above], kind="stable")]
-            t = np.concatenate([above, np.flatnonzero(others == least)[: k - len(above)]])
-        top.append(t if places is None else places[t])
-    return top
-
-
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(-1, dims)
-
-
-def _search(block, k: int, dims: int) -> object:
+class Best:
+    """Running lists of the k best (score, id) of some queries, ties to the smaller id. Vectors come in order of their ids."""
+
+    NONE = np.iinfo(np.int64).min
+
+    def __init__(self, own: np.ndarray, k: int):
+        self.own, self.k = own, k
+        self.score, self.id = np.full((len(own), k), self.NONE), np.zeros((len(own), k), np.int64)
+
+    def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of the queries from first on with vectors of ascending ids. The rows of a query's own id, however many, are taken out before any selection."""
+        rows = slice(first, first + len(scores))
+        low, high = np.searchsorted(ids, self.own[rows], "left"), np.searchsorted(ids, self.own[rows], "right")
+        # a later id with the score of the last one held loses the tie
+        better = scores > self.score[rows, -1:]
+        for r in np.flatnonzero(low < high):
+            better[r, low[r] : high[r]] = False
+        for r in np.flatnonzero(better.any(axis=1)):
+            at = np.flatnonzero(better[r])
+            s = scores[r, at].astype(np.int64)
+            if len(at) > self.k:
+                least = -np.partition(-s, self.k - 1)[self.k - 1]
+                above, equal = np.flatnonzero(s > least), np.flatnonzero(s == least)
+                take = np.sort(np.concatenate([above, equal[: self.k - len(above)]]))
+                at, s = at[take], s[take]
+            both, names = np.concatenate([self.score[first + r], s]), np.concatenate([self.id[first + r], ids[at]])
+            order = _descending(both)[: self.k]
+            self.score[first + r], self.id[first + r] = both[order], names[order]
+
+    def lists(self) -> Iterator[pa.RecordBatch]:
+        """(query_id, vec_id, score) of all that was found."""
+        for first in range(0, len(self.own), 4096):
+            score, name = self.score[first : first + 4096], self.id[first : first + 4096]
+            r, c = np.nonzero(score != self.NONE)
+            yield pa.RecordBatch.from_arrays([pa.array(self.own[first + r]), pa.array(name[r, c]), pa.array(score[r, c])], ["query_id", "vec_id", "score"])
+
+
+def _descending(scores: np.ndarray) -> np.ndarray:
+    """Places in order of falling scores, equal ones as they stand; the least number can't be negated, so the order is turned instead."""
+    return len(scores) - 1 - np.argsort(scores[::-1], kind="stable")[::-1]
+
+
+def _search(k: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, queries = block.value
-        found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-
-        def held() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            ids, rows = np.zeros(0, np.int64), np.zeros((0, dims), np.int64)
-            for b in batches:
-                ids, rows = np.concatenate([ids, b.column(0).to_numpy()]), np.concatenate([rows, _matrix(b.column(1), dims)])
-                while len(ids) >= VECTORS:
-                    yield ids[:VECTORS], rows[:VECTORS]
-                    ids, rows = ids[VECTORS:], rows[VECTORS:]
-            if len(ids):
-                yield ids, rows
-
-        for ids, rows in held():
-            order = np.argsort(ids, kind="stable")
-            ids, rows = ids[order], rows[order]
-            for at in range(0, len(own), QUERIES):
-                scores = accumulate(queries[at : at + QUERIES], rows)
-                for q, s, places in zip(own[at : at + QUERIES], scores, best(scores, ids, own[at : at + QUERIES], k), strict=True):
-                    found["query_id"].append(np.full(len(places), q))
-                    found["vec_id"].append(ids[places])
-                    found["score"].append(s[places])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *v]), pa.int64()) for v in found.values()], list(found))
-            found = {n: [] for n in found}
+        """One cell: its queries (side 0) first, then its vectors by id."""
+        own, queries, waiting, size, best = [], [], [], 0, None
+
+        def searched() -> None:
+            ids, rows = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
+            for at in range(0, len(ids), VECTORS):
+                for q in range(0, len(best.own), QUERIES):
+                    best.add(q, accumulate(queries[q : q + QUERIES], rows[at : at + VECTORS]), ids[at : at + VECTORS])
+
+        for b in filter(len, batches):
+            side, ids = b.column("side").to_numpy(), b.column("vec_id").to_numpy()
+            rows = b.column("v").flatten().to_numpy().reshape(len(ids), -1)
+            n = int((side == 0).sum())
+            if n:
+                own.append(ids[:n])
+                queries.append(rows[:n])
+            if n == len(ids) or not len(own):
+                continue
+            if best is None:
+                best, queries = Best(np.concatenate(own), k), np.concatenate(queries)
+            waiting.append((ids[n:], rows[n:]))
+            size += len(ids) - n
+            if size >= VECTORS:
+                searched()
+                waiting, size = [], 0
+        if size:
+            searched()
+        if best is not None:
+            yield from best.lists()
 
     return run
 
@@ -107,33 +133,45 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 64
     return df.where(x.isNotNull() & F.col(id_col).isNotNull() & ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest scores over all other rows of (vec_id, v), from rank 1, ties to the smaller id.
 
     Vectors of different lengths are searched apart: a query meets those of its
-    own length. A repeated vec_id is a candidate in each row, but never of its own
-    query, and a repeated query row is one query. Fewer candidates than k give
-    fewer ranks; an empty table gives an empty result. Scores must fit into 64
-    bits.
+    own length, and vectors of length 0 score 0. A repeated vec_id is a candidate
+    in each row, but never of its own query, and a repeated query id is one query
+    (its least vector). Fewer candidates than k give fewer ranks; an empty table
+    gives an empty result. Scores must fit into 64 bits. Other columns are ignored.
+
+    query_block: queries that a task holds (65,536 of 64 components are 32 MB).
+    Vectors are dealt into as many blocks as fill the shuffle partitions, and go
+    to each query block's row of the grid; what the cells pass on is k rows a
+    query and vector block. Neither side passes through the driver.
     """
     spark = vectors.sparkSession
-    lists = []
-    for (dims,) in sorted(tuple(r) for r in vectors.select(F.size("v")).distinct().collect()):
-        same = vectors.where(F.size("v") == dims)
-        rows: list = []
-
-        def passed(rows: list, same: DataFrame = same, dims: int = dims) -> None:
-            block = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).reshape(-1, dims)))
-            lists.append(same.mapInArrow(_search(block, k, dims), "query_id long, vec_id long, score long"))
-
-        for r in same.where(is_query).dropDuplicates(["vec_id"]).toLocalIterator():
-            rows.append(r)
-            if len(rows) == QUERY_BLOCK:
-                passed(rows)
-                rows = []
-        if rows:
-            passed(rows)
-    if not lists:
+    block, parts = query_block or QUERY_BLOCK, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = vectors.select("vec_id", "v", F.size("v").alias("dims"))
+    queries = rows.where(is_query).groupBy("dims", "vec_id").agg(F.min("v").alias("v"))
+    # a row for each length that vectors have
+    grid, cells = {}, 0
+    for r in queries.groupBy("dims").count().orderBy("dims").collect():
+        high = -(-r["count"] // block)
+        grid[r["dims"]] = (cells, high, max(1, -(-parts // high)))
+        cells += high * grid[r["dims"]][2]
+    if not cells:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+    def of(place: int) -> Column:
+        out = F.lit(None).cast("int")
+        for dims, shape in grid.items():
+            out = F.when(F.col("dims") == dims, shape[place]).otherwise(out)
+        return out
+
+    shaped = lambda df, side: df.where(F.col("dims").isin(list(grid))).select("vec_id", "v", F.lit(side).alias("side"), of(0).alias("start"), of(1).alias("high"), of(2).alias("wide"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = shaped(queries, 0).withColumn("i", F.pmod(F.xxhash64("vec_id"), F.col("high"))).withColumn("j", every("wide"))
+    right = shaped(rows, 1).withColumn("j", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("wide"))).withColumn("i", every("high"))
+    cell = (F.col("start") + F.col("i") * F.col("wide") + F.col("j")).cast("int")
+    both = left.select("vec_id", "v", "side", cell.alias("cell")).union(right.select("vec_id", "v", "side", cell.alias("cell")))
+    lists = both.repartitionById(cells, F.col("cell")).sortWithinPartitions("side", "vec_id").select("side", "vec_id", "v").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return reduce(DataFrame.union, lists).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
