@@ -2,24 +2,27 @@
 
 Every whole text is encoded, an end id follows, and documents go in ascending id
 order into shards of a bounded number of ids. In each shard frequent pairs of
-neighbouring ids are replaced by new symbols (nonterminals), round after round;
-the shard stores the rules, each symbol's expansion length and the remaining
-sequence. Running sums of the lengths find the symbols that hold a document, so
+neighbouring ids are replaced by new symbols (nonterminals), round after round
+until no pair is frequent; the shard stores the rules, each symbol's expansion
+length and the remaining sequence. Running sums of the lengths find the symbols that hold a document, so
 any document, or part of it, is decoded without the rest.
 
 A shard is one row of a Parquet table in the shared folder (any store that Spark
 writes to; a task's rows appear only when it has ended), its content in the
 layout of `pack`.
 
-Encoding: the tokenizer splits a text into pieces (runs of letters, digits, runs
-of other marks), drops white space, and encodes each piece by its own. So a piece
-that a worker has met before needn't be encoded again: texts of ASCII and Western
-European letters are split here and their pieces' ids are kept in a bounded memo;
-any other text is encoded by the library as a whole.
+Encoding: a tokenizer of the usual lower-case word kind splits a text into pieces
+(runs of letters, digits, runs of other marks), drops white space, and encodes
+each piece by its own. So a piece that a worker has met before needn't be encoded
+again: texts of ASCII and Western European letters are split here and their
+pieces' ids are kept in a bounded memo; any other text, and every text where the
+vocabulary file says that it splits otherwise, is encoded by the library as a
+whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -34,9 +37,15 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, text_bytes
 
-END_ID, VOCABULARY = 2, 49_408
-SHARD_IDS, ROUNDS, PAIRS, SLOT_BITS = 1_000_000, 6, 2048, 18
-MAGIC = b"RPG1"
+END_ID = 2
+#: Ids of a shard; pairs replaced in one round at most, and the occurrences that make a pair frequent; hash slots that count pairs.
+SHARD_IDS, PAIRS, FREQUENT, SLOT_BITS = 1_000_000, 8192, 8, 18
+MAGIC = b"RPG2"
+#: The normalizer and pre-tokenizer, as a vocabulary file states them, that the splitting here stands for.
+_SPLITS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
 
 
 #: A text of other characters, or with what may be a special token's name, is encoded by the library as a whole.
@@ -67,8 +76,12 @@ class TextEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model = self.tokenizer.model
+        special = all(t["content"].startswith("<|") and t["special"] for t in said.get("added_tokens") or ())
+        self.by_pieces = special and (said.get("normalizer"), said.get("pre_tokenizer")) == _SPLITS and said["model"]["type"] == "BPE"
         self.clear()
 
     def clear(self) -> None:
@@ -93,7 +106,7 @@ class TextEncoder:
     def __call__(self, text: bytes) -> np.ndarray:
         whole = text.decode()
         lower = whole.lower()
-        if _OTHER.search(lower):
+        if not self.by_pieces or _OTHER.search(lower):
             return np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, np.int32)
         pieces = _PIECE.findall(lower)
         if len(self.memo) > self.most:
@@ -116,17 +129,15 @@ def encoder(path: str) -> TextEncoder:
     return _ENCODERS[path]
 
 
-def compress(ids: np.ndarray, first_symbol: int = VOCABULARY, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first_symbol: int, pairs: int = PAIRS, least: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """(rules, sequence): rule r says which two symbols first_symbol + r stands for.
 
     Each round counts all pairs of neighbours by slots of a hash table, takes the
     most frequent pairs (one of a slot, at least `least` of each) and replaces
-    them from left to right.
+    them from left to right. Rounds end when no pair stands `least` times.
     """
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
+    while len(seq) >= 2 * least:
         key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         count = np.bincount(slot, minlength=1 << SLOT_BITS)
@@ -155,7 +166,7 @@ def compress(ids: np.ndarray, first_symbol: int = VOCABULARY, rounds: int = ROUN
     return rules, seq
 
 
-def lengths(rules: np.ndarray, first_symbol: int = VOCABULARY) -> np.ndarray:
+def lengths(rules: np.ndarray, first_symbol: int) -> np.ndarray:
     """Expansion length of every symbol."""
     out = np.ones(first_symbol + len(rules), np.int64)
     for r, (a, b) in enumerate(rules.tolist(), first_symbol):
@@ -163,7 +174,7 @@ def lengths(rules: np.ndarray, first_symbol: int = VOCABULARY) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first_symbol: int = VOCABULARY) -> np.ndarray:
+def expand(symbols: np.ndarray, rules: np.ndarray, first_symbol: int) -> np.ndarray:
     """The ids that the symbols stand for."""
     while len(symbols) and symbols.max() >= first_symbol:
         new = symbols >= first_symbol
@@ -177,14 +188,14 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_symbol: int = VOCABULAR
     return symbols
 
 
-def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard's bytes: MAGIC; counts of documents, rules, symbols, and bytes a symbol; rules; expansion lengths of the rules; documents' ids, nulls and sizes; symbols. Little-endian."""
-    rules, seq = compress(ids)
-    wide = 2 if VOCABULARY + len(rules) <= 1 << 16 else 4
+def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
+    """A shard's bytes: MAGIC; the vocabulary's size; counts of documents, rules, symbols, and bytes a symbol; rules; expansion lengths of the rules; documents' ids, nulls and sizes; symbols. Little-endian."""
+    rules, seq = compress(ids, vocabulary)
+    wide = 2 if vocabulary + len(rules) <= 1 << 16 else 4
     own = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], "u1")
-    parts = (rules.astype("<u4"), lengths(rules)[VOCABULARY:].astype("<u4"), own, null, sizes.astype("<u4"), seq.astype(f"<u{wide}"))
-    return MAGIC + struct.pack("<QQQQ", len(doc_ids), len(rules), len(seq), wide) + b"".join(p.tobytes() for p in parts)
+    parts = (rules.astype("<u4"), lengths(rules, vocabulary)[vocabulary:].astype("<u4"), own, null, sizes.astype("<u4"), seq.astype(f"<u{wide}"))
+    return MAGIC + struct.pack("<QQQQQ", vocabulary, len(doc_ids), len(rules), len(seq), wide) + b"".join(p.tobytes() for p in parts)
 
 
 class Shard:
@@ -193,8 +204,8 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a shard of token ids")
-        docs, rules, symbols, wide = struct.unpack_from("<QQQQ", data, 4)
-        at = 36
+        vocabulary, docs, rules, symbols, wide = struct.unpack_from("<QQQQQ", data, 4)
+        at = 44
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -203,7 +214,7 @@ class Shard:
             return out
 
         self.rules = take("<u4", 2 * rules).reshape(-1, 2)
-        size = np.concatenate([np.ones(VOCABULARY, np.int64), take("<u4", rules)])
+        size = np.concatenate([np.ones(vocabulary, np.int64), take("<u4", rules)])
         own, null = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if z else int(d) for d, z in zip(own, null, strict=True)]
         self.ends = np.cumsum(take("<u4", docs), dtype=np.int64)
@@ -211,7 +222,7 @@ class Shard:
         self.after = np.cumsum(size[self.symbols])
         # every symbol's expansion, one after the other
         self.size, self.start = size, np.cumsum(size) - size
-        self.flat = np.concatenate([np.arange(VOCABULARY, dtype=np.uint32), expand(np.arange(VOCABULARY, VOCABULARY + rules, dtype=np.uint32), self.rules)])
+        self.flat = np.concatenate([np.arange(vocabulary, dtype=np.uint32), expand(np.arange(vocabulary, vocabulary + rules, dtype=np.uint32), self.rules, vocabulary)])
 
     def ids(self, start: int, end: int) -> np.ndarray:
         """The ids from start to end of the shard."""
@@ -229,50 +240,69 @@ class Shard:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
-def _encoded(path: str) -> object:
+def _encoded(path: str, end_id: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        kind = width(n_ids(encode.tokenizer), end_id)
         for b in batches:
-            ids = [np.append(encode(t), END_ID).astype("<u2").tobytes() for t in text_bytes(b.column(1))]
+            ids = [np.append(encode(t), end_id).astype(kind).tobytes() for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, seq = TaskContext.get().partitionId(), 0
-    docs, ids, size = [], [], 0
+def n_ids(tokenizer) -> int:
+    """One more than the greatest id."""
+    return 1 + max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
 
-    def row() -> pa.RecordBatch:
-        sizes = np.array([len(i) for i in ids])
-        return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": size, "data": pack(docs, sizes, np.concatenate(ids))}], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("data", pa.binary())]))
 
-    for b in batches:
-        for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            docs.append(doc)
-            ids.append(np.frombuffer(data, "<u2").astype(np.uint32))
-            size += len(ids[-1])
-            if size >= SHARD_IDS:
-                yield row()
-                docs, ids, size, seq = [], [], 0, seq + 1
-    if docs:
-        yield row()
-
-
-def write(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+def width(vocabulary: int, end_id: int) -> str:
+    """The type in which ids travel until they are packed."""
+    return "<u2" if max(vocabulary - 1, end_id) < 1 << 16 else "<u4"
+
+
+def _packed(vocabulary: int, kind: str) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        docs, ids, size = [], [], 0
+
+        def row() -> pa.RecordBatch:
+            sizes = np.array([len(i) for i in ids])
+            data = pack(docs, sizes, np.concatenate(ids), vocabulary)
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": size, "data": data}], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("data", pa.binary())]))
+
+        for b in batches:
+            for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                docs.append(doc)
+                ids.append(np.frombuffer(data, kind).astype(np.uint32))
+                size += len(ids[-1])
+                if size >= SHARD_IDS:
+                    yield row()
+                    docs, ids, size, seq = [], [], 0, seq + 1
+        if docs:
+            yield row()
+
+    return run
+
+
+def write(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, end_id: int = END_ID) -> DataFrame:
     """The shards (part, seq, n_ids, data), written to the shared folder and read back; in order of (part, seq) the documents ascend by id, null ids first, rows of one id by their ids.
 
     A null text is an empty one, whose only id is the end id. An empty table gives
     no shards. Other columns are ignored. partitions: how many ranges of ids are
-    packed at the same time, by default Spark's shuffle partitions.
+    packed at the same time, by default Spark's shuffle partitions. vocabulary: the
+    path of any file of the tokenizers library; its size says how wide ids are.
     """
+    from tokenizers import Tokenizer
+
+    size = max(n_ids(Tokenizer.from_file(vocabulary)), end_id + 1)
     spark = docs.sparkSession
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # written first, for finding the ranges reads it as well
-    encoded = materialise(cols.mapInArrow(_encoded(vocabulary), "doc_id long, ids binary"), "token-ids")
+    encoded = materialise(cols.mapInArrow(_encoded(vocabulary, end_id), "doc_id long, ids binary"), "token-ids")
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    return materialise(ordered.mapInArrow(_packed, "part int, seq int, n_ids long, data binary"), "token-shards")
+    return materialise(ordered.mapInArrow(_packed(size, width(size, end_id)), "part int, seq int, n_ids long, data binary"), "token-shards")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

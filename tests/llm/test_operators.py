@@ -440,17 +440,20 @@ def test_topk_of_a_repeated_query(spark, copies):
 def test_repair_round_trip():
     rng = np.random.default_rng(0)
     for ids in (rng.integers(0, 49408, 5000), np.tile([1, 2, 3, 4], 3000), np.zeros(1000, int), np.array([5]), np.zeros(0, int), rng.choice([0, 1, 2], 4000)):
-        rules, seq = token_output.compress(ids)
-        assert np.array_equal(token_output.expand(seq, rules), ids)
-        assert token_output.lengths(rules)[seq].sum() == len(ids)
-    assert len(token_output.compress(np.tile([1, 2, 3, 4], 3000))[1]) < 1000
+        rules, seq = token_output.compress(ids, 49408)
+        assert np.array_equal(token_output.expand(seq, rules, 49408), ids)
+        assert token_output.lengths(rules, 49408)[seq].sum() == len(ids)
+        # no pair is left that is frequent (of a run of one symbol every second pair can be replaced)
+        left = Counter(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True))
+        assert all(n < token_output.FREQUENT for (a, b), n in left.items() if a != b) and all(n < 2 * token_output.FREQUENT for (a, b), n in left.items() if a == b)
+    assert len(token_output.compress(np.tile([1, 2, 3, 4], 3000), 49408)[1]) < 20
 
 
 def test_shard_random_access():
     rng = np.random.default_rng(1)
     sizes = np.array([3, 1, 500, 40, 1, 2000])
     ids = rng.choice(50, sizes.sum())
-    s = token_output.Shard(token_output.pack([5, None, 7, 8, 9, 10], sizes, ids))
+    s = token_output.Shard(token_output.pack([5, None, 7, 8, 9, 10], sizes, ids, 60))
     ends = np.cumsum(sizes)
     for k in range(6):
         assert np.array_equal(s.document(k), ids[ends[k] - sizes[k] : ends[k]])
@@ -474,6 +477,23 @@ def test_token_files(docs, rows, empty, monkeypatch):
     assert token_output.digests(token_output.write(empty, path)).collect() == []
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_token_files_of_any_vocabulary(spark, tmp_path, name):
+    """A vocabulary that splits otherwise, and ids beyond two bytes."""
+    import json
+
+    path = f"{tmp_path}/wide.json"
+    said = json.load(open(public_tokenizers.path(name), encoding="utf-8"))
+    said["added_tokens"] = [{**(said["added_tokens"] or [{}])[0], "id": 70_000, "content": "zebra", "special": True, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False}]
+    json.dump(said, open(path, "w", encoding="utf-8"))
+    tok = Tokenizer.from_file(path)
+    texts = ["Hello zebra, it's 12 o'clock", "two  spaces\n", None, "naïve ZEBRA zebra " * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [[*tok.encode(t or "", add_special_tokens=False).ids, 3] for t in texts]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_output.digests(token_output.write(df, path, end_id=3)).collect()}
+    assert got == {i: (len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, w in enumerate(want)}
+
+
 def test_pieces_encode_like_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     tok, own = Tokenizer.from_file(path), token_output.TextEncoder(path, most=8)
