@@ -13,6 +13,10 @@ confirmed on the full sets. What the hubs leave apart is compared too: in small
 buckets pairs of different components, in large ones the members outside the
 bucket's main component against all, in blocks that pass only confirmed links.
 So a bucket costs about its size, and no link that joins two components is lost.
+
+Facts about a bucket (its size, its hubs) are written before its members are
+joined with them: both sides of every such join are plain tables, which adaptive
+execution cuts where one key's rows are too many for a task.
 """
 
 from __future__ import annotations
@@ -144,8 +148,8 @@ def _tile_links(rows: pa.Table) -> pa.Table:
 def _unequal(bucketed: DataFrame, roots: DataFrame) -> DataFrame:
     """Bucket members with their component, where a bucket has more than one."""
     r = roots.select(F.col("id").alias("rid"), F.col("root").alias("r"))
-    named = bucketed.join(r, bucketed["id"] == r["rid"], "left").select("key", "id", "size", F.coalesce("r", "id").alias("root"))
-    mixed_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where(F.col("lo") < F.col("hi")).select(F.col("key").alias("mk"))
+    named = materialise(bucketed.join(r, bucketed["id"] == r["rid"], "left").select("key", "id", "size", F.coalesce("r", "id").alias("root")), "named")
+    mixed_keys = materialise(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select(F.col("key").alias("mk")), "mixed")
     return named.join(mixed_keys, named["key"] == mixed_keys["mk"]).drop("mk")
 
 
@@ -167,10 +171,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # classes of equal sets; rep is the smallest id
     full = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
+    classes = materialise(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")), "classes")
     members = classes.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("h0"), F.max("id").alias("h1"), F.min_by("id", F.xxhash64("id")).alias("h2")).where(F.col("size") > 1)
-    buckets = buckets.withColumnRenamed("key", "bkey")
+    buckets = materialise(buckets.withColumnRenamed("key", "bkey"), "bucket-sizes")
     bucketed = materialise(members.join(buckets, members["key"] == buckets["bkey"]).drop("bkey"), "buckets")
 
     needed = bucketed.select("id").distinct().withColumnRenamed("id", "nid")
@@ -192,10 +196,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = links.union(more).union(same_id) if _repeated(cols) else links.union(more)
     roots = components(linked)
 
-    reps = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")).withColumnRenamed("n_shingles", "n")
+    reps = classes.select("f1", "f2", F.col("n_shingles").alias("n"), "rep")
     r = roots.select(F.col("id").alias("rid"), "root")
     reps = reps.join(r, reps["rep"] == r["rid"], "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "n", F.coalesce("root", "rep").alias("root"))
-    out = sketch.select("doc_id", "n_shingles", "f1", "f2").join(reps, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") == F.col("n")), "left")
+    found = full.select("doc_id", "n_shingles", "f1", "f2").join(reps, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") == F.col("n")))
+    # documents without words, which all have one key, meet nothing
+    rest = sketch.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull())
+    out = found.select("doc_id", "n_shingles", "root").union(rest.select("doc_id", "n_shingles", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
@@ -209,6 +216,7 @@ def _large_links(large: DataFrame, sets: DataFrame) -> DataFrame:
     """Links in large buckets between members outside the main component (rest) and all members, tile by tile."""
     by_root = large.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).withColumnRenamed("key", "mkey")
+    main = materialise(main, "main")
     tiles = main.withColumn("nl", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int")).withColumn("nr", F.ceil(F.col("all") / TILE).cast("int"))
     rows = large.join(tiles, large["key"] == tiles["mkey"])
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
