@@ -8,12 +8,15 @@ windows of 13 words, wherever they stand, then share an anchor inside: 7 + 7 - 1
 second extends them, hashing the whole windows around them only, and finds each
 window's smallest document; the last removes the covered words.
 
-Keys (anchor or window hashes with their document) travel in columnar pieces: a
-row holds a batch's keys of one bucket. What a batch already settles (an anchor
-in two of its documents, a window with a smaller one) is passed on under the
-document's own bucket, and only one or two entries of such a key go to the key's
-bucket. So a passage that a third of all documents share costs its bucket an
-entry a batch, not one a document.
+Anchors are a filter, so 64-bit keys do. Windows are judged equal by 128 bits.
+Keys with their document travel in columnar pieces: a row holds a batch's keys of
+one bucket, documents as distances from the least one. What a batch already
+settles (an anchor in two of its documents, a window with a smaller one) is
+passed on under the document's own bucket, and only one or two entries of such a
+key go to the key's bucket. So a passage that a third of all documents share
+costs its bucket an entry a batch, not one a document. The number of buckets
+follows the bytes of text, so that a bucket fits into a task however long the
+documents are.
 """
 
 from __future__ import annotations
@@ -30,9 +33,11 @@ from .shared import WordHashes, lists, materialise, text_bytes, windows
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-#: Keys that a task gathers before it passes them on.
-FLUSH = 2_000_000
-PIECES = "bucket int, settled boolean, keys binary, docs binary"
+#: Keys that a task gathers before it passes them on; bytes of text whose keys make up a bucket at most.
+FLUSH, BUCKET_TEXT = 2_000_000, 64 << 20
+PIECES = "bucket int, settled boolean, keys binary, base long, docs binary"
+#: The second half of a window's key comes from word hashes turned by this odd factor.
+TURN = np.uint64(0xD6E8FEB86659FD93)
 
 
 def anchor_positions(n_words: int) -> np.ndarray:
@@ -44,14 +49,14 @@ def anchor_positions(n_words: int) -> np.ndarray:
 
 
 def _by_key(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (key, doc) in order, and for each the least and the greatest doc of its key, and whether it is its key's first."""
-    order = np.lexsort((docs, keys))
+    """The distinct (key, doc) in order, and for each the least and the greatest doc of its key, and whether it is its key's first. A row of keys is one key."""
+    order = np.lexsort((docs, *keys.T[::-1]))
     keys, docs = keys[order], docs[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    keys, docs = keys[new], docs[new]
     first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
+    first[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+    new = first.copy()
+    new[1:] |= docs[1:] != docs[:-1]
+    keys, docs, first = keys[new], docs[new], first[new]
     starts = np.flatnonzero(first)
     sizes = np.diff(np.append(starts, len(keys)))
     return keys, docs, np.repeat(docs[starts], sizes), np.repeat(docs[starts + sizes - 1], sizes), first
@@ -73,30 +78,50 @@ def _pieces(keys: np.ndarray, docs: np.ndarray, buckets: int, wanted: Callable,
     if ends:
         last = np.append(first[1:], True) & ~first
         open_keys, open_docs = np.concatenate([open_keys, keys[last]]), np.concatenate([open_docs, docs[last]])
-    parts = [(True, x) for x in _dealt(keys[done], docs[done], _spread(docs[done]), buckets)] + [(False, x) for x in _dealt(open_keys, open_docs, open_keys, buckets)]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([x[0] for _, x in parts], pa.int32()), pa.array([settled for settled, _ in parts], pa.bool_()), pa.array([x[1] for _, x in parts], pa.binary()), pa.array([x[2] for _, x in parts], pa.binary())], ["bucket", "settled", "keys", "docs"]
-    )
+    # what is settled is known by the first half of its key
+    parts = [(x[0], True, *x[1:]) for x in _dealt(keys[done, :1], docs[done], _spread(docs[done]), buckets)] + [(x[0], False, *x[1:]) for x in _dealt(open_keys, open_docs, open_keys[:, 0], buckets)]
+    yield _batch(parts, PIECES)
+
+
+def _batch(parts: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "long": pa.int64()}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in parts], kinds[k]) for i, (_, k) in enumerate(names)], [n for n, _ in names])
 
 
 def _spread(docs: np.ndarray) -> np.ndarray:
     return docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _dealt(keys: np.ndarray, docs: np.ndarray, by: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(bucket, keys, docs) of each bucket that by's hashes choose."""
+def _dealt(keys: np.ndarray, docs: np.ndarray, by: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, int, bytes]]:
+    """(bucket, keys, base, docs) of each bucket that by's hashes choose; docs less the base, in four bytes each where that is enough."""
     bucket = ((by >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket, keys, docs = bucket[order], keys[order], docs[order]
     at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
     for a, b in zip(at, [*at[1:], len(bucket)], strict=True) if len(bucket) else ():
-        yield int(bucket[a]), keys[a:b].tobytes(), docs[a:b].tobytes()
+        d = docs[a:b]
+        low, high = int(d.min()), int(d.max())
+        base, packed = (low, (d - low).astype(np.uint32)) if high - low < 1 << 32 else (0, d)
+        yield int(bucket[a]), keys[a:b].tobytes(), base, packed.tobytes()
+
+
+def _entries(batches: Iterator[pa.RecordBatch], words: int, settled: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, of so many 64-bit words each, and docs of all pieces (that are settled, or not)."""
+    keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for b in batches:
+        take = [True] * len(b) if settled is None else b.column("settled").to_pylist()
+        for k, base, d, t in zip(b.column("keys"), b.column("base").to_pylist(), b.column("docs"), take, strict=True):
+            if settled is None or t == settled:
+                k, d = k.as_buffer(), d.as_buffer()
+                keys.append(np.frombuffer(k, np.uint64))
+                docs.append(np.frombuffer(d, np.uint32 if 2 * words * d.size == k.size else np.int64).astype(np.int64) + base)
+    return np.concatenate(keys).reshape(-1, words), np.concatenate(docs)
 
 
 def _gathered(found: Iterator[tuple[int, np.ndarray]], buckets: int, wanted: Callable, ends: bool) -> Iterator[pa.RecordBatch]:
     keys, docs, size = [], [], 0
     for doc, k in found:
-        k = np.unique(k)
         keys.append(k)
         docs.append(np.full(len(k), doc, np.int64))
         size += len(k)
@@ -116,7 +141,7 @@ def _anchors(buckets: int) -> Callable:
                 for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                     words = text.split()
                     if doc is not None and len(words) >= WINDOW:
-                        yield doc, windows(hashes(words), ANCHOR)[anchor_positions(len(words))]
+                        yield doc, windows(hashes(words), ANCHOR)[anchor_positions(len(words))][:, None]
 
         yield from _gathered(found(), buckets, _shared, True)
 
@@ -140,44 +165,43 @@ def _extended(buckets: int) -> Callable:
             for batch in batches:
                 for doc, text, keys in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2), strict=True):
                     h = hashes(text.split())
-                    yield doc, windows(h, WINDOW)[near_anchor(h, keys.values.to_numpy().view(np.uint64))]
+                    near = near_anchor(h, keys.values.to_numpy().view(np.uint64))
+                    yield doc, np.stack([windows(h, WINDOW)[near], windows(h * TURN, WINDOW)[near]], axis=1)
 
         yield from _gathered(found(), buckets, _beaten, False)
 
     return run
 
 
-def _gather(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column)])
-
-
-def _settle(wanted: Callable, shares: int) -> Callable:
+def _settle(wanted: Callable, words: int, shares: int) -> Callable:
     """For one bucket: the wanted (key, doc), dealt into shares by document."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        done = rows["settled"].to_numpy()
-        own, known = rows.filter(pa.array(~done)), rows.filter(pa.array(done))
-        k, d, least, most, _ = _by_key(_gather(own["keys"], np.uint64), _gather(own["docs"], np.int64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        k, d, least, most, _ = _by_key(*_entries(batches, words, False))
         take = wanted(d, least, most)
-        k, d = np.concatenate([k[take], _gather(known["keys"], np.uint64)]), np.concatenate([d[take], _gather(known["docs"], np.int64)])
-        parts = list(_dealt(k, d, _spread(d), shares))
-        return pa.table({"share": pa.array([x[0] for x in parts], pa.int32()), "keys": pa.array([x[1] for x in parts], pa.binary()), "docs": pa.array([x[2] for x in parts], pa.binary())})
+        known = _entries(batches, 1, True)
+        k, d = np.concatenate([k[take, :1], known[0]]), np.concatenate([d[take], known[1]])
+        yield _batch(list(_dealt(k, d, _spread(d), shares)), SHARES)
 
     return run
 
 
-def _by_document(rows: pa.Table) -> pa.Table:
+SHARES = "share int, keys binary, base long, docs binary"
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For one share of the documents: a row with all its keys for each."""
-    k, d = _gather(rows["keys"], np.uint64), _gather(rows["docs"], np.int64)
+    k, d = _entries(batches, 1)
     order = np.argsort(d, kind="stable")
     names, sizes = np.unique(d, return_counts=True)
-    return pa.table({"did": pa.array(names, pa.int64()), "keys": lists(k[order].view(np.int64), sizes, pa.int64())})
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), lists(k[order, 0].view(np.int64), sizes, pa.int64())], ["did", "keys"])
 
 
-def _settled(pieces: DataFrame, wanted: Callable, shares: int) -> DataFrame:
-    """(did, keys): a document's wanted keys, a row for each document that has any."""
-    out = pieces.groupBy("bucket").applyInArrow(_settle(wanted, shares), "share int, keys binary, docs binary")
-    return out.groupBy("share").applyInArrow(_by_document, "did long, keys array<long>")
+def _settled(pieces: DataFrame, wanted: Callable, words: int, buckets: int, shares: int) -> DataFrame:
+    """(did, keys): the first halves of a document's wanted keys, a row for each document that has any. A bucket, and then a share, is a partition."""
+    out = pieces.repartitionById(buckets, F.col("bucket")).mapInArrow(_settle(wanted, words, shares), SHARES)
+    return out.repartitionById(shares, F.col("share")).mapInArrow(_by_document, "did long, keys array<long>")
 
 
 def covered(h: np.ndarray, repeated: np.ndarray) -> np.ndarray:
@@ -224,12 +248,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    partitions, n = int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count()
-    # each bucket hands a piece to each share, so their numbers are kept near those of a plain shuffle
-    buckets, shares = max(2 * partitions, n // 4000), max(partitions, n // 8000)
-    shared = _settled(cols.mapInArrow(_anchors(buckets), PIECES), _shared, shares)
+    partitions, size = int(spark.conf.get("spark.sql.shuffle.partitions")), cols.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, shares = max(partitions, size // BUCKET_TEXT), max(partitions, size // (2 * BUCKET_TEXT))
+    shared = _settled(cols.mapInArrow(_anchors(buckets), PIECES), _shared, 1, buckets, shares)
     near = materialise(cols.join(shared, cols["doc_id"] == shared["did"]).select("doc_id", "text", "keys"), "anchored")
-    beaten = _settled(near.mapInArrow(_extended(buckets), PIECES), _beaten, shares)
+    beaten = _settled(near.mapInArrow(_extended(buckets), PIECES), _beaten, 2, buckets, shares)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     if _repeated_ids(cols):
         both = cols.join(beaten, cols["doc_id"] == beaten["did"], "left").select("doc_id", "text", "keys")
