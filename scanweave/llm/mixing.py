@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import n_words
+from .shared import materialise, n_words
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
@@ -60,8 +60,8 @@ def mix(
     of the hash keys; the document at the cut gives only the words up to it, so a
     source's taken words sum to its rounded target. Equal keys (repeated ids) are
     ordered by size; rows equal in both can be exchanged. A null source is a
-    source, a null id has a key of its own kind, and an empty table gives an
-    empty result. Other columns of docs are ignored, whatever their names.
+    source, a row with a null id has a key from its text, and an empty table
+    gives an empty result. Other columns of docs are ignored, whatever their names.
 
     ranges: the number of key ranges, by default one for each 256 documents, from
     16 to 65,536. carry: columns of docs that the result has too, in a struct
@@ -69,11 +69,12 @@ def mix(
     """
     words = n_words(F.col(text_col)) if size is None else size
     carried = [F.struct(*carry).alias("row")] if carry else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), words.alias("size"), *carried)
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), words.alias("size"), F.md5(F.concat(F.lit(seed + ":"), name)).alias("key"), *carried)
     if ranges is None:
         ranges = max(16, min(65_536, docs.count() // 256))
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = rows.withColumn("key", digest)
+    if not carry:  # words are counted once
+        rows = materialise(rows, "mix-sizes")
     # ranges of equal width of the key's first 32 bits
     part = F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(ranges), 32).cast("int")
     rows = rows.withColumn("part", part)

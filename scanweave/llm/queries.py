@@ -102,7 +102,7 @@ FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.id = d.doc_id""",
     "op2_mix": r"""
 WITH d AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-           md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+           md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS k
     FROM documents),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight, 3 * source_size AS cap FROM s),
