@@ -73,15 +73,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Trees from labelled documents whose remainder isn't 0: at most max_rows of them, the first by MD5 of the id.
 
     Labels other than 0 and 1 are no labels; an id with several labels has the
-    greatest. With no labelled rows, or labels of one kind, the trees score all
+    greatest, an id with several texts the least. With no labelled rows, or labels of one kind, the trees score all
     documents alike.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg(F.max(label_col).cast("double").alias("label"))
     drawn = known.where(remainder(F.col("lid")) != 0).orderBy(F.md5(F.col("lid").cast("string")), "lid").limit(max_rows)
     cols = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # max_rows bounds the broadcast side
-    rows = cols.join(F.broadcast(drawn), cols["doc_id"] == drawn["lid"]).select("label", "text")
-    got = rows.mapInArrow(_statistics, "label double, x array<double>").limit(2 * max_rows).toArrow()
+    rows = cols.join(F.broadcast(drawn), cols["doc_id"] == drawn["lid"]).groupBy("lid").agg(F.min("label").alias("label"), F.min("text").alias("text"))
+    # a row for each drawn id, of the size of its statistics
+    got = rows.select("label", "text").mapInArrow(_statistics, "label double, x array<double>").toArrow()
     y = got["label"].to_numpy()
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(STATISTICS))
     order = np.lexsort((*x.T, y))  # the trees don't depend on the order in which rows come
