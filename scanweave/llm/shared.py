@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (as in tests) a local one."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset and Spark runs in one process (as in tests) a local one."""
     to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not to:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         to = "file://" + tempfile.mkdtemp(prefix="scanweave-")
         spark.sparkContext.setCheckpointDir(to)
     return to.rstrip("/")
