@@ -34,11 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return to.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: later steps don't repeat the work, and a lost executor costs none of it."""
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder (in a folder for each value of the column by) and read it again: later steps don't repeat the work, and a lost executor costs none of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scanweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

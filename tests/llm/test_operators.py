@@ -527,3 +527,42 @@ def test_shards_are_near_equal(spark):
     # a k-d tree: each source but the hot one lies in few shards
     few = got.join(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "doc_id").groupBy("source").agg(F.count_distinct("shard").alias("n")).where("source <> 'hot'")
     assert max(r.n for r in few.collect()) < 20
+
+
+def brute_tree(points, shards):
+    """index -> shard of (keys, size) points: each node's keys sorted along its widest dimension and cut at the exact weighted quantile."""
+    out, span = {}, lambda at, d: max(points[i][0][d] >> 32 for i in at) - min(points[i][0][d] >> 32 for i in at)
+    root = [max(1, span(range(len(points)), d)) for d in range(4)]
+
+    def cut(at, first, leaves):
+        if leaves == 1 or not at:
+            out.update((i, first) for i in at)
+            return
+        d = max(range(4), key=lambda d: (span(at, d) / root[d], -d))
+        goal, before = sum(points[i][1] for i in at) * (leaves // 2) / leaves, 0
+        for key in sorted({points[i][0][d] for i in at}):
+            size = sum(points[i][1] for i in at if points[i][0][d] == key)
+            if before + size >= goal:
+                break
+            before += size
+        border = key + 1 if before + size - goal < goal - before else key
+        half = leaves // 2
+        cut([i for i in at if points[i][0][d] < border], first, half)
+        cut([i for i in at if points[i][0][d] >= border], first + half, leaves - half)
+
+    cut(list(range(len(points))), 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("most", [256, 3])
+def test_shards_are_those_of_the_tree(spark, monkeypatch, most):
+    monkeypatch.setattr(sharding, "MOST_LEAVES", most)
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(0, 900)), "y" * int(rng.integers(0, 300)), ["en", "de", None][i % 3], "hot" if i % 2 else f"s{i % 5}") for i in range(300)] + [(1, "same", "en", "hot")] * 9 + [(None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    raw = sharding._points(df, "doc_id", "text", "source", "lang").collect()
+    lo, hi, top = min(r.raw_id for r in raw), max(r.raw_id for r in raw), (1 << 30) - 1
+    points = [([(v << 32) + r.low for v in (r.v0, r.v1, r.v2, min(max(int((float(r.raw_id) - lo) * (top / max(1.0, hi - lo))), 0), top))], r.size) for r in raw]
+    want = Counter((raw[i].doc_id, raw[i].size, raw[i].text_crc32, s) for i, s in brute_tree(points, 13).items())
+    got = sharding.shard(df, 13, closeness=0.0).collect()
+    assert bag([(r.doc_id, r.size, r.text_crc32, r.shard) for r in got]) == want
