@@ -6,11 +6,13 @@ those of every document; around each hit the two texts are laid on each other
 and compared word by word, which tolerates substitutions. A document is
 contaminated by an item if some window of 13 words agrees with the item's in 10
 of them or more; an item of 8 to 12 words must agree in four of five over its
-whole length, and shorter items are too common to tell.
+whole length; shorter ones are phrases that stand anywhere, and contaminate a
+document only if it consists of the same words and no more.
 
 The benchmark is the smaller side: it is taken in blocks of a fixed number of
 words, each of which is sent to the executors once and joined with all
-documents there. A larger benchmark takes more passes, not more memory.
+documents there. A pass takes a few blocks and is written before the next ones
+are read: a larger benchmark takes more passes, not more memory.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, text_bytes
+from .shared import WordHashes, materialise, text_bytes
 
 #: Offsets that each mask keeps; all of weight six. At every allowed substitution in a window of 8 to 13 words some mask at some place meets only words that agree, so no overlap is missed.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 5, 6), (0, 1, 3, 4, 6, 7), (0, 1, 2, 7, 8, 9), (0, 1, 3, 6, 8, 9), (0, 1, 2, 8, 9, 10))
 WINDOW, AGREE, LEAST = 13, 10, 8
-BLOCK_WORDS = 1_000_000
-#: Words of documents taken at once.
-AT_ONCE = 1 << 16
+#: Words of a block of the benchmark, and blocks of a pass.
+BLOCK_WORDS, BLOCKS = 1_000_000, 4
+#: Words of documents taken at once, and shared seeds laid out at once.
+AT_ONCE, LAID_OUT = 1 << 16, 1 << 20
 #: Odd factors for the six kept words.
 _FACTORS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _EDGE = b".,;:!?\"'()[]{}<>*#%&$|/\\-_=+~^`"
@@ -71,6 +74,10 @@ class Items:
         self.seed, self.item, self.at = (np.concatenate([none.astype(t), *x]).astype(t) for x, t in ((seed, np.uint64), (item, np.int32), (at, np.int32)))
         order = np.argsort(self.seed, kind="stable")
         self.seed, self.item, self.at = self.seed[order], self.item[order], self.at[order]
+        self.short: dict[bytes, list[int]] = {}
+        for i, h in enumerate(self.words):
+            if 0 < len(h) < LEAST:
+                self.short.setdefault(h.tobytes(), []).append(i)
         self.bits = min(26, max(16, int(32 * len(self.seed) + 1).bit_length()))
         self.bitmap = np.zeros(1 << self.bits, bool)
         self.bitmap[self.seed >> np.uint64(64 - self.bits)] = True
@@ -82,11 +89,14 @@ class Items:
             p = np.flatnonzero(self.bitmap[s >> np.uint64(64 - self.bits)])
             lo, hi = np.searchsorted(self.seed, s[p], "left"), np.searchsorted(self.seed, s[p], "right")
             n = hi - lo
-            if n.any():
-                entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                p = np.repeat(p, n)
-                doc = np.searchsorted(starts, p, "right") - 1
-                out.append(np.stack([doc, self.item[entry].astype(np.int64), p - starts[doc] - self.at[entry]], axis=1))
+            # a frequent seed's places are laid out in slices, so that memory is bounded
+            total = np.concatenate([[0], np.cumsum(n)])
+            for first in range(0, int(total[-1]), LAID_OUT):
+                place = np.arange(first, min(first + LAID_OUT, int(total[-1])))
+                k = np.searchsorted(total, place, "right") - 1
+                entry, at = lo[k] + place - total[k], p[k]
+                doc = np.searchsorted(starts, at, "right") - 1
+                out.append(np.unique(np.stack([doc, self.item[entry].astype(np.int64), at - starts[doc] - self.at[entry]], axis=1), axis=0))
         return np.unique(np.concatenate(out), axis=0)
 
     def best(self, h: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int, int]]:
@@ -115,9 +125,13 @@ class Items:
         def searched() -> Iterator[tuple]:
             starts = np.cumsum([0, *map(len, held[:-1])])
             found = self.hits(np.concatenate(held), starts)
-            for d in np.unique(found[:, 0]):
-                for x in self.best(held[d], found[found[:, 0] == d, 1:]):
-                    yield first + int(d), *x
+            docs, from_ = np.unique(found[:, 0], return_index=True)
+            for d, a, b in zip(docs.tolist(), from_, np.append(from_, len(found))[1:], strict=True):
+                for x in self.best(held[d], found[a:b, 1:]):
+                    yield first + d, *x
+            for d, h in enumerate(held) if self.short else ():
+                for i in self.short.get(h.tobytes(), ()) if len(h) < LEAST else ():
+                    yield first + d, i, len(h), len(h), len(h), len(h), 0, 0
 
         for t in texts:
             held.append(hashes(tokens(t)))
@@ -163,22 +177,49 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     send = docs.sparkSession.sparkContext.broadcast
-    return reduce(DataFrame.union, [cols.mapInArrow(_search(send(b)), RESULT) for b in _blocks(benchmark, item_col, item_text_col)])
+    out: list[DataFrame] = []
+    for more, blocks in _passes(benchmark, item_col, item_text_col):
+        sent = [send(b) for b in blocks]
+        found = reduce(DataFrame.union, [cols.mapInArrow(_search(b), RESULT) for b in sent])
+        out.append(_settled(found, sent) if more else found)
+    return reduce(DataFrame.union, out)
+
+
+def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[bool, list[Items]]]:
+    """(whether more follow, the blocks) of each pass, one at a time."""
+    held: list[Items] = []
+    for b in _blocks(benchmark, id_col, text_col):
+        if len(held) == BLOCKS:
+            yield True, held
+            held = []
+        held.append(b)
+    yield False, held
+
+
+def _settled(df: DataFrame, sent: list) -> DataFrame:
+    """df written and read again; its broadcasts are given up."""
+    out = materialise(df, "overlaps")
+    for b in sent:
+        b.destroy()
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that overlap no item, with all their columns; a row with a null id is kept only if its text is clean too."""
     out = docs
     at = docs.columns.index(text_col)
-    for b in _blocks(benchmark, "item_id", "text"):
-        items = docs.sparkSession.sparkContext.broadcast(b)
+    for more, blocks in _passes(benchmark, "item_id", "text"):
+        sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent: list = sent) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[n for n, *_ in items.value.overlaps(text_bytes(batch.column(at)), hashes)]] = False
+                for items in sent:
+                    keep[[n for n, *_ in items.value.overlaps(text_bytes(batch.column(at)), hashes)]] = False
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(run, docs.schema)
+        if more:
+            out = _settled(out, sent)
     return out
