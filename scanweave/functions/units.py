@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 #: Fixed values (CODATA 2018): speed of light, Planck's constant, electron mass and charge.
 C, H, ME, E = 299792458.0, 6.62607015e-34, 9.1093837015e-31, 1.602176634e-19
 
-#: Spellings of the four detector units, spaces left out, lower case.
-SPELLINGS = {"px": "px", "pixel": "px", "pixels": "px", "": "px", "1/å": "1/Å", "å^-1": "1/Å", "å-1": "1/Å", "1/a": "1/Å", "a^-1": "1/Å", "å⁻¹": "1/Å", "1/angstrom": "1/Å", "1/nm": "1/nm", "nm^-1": "1/nm", "nm-1": "1/nm", "nm⁻¹": "1/nm", "mrad": "mrad", "milliradian": "mrad", "milliradians": "mrad"}
+#: How a reciprocal length can be written, spaces left out and in lower case; {} stands for the length.
+_FORMS = ("1/{}", "{}^-1", "{}-1", "{}⁻¹", "{}^{{-1}}", "{}$^{{-1}}$", "${}^{{-1}}$", "k_{}^-1", "per{}", "{}¯¹")
+#: The lengths, and the names of the two other detector units.
+_LENGTHS = {"1/Å": ("å", "a", "ang", "angstrom", "\\aa"), "1/nm": ("nm", "nanometer", "nanometre")}
+_OTHERS = {"px": ("px", "pixel", "pixels"), "mrad": ("mrad", "mrads", "milliradian", "milliradians")}
+SPELLINGS = {f.format(x): unit for unit, names in _LENGTHS.items() for x in names for f in _FORMS} | {x: unit for unit, names in _OTHERS.items() for x in names}
 
 
-def parse_unit(text: str) -> str:
-    key = text.strip().lower().replace(" ", "")
-    if key not in SPELLINGS:
-        raise ValueError(f"unknown unit {text!r}")
-    return SPELLINGS[key]
+def parse_unit(text: str | None) -> str | None:
+    """px, mrad, 1/nm or 1/Å; None for a blank or unknown label, which claims nothing (px claims that an axis isn't calibrated)."""
+    return SPELLINGS.get("".join((text or "").lower().split()))
 
 
 def wavelength(kev: float) -> float:
@@ -29,10 +31,10 @@ def wavelength(kev: float) -> float:
     return H / sqrt(2 * ME * E * v * (1 + E * v / (2 * ME * C * C))) * 1e10
 
 
-def per_angstrom(unit: str, kev: float | None = None, px_scale: float | None = None) -> float:
-    """How many 1/Å one of the unit is; milliradians need the energy, pixels a scale."""
+def per_angstrom(unit: str | None, kev: float | None = None, px_scale: float | None = None) -> float:
+    """How many 1/Å one of the unit is; milliradians need the energy, pixels a scale; an axis whose unit isn't specified counts as 1/Å."""
     unit = parse_unit(unit)
-    if unit == "1/Å":
+    if unit in ("1/Å", None):
         return 1.0
     if unit == "1/nm":
         return 0.1

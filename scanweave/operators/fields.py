@@ -115,3 +115,11 @@ def dpc_map(field: DataFrame, degrees: float = 0.0, flip: bool = False, corners:
 def resample_plane(plane: DataFrame, grid: DataFrame, ky: float, kx: float) -> DataFrame:
     """A plane's values on another grid, whose index times (ky, kx) is the plane's own."""
     return grid.crossJoin(F.broadcast(plane)).select("y", "x", (F.col("a") * F.col("x") * kx + F.col("b") * F.col("y") * ky + F.col("c")).alias("value"))
+
+
+def magnitude_ceiling(field: DataFrame, sigma: float = 4.0) -> DataFrame:
+    """(ceiling): the magnitude at the rim of a colour wheel, sigma deviations over the mean but no more than the greatest; missing values count as 0, and null stands for no scale."""
+    v = lambda c: F.when(F.abs(c) < float("inf"), F.col(c)).otherwise(0.0)
+    m = field.select(F.hypot(F.coalesce(v("fx"), F.lit(0.0)), F.coalesce(v("fy"), F.lit(0.0))).alias("m"))
+    top = m.agg(F.least(F.max("m"), F.avg("m") + sigma * F.stddev_pop("m")).alias("c"))
+    return top.select(F.when(F.col("c") > 0, F.col("c")).alias("ceiling"))

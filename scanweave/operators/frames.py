@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..axes import Axis
 from ..functions import kernels
 
-VECTORS = "time double, nav_y int, nav_x int, kx double, ky double, intensity double, confidence double, sigma double, ord long"
+VECTORS = "time double, nav_y int, nav_x int, kx double, ky double, intensity double, confidence double, sigma double, ord long, disk_mean double"
 DEFAULT_THRESHOLD = {"nxcorr": 0.5, "dog": 10.0}
 
 
@@ -34,7 +34,7 @@ def map_frames(frames: DataFrame, shape: tuple[int, int], *functions: Callable[[
 
 
 def find_vectors(frames: DataFrame, shape: tuple[int, int], radius: float, method: str = "nxcorr", threshold: float | None = None, distance: float | None = None, ky: Axis | None = None, kx: Axis | None = None, beam_stop: np.ndarray | None = None) -> DataFrame:
-    """Vectors of (y, x, frame): peaks in calibrated coordinates, strongest first at each position; ord follows the position's place on a grid of a million columns."""
+    """Vectors of (y, x, frame): peaks in calibrated coordinates, strongest first at each position; ord has 21 bits each for y, x and the peak's place, and more is an error."""
     if method not in DEFAULT_THRESHOLD:
         raise ValueError("method is nxcorr or dog")
     bar, apart = DEFAULT_THRESHOLD[method] if threshold is None else threshold, 2 * radius if distance is None else distance
@@ -46,32 +46,66 @@ def find_vectors(frames: DataFrame, shape: tuple[int, int], radius: float, metho
             for y, x, f in rows[["y", "x", "frame"]].itertuples(index=False):
                 p = kernels.find_peaks(np.asarray(f, float).reshape(shape), method, radius, bar, apart, beam_stop)
                 n = len(p)
-                parts.append(pd.DataFrame({"time": np.full(n, -1.0), "nav_y": y, "nav_x": x, "kx": ax.offset + ax.scale * p[:, 1], "ky": ay.offset + ay.scale * p[:, 0], "intensity": p[:, 2], "confidence": p[:, 3], "sigma": None, "ord": (y * 1_000_000 + x) * 10_000 + np.arange(n)}))
+                parts.append(pd.DataFrame({"time": np.full(n, -1.0), "nav_y": y, "nav_x": x, "kx": ax.offset + ax.scale * p[:, 1], "ky": ay.offset + ay.scale * p[:, 0], "intensity": p[:, 2], "confidence": p[:, 3], "sigma": None, "ord": numbered(y, x, n), "disk_mean": p[:, 4]}))
             if parts:
                 yield pd.concat(parts)
 
     return frames.select("y", "x", "frame").mapInPandas(run, VECTORS)
 
 
-def drift(frames: DataFrame, shape: tuple[int, int], reference: str | int = "first", upsample: int = 8, most: float = 32.0, least: float = 0.0) -> DataFrame:
-    """(t, dy, dx, sharpness) of a movie (t, frame): each frame's displacement.
+#: Pixels that the running reference takes in one task at most, and the share of the median sharpness below which a frame is kept out of it.
+MOST_RUNNING, CREDIBLE = 1 << 28, 0.25
+
+
+def numbered(y: int, x: int, n: int) -> np.ndarray:
+    """Ordinals of a position's peaks in the order of positions."""
+    if max(y, x, n - 1) >= 1 << 21 or min(y, x) < 0:
+        raise ValueError("a position or its number of peaks is beyond 21 bits")
+    return ((int(y) << 42) | (int(x) << 21)) + np.arange(n)
+
+
+def drift(frames: DataFrame, shape: tuple[int, int], reference: str | int = "first", upsample: int = 8, most: float = 32.0, least: float = 0.0, region: tuple[int, int, int, int] | None = None, reject: bool = True) -> DataFrame:
+    """(t, dy, dx, sharpness) of a movie (t, frame): each frame's displacement, measured in a region (y0, x0, height, width) if one is given.
 
     With a fixed reference ("first", or a frame's t) every frame is solved on its
-    own. "running" compares with the mean of the frames aligned so far: it is
-    serial by nature and runs as one ordered group, so it is for single movies
-    that fit into a task. Steps under `least` count as none.
+    own. "sequential" compares each frame with the one before and adds up: pairs
+    are solved apart, and the sums run over one small row a frame. "running"
+    compares with the mean of the frames aligned so far, and (with reject) keeps
+    frames out of it whose sharpness is under a quarter of the median of those in
+    it; it is serial by nature and runs as one ordered group, so a movie of over
+    MOST_RUNNING pixels is an error. Steps under `least` count as none.
     """
     schema = "t int, dy double, dx double, sharpness double"
     quiet = lambda v: 0.0 if abs(v) < least else v
+    y0, x0, h, w = region or (0, 0, *shape)
+    if y0 < 0 or x0 < 0 or min(h, w) < 2 or y0 + h > shape[0] or x0 + w > shape[1]:
+        raise ValueError("the region isn't inside the frame")
+    seen = lambda f: np.asarray(f, float).reshape(shape)[y0 : y0 + h, x0 : x0 + w]
+    if reference == "sequential":
+        # a row of two numbers a frame
+        order = frames.select("t").withColumn("__before", F.lag("t").over(Window.partitionBy(F.lit(0)).orderBy("t")))
+        pairs = frames.select("t", "frame").join(order, "t").join(frames.select(F.col("t").alias("__before"), F.col("frame").alias("__old")), "__before", "left").select("t", "frame", "__old")
+
+        def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                got = [(0.0, 0.0, np.inf) if old is None else kernels.shift_between(seen(old), seen(f), upsample, most) for f, old in rows[["frame", "__old"]].itertuples(index=False)]
+                yield pd.DataFrame({"t": rows["t"], "dy": [quiet(g[0]) for g in got], "dx": [quiet(g[1]) for g in got], "sharpness": [g[2] for g in got]})
+
+        upto = Window.partitionBy(F.lit(0)).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return pairs.mapInPandas(steps, schema).select("t", F.sum("dy").over(upto).alias("dy"), F.sum("dx").over(upto).alias("dx"), "sharpness")
     if reference == "running":
+        if frames.count() * h * w > MOST_RUNNING:
+            raise ValueError("the movie is too long for a running reference; take sequential or a fixed one")
 
         def serial(rows: pd.DataFrame) -> pd.DataFrame:
-            out, total, n = [], None, 0
+            out, total, n, credible = [], None, 0, []
             for t, f in rows.sort_values("t")[["t", "frame"]].itertuples(index=False):
-                a = np.asarray(f, float).reshape(shape)
+                a = seen(f)
                 dy, dx, s = kernels.shift_between(total / n, a, upsample, most) if n else (0.0, 0.0, np.inf)
-                back = kernels.shifted(a, -dy, -dx, a.mean())
-                total, n = (back if total is None else total + back), n + 1
+                if not reject or not credible or s >= CREDIBLE * np.median(credible):
+                    back = kernels.shifted(a, -dy, -dx, a.mean())
+                    total, n = (back if total is None else total + back), n + 1
+                    credible += [s] if np.isfinite(s) else []
                 out.append((t, quiet(dy), quiet(dx), s))
             return pd.DataFrame(out, columns=["t", "dy", "dx", "sharpness"])
 
@@ -80,11 +114,11 @@ def drift(frames: DataFrame, shape: tuple[int, int], reference: str | int = "fir
     row = frames.where(F.col("t") == first).select("frame").first()
     if row is None:
         raise ValueError("there is no such reference frame")
-    ref = np.asarray(row[0], float).reshape(shape)
+    ref = seen(row[0])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            got = [kernels.shift_between(ref, np.asarray(f, float).reshape(shape), upsample, most) for f in rows["frame"]]
+            got = [kernels.shift_between(ref, seen(f), upsample, most) for f in rows["frame"]]
             yield pd.DataFrame({"t": rows["t"], "dy": [quiet(g[0]) for g in got], "dx": [quiet(g[1]) for g in got], "sharpness": [g[2] for g in got]})
 
     return frames.select("t", "frame").mapInPandas(run, schema)
@@ -148,27 +182,67 @@ def merged_peaks(proposals: DataFrame, tolerance: float, w_conf: float = 0.5, w_
     return proposals.withColumn("score", score).where(F.col("score") >= keep)
 
 
+def local_maxima(frames: DataFrame, shape: tuple[int, int], reach: int, threshold: float) -> DataFrame:
+    """(y, x, py, px, value): pixels of at least the threshold that no pixel within reach exceeds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for y, x, f in rows[["y", "x", "frame"]].itertuples(index=False):
+                a = np.asarray(f, float).reshape(shape)
+                at = kernels.local_maxima(a, reach, threshold)
+                yield pd.DataFrame({"y": y, "x": x, "py": at[:, 0], "px": at[:, 1], "value": a[at[:, 0], at[:, 1]]})
+
+    return frames.select("y", "x", "frame").mapInPandas(run, "y int, x int, py int, px int, value double")
+
+
+def beam_stop(frames: DataFrame, shape: tuple[int, int], level: float = 0.15, grow: int = 2) -> DataFrame:
+    """(py, px): pixels of the mean frame darker than level times its mean, grown; none if they are under 0.1 % or over 45 % of the detector."""
+    h, w = shape
+    mean = frames.select(F.posexplode("frame").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))
+    # a row for each pixel of the detector
+    bar = mean.agg((F.avg("m") * level).alias("bar"))
+    dark = mean.crossJoin(F.broadcast(bar)).where(F.col("m") < F.col("bar")).select("i")
+    share = dark.agg((F.count("*") / (h * w)).alias("share"))
+    dark = dark.crossJoin(F.broadcast(share)).where(F.col("share").between(0.001, 0.45)).select(F.floor(F.col("i") / w).cast("int").alias("py"), (F.col("i") % w).cast("int").alias("px"))
+    reach = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-grow, grow + 1) for b in range(-grow, grow + 1) if abs(a) + abs(b) <= grow])
+    grown = dark.withColumn("o", F.explode(reach)).select((F.col("py") + F.col("o.a")).alias("py"), (F.col("px") + F.col("o.b")).alias("px"))
+    return grown.where(F.col("py").between(0, h - 1) & F.col("px").between(0, w - 1)).distinct()
+
+
+def judged(found: DataFrame, truth: DataFrame, tolerance: float, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
+    """(n_found, n_true, n_hit): peaks (keys..., py, px) against the true ones; a true peak is hit if any found one of its frame lies within the tolerance."""
+    cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    t = truth.select(*keys, F.col("py").alias("ty"), F.col("px").alias("tx"), F.explode(around).alias("s")).select(*keys, "ty", "tx", (cell("ty") + F.col("s.a")).alias("cy"), (cell("tx") + F.col("s.b")).alias("cx"))
+    f = found.select(*keys, "py", "px", cell("py").alias("cy"), cell("px").alias("cx"))
+    hit = t.join(f, [*keys, "cy", "cx"]).where(F.hypot(F.col("py") - F.col("ty"), F.col("px") - F.col("tx")) <= tolerance).select(*keys, "ty", "tx").distinct()
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(found, "n_found").crossJoin(count(truth, "n_true")).crossJoin(count(hit, "n_hit"))
+
+
 def clusters(vectors: DataFrame, eps: float = 0.02, least: int = 5) -> DataFrame:
-    """(kx, ky, n, cluster): density clusters of all vectors' (kx, ky), -1 for noise.
+    """(kx, ky, n, cluster_kx, cluster_ky): density clusters of all vectors' (kx, ky), named after their least core; null for noise.
 
     Points are counted by value first. Cores and their links come from a cell
-    join, and clusters are components of the linked cores, spread by the smallest
-    core id until nothing changes.
+    join, and clusters are components of the linked cores: each takes the least
+    name around it and then that name's own, so rounds grow with the logarithm of
+    a cluster's width.
     """
-    p = vectors.groupBy("kx", "ky").agg(F.count("*").alias("n")).withColumn("id", F.xxhash64("kx", "ky")).checkpoint()
+    p = vectors.groupBy("kx", "ky").agg(F.count("*").alias("n")).withColumn("id", F.struct("kx", "ky")).checkpoint()
     cell = lambda c: F.floor(F.col(c) / eps).cast("long")
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     other = p.select(F.col("id").alias("o"), F.col("n").alias("on"), F.col("kx").alias("ox"), F.col("ky").alias("oy"), F.explode(steps).alias("s"))
     other = other.select("o", "on", "ox", "oy", (F.floor(F.col("ox") / eps).cast("long") + F.col("s.a")).alias("cx"), (F.floor(F.col("oy") / eps).cast("long") + F.col("s.b")).alias("cy"))
     near = p.withColumn("cx", cell("kx")).withColumn("cy", cell("ky")).join(other, ["cx", "cy"]).where((F.col("kx") - F.col("ox")) ** 2 + (F.col("ky") - F.col("oy")) ** 2 <= eps * eps).select("id", "o", "on").checkpoint()
-    core = near.groupBy("id").agg(F.sum("on").alias("m")).where(F.col("m") >= least).select("id")
+    core = near.groupBy("id").agg(F.sum("on").alias("m")).where(F.col("m") >= least).select("id").checkpoint()
+    links = near.join(core, "id", "left_semi").select(F.col("id").alias("a"), F.col("o").alias("b")).checkpoint()
     label = core.select("id", F.col("id").alias("label"))
-    links = near.join(core, "id", "left_semi").select(F.col("id").alias("a"), F.col("o").alias("b"))
     while True:
-        new = links.join(label, links["a"] == label["id"]).groupBy("b").agg(F.min("label").alias("label")).select(F.col("b").alias("id"), "label")
-        new = new.join(core, "id", "left_semi").checkpoint()
+        around = links.join(label, links["a"] == label["id"]).groupBy("b").agg(F.min("label").alias("label")).select(F.col("b").alias("id"), "label").join(core, "id", "left_semi")
+        further = around.select(F.col("id").alias("via"), F.col("label").alias("l2"))
+        new = around.join(further, around["label"] == further["via"]).select("id", F.least("label", "l2").alias("label")).checkpoint()
         if new.join(label.withColumnRenamed("label", "old"), "id").where(F.col("label") < F.col("old")).isEmpty():
             break
         label = new
-    border = links.join(label, links["a"] == label["id"]).groupBy("b").agg(F.min("label").alias("label")).select(F.col("b").alias("id"), F.col("label").alias("cluster"))
-    return p.join(border, "id", "left").select("kx", "ky", "n", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    border = links.join(label, links["a"] == label["id"]).groupBy("b").agg(F.min("label").alias("label")).select(F.col("b").alias("id"), "label")
+    return p.join(border, "id", "left").select("kx", "ky", "n", F.col("label.kx").alias("cluster_kx"), F.col("label.ky").alias("cluster_ky"))

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import working_dir
+from .grid import nav_grid
+
 #: A reference side is sent to every executor only up to this many rows.
 MOST_REFERENCES = 10_000
 
@@ -30,14 +33,20 @@ def nearest_within(vectors: DataFrame, reference: DataFrame, tolerance: float, b
     ref = reference.select("ref", "gx", "gy", F.lit(0).alias("neg"))
     if both_signs:
         ref = ref.union(reference.select("ref", -F.col("gx"), -F.col("gy"), F.lit(1)))
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     cell = lambda c: F.floor(c / tolerance).cast("long")
-    ref = ref.withColumn("__s", F.explode(steps)).select("ref", "gx", "gy", "neg", (cell(F.col("gx")) + F.col("__s.a")).alias("cx"), (cell(F.col("gy")) + F.col("__s.b")).alias("cy"))
-    cand = vectors.withColumn("cx", cell(F.col("kx"))).withColumn("cy", cell(F.col("ky"))).join(ref, ["cx", "cy"])
-    d = F.hypot(F.col("kx") - F.col("gx"), F.col("ky") - F.col("gy"))
-    keys = [c for c in ("nav_y", "nav_x", "ord") if c in vectors.columns]
-    best = F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "ref", "neg"))
-    return cand.withColumn("distance", d).where(F.col("distance") < tolerance).withColumn("__n", best).where("__n = 1").drop("__n", "cx", "cy", "neg")
+    ref = ref.withColumn("__s", F.explode(_around())).select("ref", "gx", "gy", "neg", (cell(F.col("gx")) + F.col("__s.a")).alias("__cx"), (cell(F.col("gy")) + F.col("__s.b")).alias("__cy"))
+    # a vector meets one row, its cell's, so the best is picked without a shuffle of candidates
+    cells = ref.groupBy("__cx", "__cy").agg(F.collect_list(F.struct("ref", "neg", "gx", "gy")).alias("__r"))
+    own = vectors.withColumn("__cx", cell(F.col("kx"))).withColumn("__cy", cell(F.col("ky")))
+    far = lambda r: F.hypot(F.col("kx") - r["gx"], F.col("ky") - r["gy"])
+    best = F.array_min(F.transform("__r", lambda r: F.struct(far(r).alias("distance"), r["ref"].alias("ref"), r["neg"].alias("neg"), r["gx"].alias("gx"), r["gy"].alias("gy"))))
+    out = own.join(cells, ["__cx", "__cy"]).withColumn("__b", best).where(F.col("__b.distance") < tolerance)
+    return out.select(*vectors.columns, *[F.col(f"__b.{c}").alias(c) for c in ("ref", "gx", "gy", "distance")])
+
+
+def _around() -> Column:
+    """The steps to a cell and its eight neighbours."""
+    return F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
 
 
 def one_per_reference(matched: DataFrame, keys: tuple[str, ...] = ("nav_y", "nav_x")) -> DataFrame:
@@ -60,49 +69,58 @@ def nearest_family(values: DataFrame, families: list[float], tolerance: float, c
 
 
 def friedel_pairs(vectors: DataFrame, tolerance: float, keys: tuple[str, ...] = ("nav_y", "nav_x")) -> DataFrame:
-    """vectors with paired: whether the same position has another vector within the tolerance of its opposite."""
-    cell = lambda c: F.floor(c / tolerance).cast("long")
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    other = vectors.select(*keys, F.col("ord").alias("o_ord"), (-F.col("kx")).alias("okx"), (-F.col("ky")).alias("oky"), F.explode(steps).alias("s"))
-    other = other.select(*keys, "o_ord", "okx", "oky", (cell(F.col("okx")) + F.col("s.a")).alias("cx"), (cell(F.col("oky")) + F.col("s.b")).alias("cy"))
-    own = vectors.withColumn("cx", cell(F.col("kx"))).withColumn("cy", cell(F.col("ky")))
-    hit = own.join(other, [*keys, "cx", "cy"]).where((F.hypot(F.col("kx") - F.col("okx"), F.col("ky") - F.col("oky")) <= tolerance) & (F.col("ord") != F.col("o_ord"))).select(*keys, "ord").distinct().withColumn("paired", F.lit(True))
-    return vectors.join(hit, [*keys, "ord"], "left").fillna(False, subset=["paired"])
+    """vectors with paired: whether the same position has another vector within the tolerance of its opposite.
 
-
-def k_nearest(points: DataFrame, k: int, cell: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(id, rank, n_id, distance): the k nearest other points (id, x, y), nearest first, among those within a cell's width; ties to the smaller id.
-
-    Points meet in cells. Where a point finds fewer than k within the width,
-    widen it; `k_nearest_all` does.
+    Equal vectors of a position are one point for the join, which keeps the least
+    and the greatest ord of what it meets: a vector is paired unless that is itself.
     """
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    of = lambda c: F.floor(F.col(c) / cell).cast("long")
-    other = points.select(*keys, F.col("id").alias("n_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.explode(steps).alias("s"))
-    other = other.select(*keys, "n_id", "nx", "ny", (F.floor(F.col("nx") / cell).cast("long") + F.col("s.a")).alias("cx"), (F.floor(F.col("ny") / cell).cast("long") + F.col("s.b")).alias("cy"))
-    own = points.withColumn("cx", of("x")).withColumn("cy", of("y"))
+    cell = lambda c: F.floor(c / tolerance).cast("long")
+    points = vectors.groupBy(*keys, "kx", "ky").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
+    other = points.select(*keys, (-F.col("kx")).alias("okx"), (-F.col("ky")).alias("oky"), "lo", "hi", F.explode(_around()).alias("s"))
+    other = other.select(*keys, "okx", "oky", "lo", "hi", (cell(F.col("okx")) + F.col("s.a")).alias("cx"), (cell(F.col("oky")) + F.col("s.b")).alias("cy"))
+    own = points.drop("lo", "hi").withColumn("cx", cell(F.col("kx"))).withColumn("cy", cell(F.col("ky")))
+    near = own.join(other, [*keys, "cx", "cy"]).where(F.hypot(F.col("kx") - F.col("okx"), F.col("ky") - F.col("oky")) <= tolerance)
+    met = near.groupBy(*keys, "kx", "ky").agg(F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
+    paired = F.coalesce((F.col("__lo") != F.col("ord")) | (F.col("__hi") != F.col("ord")), F.lit(False))
+    return vectors.join(met, [*keys, "kx", "ky"], "left").select(*vectors.columns, paired.alias("paired"))
+
+
+def k_nearest(points: DataFrame, k: int, cell: float, keys: tuple[str, ...] = (), among: DataFrame | None = None) -> DataFrame:
+    """(id, rank, n_id, distance, nx, ny): the k nearest other points (id, x, y), nearest first, among those within a cell's width; ties to the smaller id.
+
+    Points meet in cells; the searching points go to the nine around their own,
+    `among` (by default all points) stay in theirs. Where a point finds fewer than
+    k within the width, widen it; `k_nearest_all` does.
+    """
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+    other = (points if among is None else among).select(*keys, F.col("id").alias("n_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), at("x").alias("cx"), at("y").alias("cy"))
+    own = points.select(*keys, "id", "x", "y", F.explode(_around()).alias("s")).select(*keys, "id", "x", "y", (at("x") + F.col("s.a")).alias("cx"), (at("y") + F.col("s.b")).alias("cy"))
     d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
     pairs = own.join(other, [*keys, "cx", "cy"]).where(F.col("id") != F.col("n_id")).withColumn("distance", d).where(F.col("distance") <= cell)
     rank = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("distance", "n_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(*keys, "id", "rank", "n_id", "distance", "nx", "ny")
 
 
-def k_nearest_all(points: DataFrame, k: int, cell: float, doublings: int = 20) -> DataFrame:
-    """k_nearest of every point: those that found fewer than k search again with twice the width, until all have k or all others."""
-    total = points.count()
-    want = min(k, total - 1)
-    done, todo, out = None, points, None
-    for _ in range(doublings):
-        got = k_nearest(points, k, cell).join(todo.select(F.col("id").alias("t_id")), F.col("id") == F.col("t_id"), "left_semi")
-        full = got.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= want).select(F.col("id").alias("f_id"))
-        part = got.join(full, F.col("id") == F.col("f_id"), "left_semi")
-        out = part if out is None else out.unionByName(part)
-        done = full if done is None else done.union(full)
-        todo = points.join(done, F.col("id") == F.col("f_id"), "left_anti")
-        if want <= 0 or todo.isEmpty():
+def k_nearest_all(points: DataFrame, k: int, cell: float) -> DataFrame:
+    """k_nearest of every point: those that found fewer than k search again with twice the width, until all have k or all others.
+
+    Only points that still search are joined, and each round's result is written
+    to the checkpoint folder. Points without finite coordinates take no part.
+    """
+    working_dir(points.sparkSession)
+    finite = points.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).select("id", "x", "y")
+    want = min(k, finite.count() - 1)
+    if want < 1:
+        return k_nearest(finite.where("false"), k, cell)
+    out, todo = None, finite
+    while True:
+        got = k_nearest(todo, k, cell, among=finite)
+        got = got.withColumn("__n", F.count("*").over(Window.partitionBy("id"))).where(F.col("__n") >= want).drop("__n").checkpoint()
+        out = got if out is None else out.unionByName(got)
+        todo = todo.join(got.select("id").distinct(), "id", "left_anti").checkpoint()
+        if todo.isEmpty():
             return out
         cell *= 2
-    return out
 
 
 def greedy(pairs: pd.DataFrame, a: str, b: str, by: list[str]) -> pd.DataFrame:
@@ -168,15 +186,31 @@ def shells(tilts: list[float], tolerance: float) -> list[int]:
     return [out[i] for i in range(len(tilts))]
 
 
-def interpolated(times: DataFrame, trace: DataFrame) -> DataFrame:
-    """(t, value): a trace (t, value) at other times, linear between its points and constant beyond its ends."""
-    marks = trace.select("t", "value", F.lit(False).alias("asked")).union(times.select("t", F.lit(None).cast("double"), F.lit(True)))
-    before = Window.partitionBy(F.lit(0)).orderBy("t", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(F.lit(0)).orderBy("t", F.desc("asked")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    point = F.when(~F.col("asked"), F.struct("t", "value"))
-    rows = marks.withColumn("p", F.last(point, ignorenulls=True).over(before)).withColumn("n", F.first(point, ignorenulls=True).over(after)).where("asked")
+def interpolated(times: DataFrame, trace: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(t, value): a trace (t, value) at other times, linear between its points and constant beyond its ends.
+
+    Times fall into ranges of about as many points of the trace each (by default
+    as many as there are shuffle partitions, 64 at most). The last point before and the first one
+    after a time come from its own range, or from what the ranges beside it hand
+    on: one row a range.
+    """
+    points = trace.where(F.col("t").isNotNull() & F.col("value").isNotNull()).groupBy("t").agg(F.avg("value").alias("value"))
+    n = ranges or min(64, int(times.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = sorted(set((points.agg(F.percentile_approx("t", [i / n for i in range(1, n)], 1000)).first()[0] if n > 1 else None) or []))
+    at = sum(((F.col("t") >= e).cast("int") for e in edges), F.lit(0)).alias("r")
+    asked = times.select("t").distinct()
+    marks = points.select("t", F.struct("t", "value").alias("p"), at).union(asked.select("t", F.lit(None).cast("struct<t:double,value:double>"), at))
+    before = Window.partitionBy("r").orderBy("t", F.col("p").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("r").orderBy("t", F.col("p").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = marks.withColumn("b", F.last("p", ignorenulls=True).over(before)).withColumn("a", F.first("p", ignorenulls=True).over(after)).where("p IS NULL")
+    # a row for each range
+    ends = nav_grid(times.sparkSession, r=len(edges) + 1).join(points.withColumn("r", at).groupBy("r").agg(F.min(F.struct("t", "value")).alias("first"), F.max(F.struct("t", "value")).alias("last")), "r", "left")
+    line = Window.partitionBy(F.lit(0)).orderBy("r")
+    ends = ends.select("r", F.last("last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("b0"), F.first("first", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("a0"))
+    rows = rows.join(ends, "r").select("t", F.coalesce("b", "b0").alias("p"), F.coalesce("a", "a0").alias("n"))
     slope = F.when(F.col("n.t") > F.col("p.t"), F.col("p.value") + (F.col("n.value") - F.col("p.value")) * (F.col("t") - F.col("p.t")) / (F.col("n.t") - F.col("p.t")))
-    return rows.select("t", F.coalesce(slope, F.col("p.value"), F.col("n.value")).alias("value"))
+    found = rows.select("t", F.coalesce(slope, F.col("p.value"), F.col("n.value")).alias("value"))
+    return times.select("t").join(found, "t")
 
 
 def shift_vectors(vectors: DataFrame, shifts: DataFrame, keys: tuple[str, ...] = ("nav_y", "nav_x")) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import let
+from ..functions.kernels import total_variation
 from .grid import EIGHT, FOUR, neighbours
 
 
@@ -64,7 +65,8 @@ def poor_fits(fits: DataFrame, factor: float = 2.0) -> DataFrame:
 def persistent(peaks: DataFrame, tolerance: float, least: int) -> DataFrame:
     """The peaks (y, x, py, px, ord) that at least `least` of the four neighbouring frames have within tolerance; frames with fewer neighbours are not filtered.
 
-    Peaks meet in cells as wide as the tolerance, so the join is on equality.
+    Peaks meet in cells as wide as the tolerance, so the join is on equality;
+    equal peaks of a frame are one point for it.
     """
     cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
     frames = peaks.select("y", "x").distinct()
@@ -73,12 +75,13 @@ def persistent(peaks: DataFrame, tolerance: float, least: int) -> DataFrame:
     count = frames.select((F.col("y")).alias("fy"), F.col("x").alias("fx"), F.explode(steps).alias("o")).select("fy", "fx", (F.col("fy") + F.col("o.dy")).alias("y"), (F.col("fx") + F.col("o.dx")).alias("x")).join(frames, ["y", "x"]).groupBy("fy", "fx").agg(F.count("*").alias("frames"))
     # each neighbour's peaks, with the number of the offset they came by
     numbered = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("dy"), F.lit(b).alias("dx")) for k, (a, b) in enumerate(FOUR)])
-    near = peaks.select("py", "px", "y", "x", F.explode(numbered).alias("o")).select((F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("o.k").alias("k"), F.col("py").alias("n_py"), F.col("px").alias("n_px"))
+    points = peaks.select("y", "x", "py", "px").distinct()
+    near = points.select("py", "px", "y", "x", F.explode(numbered).alias("o")).select((F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("o.k").alias("k"), F.col("py").alias("n_py"), F.col("px").alias("n_px"))
     near = near.withColumn("cy", F.floor(F.col("n_py") / tolerance).cast("long")).withColumn("cx", F.floor(F.col("n_px") / tolerance).cast("long"))
-    spread = peaks.withColumn("__c", F.explode(around)).withColumn("cy", cell("py") + F.col("__c.a")).withColumn("cx", cell("px") + F.col("__c.b")).drop("__c")
+    spread = points.withColumn("__c", F.explode(around)).withColumn("cy", cell("py") + F.col("__c.a")).withColumn("cx", cell("px") + F.col("__c.b")).drop("__c")
     d2 = (F.col("py") - F.col("n_py")) ** 2 + (F.col("px") - F.col("n_px")) ** 2
-    hits = spread.join(near, ["y", "x", "cy", "cx"]).where(d2 <= tolerance * tolerance).groupBy("y", "x", "ord").agg(F.count_distinct("k").alias("hits"))
-    out = peaks.join(hits, ["y", "x", "ord"], "left").join(count.withColumnRenamed("fy", "y").withColumnRenamed("fx", "x"), ["y", "x"], "left")
+    hits = spread.join(near, ["y", "x", "cy", "cx"]).where(d2 <= tolerance * tolerance).groupBy("y", "x", "py", "px").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, k)"))).alias("hits"))
+    out = peaks.join(hits, ["y", "x", "py", "px"], "left").join(count.withColumnRenamed("fy", "y").withColumnRenamed("fx", "x"), ["y", "x"], "left")
     keep = (F.coalesce("frames", F.lit(0)) < least) | (F.coalesce("hits", F.lit(0)) >= least)
     return out.where(keep).select(*peaks.columns)
 
@@ -124,6 +127,31 @@ def median_filter(values: DataFrame, value: str = "value") -> DataFrame:
     return rows.join(medians, ["y", "x"], "left").select("y", "x", F.when(F.col(value).isNotNull(), F.col("__m")).alias(value))
 
 
+def smoothed_strain(strains: DataFrame, components: tuple[str, ...] = ("exx", "eyy", "exy")) -> DataFrame:
+    """(y, x, components...) with each component's 3 x 3 median; missing positions stay missing. One pass over the neighbours for all components."""
+    rows = strains.select("y", "x", *components)
+    around = rows.union(neighbours(rows, list(components), EIGHT))
+    medians = around.groupBy("y", "x").agg(*[F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in components])
+    return rows.join(medians, ["y", "x"], "left").select("y", "x", *[F.when(F.col(c).isNotNull(), F.col(f"__{c}")).alias(c) for c in components])
+
+
+def denoised_strain(strains: DataFrame, tile: int = 64, depth: int = 16, weight: float = 0.03, components: tuple[str, ...] = ("exx", "eyy", "exy")) -> DataFrame:
+    """Total-variation denoising of each component, tile by tile with a halo of depth; missing positions stay missing. The prior acts over a few positions, so a halo of 16 leaves no seams."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
+        out = rows[["y", "x"]].copy()
+        for c in components:
+            a = np.full((y.max() - y.min() + 1, x.max() - x.min() + 1), np.nan)
+            a[y - y.min(), x - x.min()] = rows[c].to_numpy(float)
+            out[c] = total_variation(a, weight)[y - y.min(), x - x.min()]
+        return out[~rows["halo"].to_numpy(bool)]
+
+    cols = strains.select("y", "x", *[F.col(c).cast("double").alias(c) for c in components])
+    out = map_tiles(cols, run, "y int, x int, " + ", ".join(f"{c} double" for c in components), depth, tile)
+    return out.select("y", "x", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in components])
+
+
 def coarse_nodes(n: int, stride: int) -> list[int]:
     """Every stride-th index, the last one always."""
     return sorted({*range(0, n, stride), n - 1})

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import compared
+from .grid import EIGHT, neighbours
 
 def euler_matrix(phi1: Column, big_phi: Column, phi2: Column) -> list[list[Column]]:
     """Bunge z-x-z, sample to crystal."""
@@ -66,45 +68,101 @@ def normalised(a: np.ndarray) -> np.ndarray:
     return a / np.where(n > 0, n, 1)
 
 
-def dictionary_index(patterns: DataFrame, dictionary: DataFrame, k: int, tile: int = 4096) -> DataFrame:
+def dictionary_index(patterns: DataFrame, dictionary: DataFrame, k: int, tile: int = 16_384) -> DataFrame:
     """(id, rank, template, score): each pattern's k best templates by normalised cross-correlation, ties to the smaller template.
 
-    The dictionary goes through the driver tile by tile, and each tile's bounded
-    matrix is sent to the executors and multiplied with batches of patterns;
-    running top k of the tiles are merged by a ranking.
+    Patterns and templates meet in a grid of blocks: a task keeps a tile of
+    templates as one matrix, multiplies it with the patterns that stream past and
+    passes on k rows for each; the tiles' lists are merged by a ranking.
     """
-    spark = patterns.sparkSession
-    parts, rows = [], []
-
-    def tiled() -> None:
-        ids, t = np.array([r[0] for r in rows], np.int64), normalised(np.array([r[1] for r in rows], float))
-        order = np.argsort(ids)
-        block = spark.sparkContext.broadcast((ids[order], t[order]))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, templates = block.value
-            for b in batches:
-                if len(b):
-                    s = np.round(normalised(np.array(b["pattern"].tolist(), float)) @ templates.T, 12)
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), top.shape[1]), "template": names[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
-
-        parts.append(patterns.select("id", "pattern").mapInPandas(run, "id long, template long, score double"))
-
-    for r in dictionary.select("id", "pattern").toLocalIterator():
-        rows.append(r)
-        if len(rows) == tile:
-            tiled()
-            rows = []
-    if rows:
-        tiled()
-    if not parts:
-        return spark.createDataFrame([], "id long, rank int, template long, score double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+
+    def run(templates: pd.DataFrame, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, t = templates["id"].to_numpy(), normalised(np.array(templates["pattern"].tolist(), float))
+        order = np.argsort(names, kind="stable")
+        names, t = names[order], t[order].T
+        for b in batches:
+            for at in range(0, len(b), 1024):
+                rows = b.iloc[at : at + 1024]
+                s = np.round(normalised(np.array(rows["pattern"].tolist(), float)) @ t, 12)
+                if k < s.shape[1]:  # partition selection; among equals of the last place the smaller templates stay
+                    least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                    free = k - (s > least).sum(axis=1, keepdims=True)
+                    keep = (s > least) | ((s == least) & (np.cumsum(s == least, axis=1) <= free))
+                else:
+                    keep = np.ones_like(s, bool)
+                r, c = np.nonzero(keep)
+                yield pd.DataFrame({"id": rows["id"].to_numpy()[r], "template": names[c], "score": s[r, c]})
+
+    lists = compared(dictionary.select("id", "pattern"), patterns.select("id", "pattern"), "id", "pattern", tile, run, "id long, template long, score double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "template"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "template", "score")
+    return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "template", "score")
+
+
+def best_match(matches: DataFrame) -> DataFrame:
+    """(id, template, score): the first of each list."""
+    return matches.where(F.col("rank") == 1).select("id", "template", "score")
+
+
+def with_templates(matches: DataFrame, templates: DataFrame) -> DataFrame:
+    """matches (…, template) with their template's quaternion and phase, of templates (template, qw, qx, qy, qz, phase)."""
+    return matches.join(templates.select("template", "qw", "qx", "qy", "qz", "phase"), "template")
+
+
+def cubic_group() -> list[tuple[float, float, float, float]]:
+    """The 24 rotations of a cube as quaternions: four about nothing or a half turn, eight about body diagonals, twelve quarter turns and edge turns."""
+    h, r = 0.5, float(np.sqrt(0.5))
+    units = [tuple(float(i == k) for i in range(4)) for k in range(4)]
+    halves = [(h, a * h, b * h, c * h) for a in (1, -1) for b in (1, -1) for c in (1, -1)]
+    pairs = [tuple(r if i == a else s * r if i == b else 0.0 for i in range(4)) for a in range(4) for b in range(a + 1, 4) for s in (1, -1)]
+    return units + halves + pairs
+
+
+def quaternion_product(a: list[Column], b: list[Column | float]) -> list[Column]:
+    (aw, ax, ay, az), (bw, bx, by, bz) = a, b
+    return [aw * bw - ax * bx - ay * by - az * bz, aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw]
+
+
+def _variant_of(own: list[Column], other: list[Column], names: list[str]) -> Callable[[Column], Column]:
+    """For a symmetry rotation s: other's variant by it, turned to own's sign, and how near it is."""
+
+    def variant(s: Column) -> Column:
+        v = quaternion_product([s[i] for i in range(4)], other)
+        dot = sum((a * b for a, b in zip(own[1:], v[1:], strict=True)), own[0] * v[0])
+        turn = F.when(dot < 0, -1.0).otherwise(1.0)
+        return F.struct(F.abs(dot).alias("dot"), *[(c * turn).alias(n) for c, n in zip(v, names, strict=True)])
+
+    return variant
+
+
+def smoothed_orientations(fits: DataFrame, symmetries: dict[int, list[tuple[float, float, float, float]]], threshold_degrees: float = 5.0, rounds: int = 2) -> DataFrame:
+    """fits (y, x, phase, weight, qw, qx, qy, qz) with each position's weighted mean of itself and its eight neighbours of the same phase and grain.
+
+    A neighbour counts in its symmetric variant nearest the position, of either
+    sign, and only within the threshold. A position without weight (null, or not
+    positive) is neither changed nor counted. symmetries: the rotations of each
+    phase; a phase without an entry has none but the identity.
+    """
+    q = ["qw", "qx", "qy", "qz"]
+    keep = [c for c in fits.columns if c not in q]
+    table = F.lit(None).cast("array<array<double>>")
+    for phase, group in symmetries.items():
+        table = F.when(F.col("phase") == phase, F.array(*[F.array(*map(F.lit, map(float, s))) for s in group])).otherwise(table)
+    table = F.coalesce(table, F.array(F.array(*[F.lit(x) for x in (1.0, 0.0, 0.0, 0.0)])))
+    ok = F.coalesce(F.col("weight") > 0, F.lit(False))
+    out = fits
+    for _ in range(rounds):
+        near = neighbours(out.where(ok), ["phase", "weight", *q], EIGHT)
+        both = out.where(ok).select("y", "x", "phase", *q, table.alias("group")).join(near.withColumnRenamed("n_phase", "other"), ["y", "x"]).where(F.col("phase") == F.col("other"))
+        own, other = [F.col(c) for c in q], [F.col(f"n_{c}") for c in q]
+
+        both = both.withColumn("v", F.array_max(F.transform("group", _variant_of(own, other, q))))
+        degrees = F.degrees(2 * F.acos(F.least(F.lit(1.0), F.col("v.dot"))))
+        sums = both.where(degrees <= threshold_degrees).groupBy("y", "x").agg(*[F.sum(F.col("n_weight") * F.col(f"v.{c}")).alias(f"s_{c}") for c in q])
+        joined = out.join(sums, ["y", "x"], "left")
+        total = {c: F.col(c) * F.col("weight") + F.coalesce(f"s_{c}", F.lit(0.0)) for c in q}
+        norm = F.sqrt(sum((total[c] * total[c] for c in q[1:]), total["qw"] * total["qw"]))
+        out = joined.select(*keep, *[F.when(ok & (norm > 0), total[c] / norm).otherwise(F.col(c)).alias(c) for c in q])
+    return out.select(*fits.columns)
 
 
 def merge_phases(scores: DataFrame, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
@@ -117,15 +175,16 @@ def phase_ranking(residuals: DataFrame) -> DataFrame:
     return residuals.withColumn("rank", F.row_number().over(w))
 
 
-def d_spacings(spark, a: float, b: float, c: float, n: int) -> DataFrame:
-    """(h, k, l, d) of an orthogonal cell for all indices up to n, one of each opposite pair."""
+def d_spacings(spark, a: float, b: float, c: float, n: int, both_signs: bool = False) -> DataFrame:
+    """(h, k, l, d) of an orthogonal cell for all indices up to n, one of each opposite pair (as for bands) or both (as for spots)."""
     rng = spark.range((2 * n + 1) ** 3)
     w = 2 * n + 1
     i = F.col("id")
     hkl = rng.select((F.floor(i / (w * w)) - n).alias("h"), (F.floor(i / w) % w - n).alias("k"), (i % w - n).alias("l"))
     first = (F.col("h") > 0) | ((F.col("h") == 0) & ((F.col("k") > 0) | ((F.col("k") == 0) & (F.col("l") > 0))))
     d = 1 / F.sqrt((F.col("h") / a) ** 2 + (F.col("k") / b) ** 2 + (F.col("l") / c) ** 2)
-    return hkl.where(first).withColumn("d", d)
+    some = (F.col("h") != 0) | (F.col("k") != 0) | (F.col("l") != 0)
+    return hkl.where(some if both_signs else first).withColumn("d", d)
 
 
 def friedel_half(vectors: DataFrame, columns: tuple[str, str] = ("kx", "ky")) -> DataFrame:

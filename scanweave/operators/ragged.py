@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,13 +33,19 @@ def _reducer(name: str, column: Column) -> Column:
 def reduce_map(vectors: DataFrame, sizes: dict[str, int], column: str, reducer: str | Callable[[pd.Series], float], fill: float | None = None) -> DataFrame:
     """(positions..., value): a column reduced at each position; empty positions have 0 for sum and count and fill for the others.
 
-    NaN counts as missing. A callable gets a position's values as a Series.
+    NaN counts as missing. A callable gets a position's values, in ascending
+    order, as a Series; many positions come in a batch.
     """
     keys = list(sizes)
     if callable(reducer):
         schema = ", ".join(f"{k} int" for k in keys) + ", value double"
         cut = vectors.select(*[F.col(k).cast("int").alias(k) for k in keys], F.col(column).cast("double").alias("__v"))
-        got = cut.groupBy(*keys).applyInPandas(lambda key, rows: pd.DataFrame([[*key, float(reducer(rows["__v"]))]], columns=[*keys, "value"]), schema)
+
+        def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                yield rows[keys].assign(value=[float(reducer(pd.Series(v, dtype=float))) for v in rows["__v"]])
+
+        got = cut.groupBy(*keys).agg(F.array_sort(F.collect_list("__v")).alias("__v")).mapInPandas(reduced, schema)
     else:
         v = F.lit(1) if reducer == "count" else F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
         got = vectors.groupBy(*keys).agg(_reducer(reducer, v).alias("value"))

@@ -76,31 +76,55 @@ def refined_atoms(images: DataFrame, points: DataFrame, shape: tuple[int, int],
     return images.select("image", "frame").join(lists, "image").mapInPandas(run, "image int, id long, x double, y double, A double, sigma_x double, sigma_y double")
 
 
-def friedel_centre(points: np.ndarray, tolerances: tuple[float, ...] = (8.0, 4.0, 2.0, 1.0)) -> np.ndarray:
-    """The centre of a pattern of opposite points: from the mean on, pairs are made greedily within each tolerance, and the median of their midpoints is the next centre."""
+def nearest_opposites(points: np.ndarray, centre: np.ndarray, most: float, rows: int = 512) -> np.ndarray:
+    """(pairs of places): points that are each other's nearest opposite about a centre, at most `most` apart from it. Distances are taken a block of rows at a time; the first of equals counts."""
+    near, dist = np.zeros(len(points), int), np.zeros(len(points))
+    for a in range(0, len(points), rows):
+        d = ((points[None] - (2 * centre - points[a : a + rows])[:, None]) ** 2).sum(-1)
+        d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
+        d = np.round(d, 12)
+        near[a : a + rows] = d.argmin(axis=1)
+        dist[a : a + rows] = d.min(axis=1)
+    i = np.arange(len(points))
+    good = (near[near] == i) & (i < near) & (dist <= most * most)
+    return np.column_stack([i[good], near[good]])
+
+
+def opposite_pairs(points: np.ndarray, centre: np.ndarray, most: float) -> np.ndarray:
+    """(pairs of places): opposites paired one to one, the nearest first. Points that are each other's nearest are such pairs; those that are left are searched again."""
+    left, out = np.arange(len(points)), [np.zeros((0, 2), int)]
+    while len(left) > 1:
+        pairs = nearest_opposites(points[left], centre, most)
+        if not len(pairs):
+            break
+        out.append(left[pairs])
+        left = np.delete(left, pairs.ravel())
+    return np.concatenate(out)
+
+
+def friedel_centre(points: np.ndarray, tolerances: tuple[float, ...] = (2.0, 1.0, 0.1, 0.1)) -> np.ndarray:
+    """The centre of a pattern of opposite points: from the mean on, opposites are paired within each tolerance (of the median distance from the mean) in turn, and the median of their midpoints is the next centre."""
     c = points.mean(axis=0)
+    if len(points) < 2:
+        return c
+    scale = float(np.median(np.hypot(*(points - c).T))) or 1.0
     for tol in tolerances:
-        d = np.sqrt(((points[None] - (2 * c - points)[:, None]) ** 2).sum(-1))
-        pairs = sorted((d[i, j], i, j) for i in range(len(points)) for j in range(i + 1, len(points)) if d[i, j] <= tol)
-        used: set[int] = set()
-        mid = []
-        for _, i, j in pairs:
-            if i not in used and j not in used:
-                used |= {i, j}
-                mid.append((points[i] + points[j]) / 2)
-        if mid:
-            c = np.median(mid, axis=0)
+        pairs = opposite_pairs(points, c, tol * scale)
+        if len(pairs):
+            c = np.median((points[pairs[:, 0]] + points[pairs[:, 1]]) / 2, axis=0)
     return c
 
 
 def friedel_centres(vectors: DataFrame, keys: tuple[str, ...] = ("nav_y", "nav_x")) -> DataFrame:
-    """(keys..., cx, cy) of each position's pattern."""
+    """(keys..., cx, cy) of each position's pattern. Equal vectors count once; a position's distinct vectors, which its detector bounds, come as one row, many positions in a batch."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        c = friedel_centre(rows[["kx", "ky"]].to_numpy(float))
-        return pd.DataFrame([[*key, *c]], columns=[*keys, "cx", "cy"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            c = np.array([friedel_centre(np.array(p.tolist(), float)) for p in rows["p"]]).reshape(-1, 2)
+            yield rows[list(keys)].assign(cx=c[:, 0], cy=c[:, 1])
 
-    return vectors.select(*keys, "kx", "ky").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} int" for k in keys) + ", cx double, cy double")
+    lists = vectors.select(*keys, "kx", "ky").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list(F.array("kx", "ky"))).alias("p"))
+    return lists.mapInPandas(run, ", ".join(f"{k} int" for k in keys) + ", cx double, cy double")
 
 
 def decoded(heat: np.ndarray, offsets: np.ndarray, threshold: float, most: int) -> np.ndarray:
@@ -110,3 +134,15 @@ def decoded(heat: np.ndarray, offsets: np.ndarray, threshold: float, most: int)
     at = np.argwhere((heat >= top) & (heat >= threshold))
     at = at[np.argsort(-heat[at[:, 0], at[:, 1]], kind="stable")[:most]]
     return np.column_stack([at + offsets[:, at[:, 0], at[:, 1]].T, heat[at[:, 0], at[:, 1]]]) if len(at) else np.zeros((0, 3))
+
+
+def decoded_peaks(heat: DataFrame, shape: tuple[int, int], threshold: float, most: int) -> DataFrame:
+    """(y, x, py, px, confidence) of heat maps (y, x, frame, off_y, off_x), peak by peak."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for y, x, f, oy, ox in rows[["y", "x", "frame", "off_y", "off_x"]].itertuples(index=False):
+                p = decoded(np.asarray(f, float).reshape(shape), np.stack([np.asarray(o, float).reshape(shape) for o in (oy, ox)]), threshold, most)
+                yield pd.DataFrame({"y": y, "x": x, "py": p[:, 0], "px": p[:, 1], "confidence": p[:, 2]})
+
+    return heat.select("y", "x", "frame", "off_y", "off_x").mapInPandas(run, "y int, x int, py double, px double, confidence double")

@@ -104,3 +104,16 @@ def overlay(reference: dict[str, Axis], shift: dict[str, int]) -> dict[str, Axis
     from dataclasses import replace
 
     return {n: replace(a, offset=a.offset + shift.get(n, 0) * a.scale) for n, a in reference.items()}
+
+
+def tiled(df: DataFrame, sizes: dict[str, int], times: dict[str, int]) -> DataFrame:
+    """A scan repeated so many times along each axis."""
+    for name, n in times.items():
+        df = df.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(name, (F.col(name) + F.col("__k") * sizes[name]).cast("int")).drop("__k")
+    return df
+
+
+def overlap_of(members: DataFrame, ny: int, nx: int) -> DataFrame:
+    """(y0, x0, y1, x1): the region that members (oy, ox) of one size have in common, of a table of members."""
+    zero = F.lit(0)
+    return members.agg(F.greatest(zero, F.max(-F.col("oy"))).alias("y0"), F.greatest(zero, F.max(-F.col("ox"))).alias("x0"), F.min(ny - F.col("oy")).alias("y1"), F.min(nx - F.col("ox")).alias("x1"))

@@ -40,12 +40,7 @@ def levenberg_marquardt(model: Model, x: np.ndarray, data: np.ndarray, start: np
             break
         q = p[live]
         base = model.curve(x, q)
-        jac = np.empty((len(live), len(free), m))
-        for k, f in enumerate(free):
-            h = 1e-6 * np.maximum(np.abs(q[:, f]), 1e-3)
-            moved = q.copy()
-            moved[:, f] += h
-            jac[:, k] = (model.curve(x, moved) - base) / h[:, None]
+        jac = model.jacobian(x, q)[:, free]
         wj = jac * w[live][:, None, :]
         a = wj @ jac.transpose(0, 2, 1)
         g = (wj @ (data[live] - base)[:, :, None])[:, :, 0]
@@ -182,6 +177,23 @@ def remove_background(spectra: DataFrame, component: Model, first: int, last: in
     return spectra.select("y", "x", "spectrum").mapInPandas(run, "y int, x int, spectrum array<double>")
 
 
+def power_law_seeds(spectra: DataFrame, first: int, last: int, axis: tuple[float, float], spectrum: str = "spectrum") -> DataFrame:
+    """(y, x, A, r): a power law through the sums of the two halves of a window, without Python: r = 2 ln(I1 / I2) / ln(E3 / E1), and A from the first half's area. Null where a half isn't positive."""
+    offset, scale = axis
+    middle = (first + last) // 2
+    low, mid, high = (offset + scale * i for i in (first, middle, last))
+    if low <= 0 or not first < middle < last:
+        raise ValueError("the window lies at positive energies and has at least two channels")
+    add = lambda a, b: F.aggregate(F.slice(spectrum, a + 1, b - a), F.lit(0.0), lambda s, v: s + v) * scale
+    one, two = add(first, middle), add(middle, last)
+    r = 2 * F.ln(F.col("__1") / F.col("__2")) / float(np.log(high / low))
+    e = 1 - F.col("r")
+    area = F.when(F.abs(e) > 1e-9, (F.pow(F.lit(mid), e) - F.pow(F.lit(low), e)) / e).otherwise(float(np.log(mid / low)))
+    rows = spectra.select("y", "x", one.alias("__1"), two.alias("__2"))
+    ok = (F.col("__1") > 0) & (F.col("__2") > 0)
+    return rows.withColumn("r", F.when(ok, r)).select("y", "x", F.when(ok, F.col("__1") / area).alias("A"), "r")
+
+
 def element_maps(lines: DataFrame) -> DataFrame:
     """(y, x, element, intensity) of lines (y, x, component, intensity) named Element_Line: negative intensities count as 0."""
     element = F.regexp_extract("component", "^([A-Z][a-z]?)_", 1)

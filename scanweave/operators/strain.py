@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import cos, radians, sin
 
 import numpy as np
@@ -85,16 +86,18 @@ def robust_affine(rows: pd.DataFrame, rounds: int = 10, cut: float = 4.685) -> n
 
 
 def robust_strain_map(vectors: DataFrame, reference: DataFrame, tolerance: float, sizes: dict[str, int]) -> DataFrame:
-    """strain_map's strains with outliers turned down: each position's few matches are fitted in one vectorised call."""
+    """strain_map's strains with outliers turned down: each position's few matches (one a reference vector) come as one row, many positions in a batch."""
     keys = tuple(sizes)
     m = one_per_reference(nearest_within(vectors, reference, tolerance), keys).select(*keys, "kx", "ky", "gx", "gy")
 
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a = robust_affine(rows)
-        flat = [np.nan] * 4 if a is None else [a[0, 0], a[0, 1], a[1, 0], a[1, 1]]
-        return pd.DataFrame([[*key, *flat]], columns=[*keys, "t00", "t01", "t10", "t11"])
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            maps = [robust_affine(pd.DataFrame([tuple(r) for r in ms], columns=["kx", "ky", "gx", "gy"])) for ms in rows["m"]]
+            flat = np.array([[np.nan] * 4 if a is None else [a[0, 0], a[0, 1], a[1, 0], a[1, 1]] for a in maps]).reshape(-1, 4)
+            yield rows[list(keys)].assign(**{n: flat[:, i] for i, n in enumerate(("t00", "t01", "t10", "t11"))})
 
-    t = m.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} int" for k in keys) + ", t00 double, t01 double, t10 double, t11 double")
+    lists = m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.array("kx", "ky", "gx", "gy"))).alias("m"))
+    t = lists.mapInPandas(fit, ", ".join(f"{k} int" for k in keys) + ", t00 double, t01 double, t10 double, t11 double")
     t = t.select(*keys, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("t00", "t01", "t10", "t11")])
     return grid_complete(t.select(*keys, *[c.alias(n) for n, c in decomposed(*(F.col(c) for c in ("t00", "t01", "t10", "t11"))).items()]), sizes)
 

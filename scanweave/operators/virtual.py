@@ -23,7 +23,12 @@ def virtual_series(vectors: DataFrame, roi, sizes: dict[str, int], weighted: boo
 
 
 def region_profile(vectors: DataFrame, width: int, height: int, radius: float, scale: float, keys: tuple[str, ...] = ("nav_y", "nav_x")) -> DataFrame:
-    """(ky, kx, value): each vector drawn as a flat disk on the detector; at each position the largest value of a pixel counts, and positions are summed.
+    """(ky, kx, value): vectors drawn as in `rendered`, summed over positions."""
+    return rendered(vectors, width, height, radius, scale, keys).groupBy("ky", "kx").agg(F.sum("value").alias("value"))
+
+
+def rendered(vectors: DataFrame, width: int, height: int, radius: float, scale: float, keys: tuple[str, ...] = ("nav_y", "nav_x")) -> DataFrame:
+    """(keys..., ky, kx, value): each vector drawn as a flat disk on the detector; at each position the largest value of a pixel counts.
 
     A vector's disk is exploded to its pixels, so rows grow with the disk's area only.
     """
@@ -34,7 +39,7 @@ def region_profile(vectors: DataFrame, width: int, height: int, radius: float, s
     drawn = vectors.select(*keys, "intensity", py.alias("py"), px.alias("px"), F.explode(steps).alias("o"))
     drawn = drawn.select(*keys, "intensity", (F.col("py") + F.col("o.dy")).alias("ky"), (F.col("px") + F.col("o.dx")).alias("kx"))
     drawn = drawn.where(F.col("kx").between(0, width - 1) & F.col("ky").between(0, height - 1))
-    return drawn.groupBy(*keys, "ky", "kx").agg(F.max("intensity").alias("v")).groupBy("ky", "kx").agg(F.sum("v").alias("value"))
+    return drawn.groupBy(*keys, "ky", "kx").agg(F.max("intensity").alias("value"))
 
 
 def pick(frame: str, pixels: list[int]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import tempfile
 from dataclasses import asdict
@@ -16,14 +17,16 @@ from ..axes import Axis
 from ..operators.ragged import FORMAT_VERSION, upgraded
 
 #: Readable and writable kinds by ending; the rest of the formats of the field need libraries that aren't here.
-READERS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".raw": "raw", ".rpl": "raw"}
+READERS = {".parquet": "parquet", ".orc": "orc", ".csv": "csv", ".json": "json", ".raw": "raw", ".rpl": "raw", ".npy": "npy", ".mrc": "mrc"}
 WRITERS = (".parquet", ".csv", ".json")
 
 
 def working_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (as in tests)."""
+    """spark.checkpoint.dir, or a local folder where it is unset and Spark runs in one process (as in tests)."""
     to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not to:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         to = "file://" + tempfile.mkdtemp(prefix="scanweave-")
         spark.sparkContext.setCheckpointDir(to)
     return to
@@ -55,6 +58,8 @@ def open_file(spark: SparkSession, path: str, **options) -> DataFrame:
         raise ValueError(f"can't read {ending or 'a path without ending'}; known: {', '.join(READERS)}")
     if READERS[ending] == "raw":
         return raw_frames(spark, path, **options)
+    if READERS[ending] in STACKS:
+        return stack_frames(spark, path, READERS[ending])
     return spark.read.options(**({"header": "true", "inferSchema": "true"} if ending == ".csv" else {}) | options).format(READERS[ending]).load(path)
 
 
@@ -74,6 +79,66 @@ def raw_frames(spark: SparkSession, path: str, height: int, width: int, dtype: s
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, i long, frame array<double>")
 
 
+def _npy(data: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(data), allow_pickle=False)
+
+
+#: Pixel types by the mode of an MRC header.
+MRC_MODES = {0: "i1", 1: "i2", 2: "f4", 6: "u2"}
+
+
+def _mrc(data: bytes) -> np.ndarray:
+    """A stack of an MRC file: sizes and mode in the first four words, the length of an extended header in word 24, pixels after both."""
+    nx, ny, nz, mode = np.frombuffer(data, "<i4", 4)
+    if int(mode) not in MRC_MODES:
+        raise ValueError(f"can't read MRC mode {mode}")
+    extended = int(np.frombuffer(data, "<i4", 1, 92)[0])
+    return np.frombuffer(data, "<" + MRC_MODES[int(mode)], int(nx) * int(ny) * int(nz), 1024 + extended).reshape(nz, ny, nx)
+
+
+STACKS = {"npy": _npy, "mrc": _mrc}
+
+
+def stack_frames(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(path, i, height, width, frame) of files that say their own shape: the last two axes are a frame, the others are numbered in C order. Each file is decoded by the task that reads it."""
+    read = STACKS[kind]
+
+    def decode(batches):
+        for rows in batches:
+            for name, data in rows[["path", "content"]].itertuples(index=False):
+                a = read(data)
+                a = a.reshape(-1, *a.shape[-2:]) if a.ndim > 1 else a.reshape(1, 1, -1)
+                for first in range(0, len(a), 256):
+                    part = a[first : first + 256]
+                    yield pd.DataFrame({"path": name, "i": np.arange(first, first + len(part)), "height": a.shape[1], "width": a.shape[2], "frame": list(part.reshape(len(part), -1).astype(float))})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, i long, height int, width int, frame array<double>")
+
+
+def save_orientations(matches: DataFrame, path: str, phases: list[dict], provenance: dict | None = None) -> None:
+    """An orientation map (y, x, …, phase) with the phases that its numbers stand for."""
+    save(matches, path, None, {"kind": "orientations", "phases": phases} | (provenance or {}))
+
+
+def load_orientations(spark: SparkSession, path: str) -> tuple[DataFrame, list[dict]]:
+    df, _, about = load(spark, path)
+    if about.get("kind") != "orientations":
+        raise ValueError("this isn't an orientation map")
+    return df, about["phases"]
+
+
+def save_drift(shifts: DataFrame, path: str, reference: str, parameters: dict | None = None) -> None:
+    """A drift model: (t, dy, dx, …) with the reference and the parameters of its solution."""
+    save(shifts, path, None, {"kind": "drift", "reference": reference, "parameters": parameters or {}})
+
+
+def load_drift(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    df, _, about = load(spark, path)
+    if about.get("kind") != "drift":
+        raise ValueError("this isn't a drift model")
+    return df, about
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Sizes and times of a source's files, as one hash."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
@@ -112,7 +177,9 @@ def with_unit(df: DataFrame, column: str, unit: str) -> DataFrame:
 
 
 def parse_cif(text: Column) -> dict[str, Column]:
-    """Cell lengths and elements of a CIF text."""
-    num = lambda tag: F.regexp_extract(text, rf"(?m)^\s*_cell_length_{tag}\s+([0-9.]+)", 1).try_cast("double")
+    """Cell lengths and angles, space group and elements of a CIF text; null where it doesn't say."""
+    num = lambda tag: F.regexp_extract(text, rf"(?m)^\s*_cell_{tag}\s+([0-9.]+)", 1).try_cast("double")
+    group = F.trim(F.regexp_extract(text, r"(?m)^\s*_(?:symmetry_)?space_group_name_H-M(?:_alt)?\s+'?([A-Za-z0-9/_ -]+)'?", 1))
     formula = F.regexp_extract(text, r"(?m)^\s*_chemical_formula_sum\s+'?([A-Za-z0-9 .]+)'?", 1)
-    return {"a": num("a"), "b": num("b"), "c": num("c"), "elements": F.array_sort(F.array_distinct(F.regexp_extract_all(formula, F.lit("([A-Z][a-z]?)"), F.lit(1))))}
+    cell = {n: num(f"length_{n}") for n in "abc"} | {n: num(f"angle_{n}") for n in ("alpha", "beta", "gamma")}
+    return cell | {"space_group": F.nullif(group, F.lit("")), "elements": F.array_sort(F.array_distinct(F.regexp_extract_all(formula, F.lit("([A-Z][a-z]?)"), F.lit(1))))}

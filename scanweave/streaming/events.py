@@ -18,6 +18,11 @@ def exposure(frame_seconds: float, frames: int | None = None, ms: float | None =
     return frame_seconds
 
 
+def microseconds(seconds: float) -> str:
+    """A span rounded to the clock's resolution. Planes of whole detector frames that aren't whole microseconds are exact by `frame_planes`."""
+    return f"{max(1, round(seconds * 1e6))} microseconds"
+
+
 def planes(events: DataFrame, seconds: float, late_seconds: float | None = None, bin_factor: int = 1, slide_seconds: float | None = None, time: str = "ts", pixel: str = "pixel") -> DataFrame:
     """(start, pixel, n, total): events counted by exposure window and binned pixel.
 
@@ -26,9 +31,9 @@ def planes(events: DataFrame, seconds: float, late_seconds: float | None = None,
     order, so choose it generously. slide_seconds makes windows overlap.
     """
     if events.isStreaming:
-        events = events.withWatermark(time, f"{int(max(seconds, late_seconds or 0) * 1e3)} milliseconds")
-    width = f"{int(seconds * 1e6)} microseconds"
-    span = F.window(time, width, f"{int(slide_seconds * 1e6)} microseconds" if slide_seconds else width)
+        events = events.withWatermark(time, microseconds(max(seconds, late_seconds or 0)))
+    width = microseconds(seconds)
+    span = F.window(time, width, microseconds(slide_seconds) if slide_seconds else width)
     cell = F.floor(F.col(pixel) / bin_factor).cast("long").alias("pixel")
     return events.groupBy(span.alias("w"), cell).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "pixel", "n", "total")
 
@@ -56,8 +61,8 @@ def latest(rows: DataFrame, keys: tuple[str, ...] = ("y", "x"), order: str = "ba
 def sessions(events: DataFrame, gap_seconds: float, key: str, time: str = "ts", late_seconds: float = 0.0) -> DataFrame:
     """(key, start, end, n): runs of a key's events without a pause as long as the gap."""
     if events.isStreaming:
-        events = events.withWatermark(time, f"{int(max(gap_seconds, late_seconds) * 1e3)} milliseconds")
-    w = F.session_window(time, f"{int(gap_seconds * 1e6)} microseconds")
+        events = events.withWatermark(time, microseconds(max(gap_seconds, late_seconds)))
+    w = F.session_window(time, microseconds(gap_seconds))
     return events.groupBy(key, w.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
