@@ -101,11 +101,11 @@ def unique_vectors(vectors: DataFrame, columns: tuple[str, ...] = ("kx", "ky"))
 
 
 def to_dense(vectors: DataFrame, sizes: dict[str, int], most: int | None = None, order: str = "ord") -> DataFrame:
-    """(positions..., slot, kx, ky, intensity): each position's vectors, null beyond its own count; as many slots as the fullest position has, or only the first `most`."""
+    """(positions..., slot, kx, ky, intensity): each position's vectors, null beyond its own count; as many slots as the fullest position has, or only the first `most`. Vectors of one ord follow by their values."""
     keys = list(sizes)
     if most is None:
         most = vectors.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "kx", "ky", "intensity")) - 1
     rows = vectors.withColumn("slot", nth).where(F.col("slot") < most).select(*keys, "slot", "kx", "ky", "intensity")
     return grid_complete(rows, sizes | {"slot": max(most, 1)}).where(F.col("slot") < most)
 

@@ -109,9 +109,9 @@ def unique_vectors(spark, sf_dir):
     return ragged.unique_vectors(d.vectors(spark, sf_dir))
 
 
-@query(f"WITH {d.VECTORS}, g AS (SELECT CAST(y AS INT) AS nav_y, CAST(x AS INT) AS nav_x, CAST(s AS INT) AS slot FROM range(10) a(y), range(12) b(x), range(5) c(s)), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY nav_y, nav_x ORDER BY ord) - 1 AS INT) AS slot FROM v) SELECT nav_y, nav_x, slot, kx, ky, intensity FROM g LEFT JOIN (SELECT nav_y, nav_x, slot, kx, ky, intensity FROM r) USING (nav_y, nav_x, slot)")
+@query(f"WITH {d.VECTORS}, g AS (SELECT CAST(y AS INT) AS nav_y, CAST(x AS INT) AS nav_x, CAST(s AS INT) AS slot FROM range(10) a(y), range(12) b(x), range((SELECT max(n) FROM (SELECT count(*) AS n FROM v GROUP BY nav_y, nav_x))) c(s)), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY nav_y, nav_x ORDER BY ord, kx, ky, intensity) - 1 AS INT) AS slot FROM v) SELECT nav_y, nav_x, slot, kx, ky, intensity FROM g LEFT JOIN (SELECT nav_y, nav_x, slot, kx, ky, intensity FROM r) USING (nav_y, nav_x, slot)")
 def to_dense(spark, sf_dir):
-    return ragged.to_dense(d.vectors(spark, sf_dir), d.GRID, 5)
+    return ragged.to_dense(d.vectors(spark, sf_dir), d.GRID)
 
 
 @query(f"WITH {d.VECTORS} SELECT nav_y, nav_x, kx, ky, intensity, ord FROM v QUALIFY row_number() OVER (PARTITION BY nav_y, nav_x ORDER BY intensity DESC, ord) = 1")
@@ -183,8 +183,13 @@ def region_profile(spark, sf_dir):
 
 # shapes ------------------------------------------------------------------
 
-def _axes() -> dict[str, Axis]:
-    return {"y": Axis("y", 20), "x": Axis("x", 25), "ky": Axis("ky", 8), "kx": Axis("kx", 8)}
+def _height(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the scan that the table fills, the last one perhaps in part."""
+    return d.frames(spark, sf_dir).agg(F.max("y")).first()[0] + 1
+
+
+def _axes(height: int = 20) -> dict[str, Axis]:
+    return {"y": Axis("y", height), "x": Axis("x", 25), "ky": Axis("ky", 8), "kx": Axis("kx", 8)}
 
 
 @query(f"WITH {d.PIXELS} SELECT CAST(y - 2 AS INT) AS y, x, CAST(ky - 1 AS INT) AS ky, kx, value FROM p WHERE y BETWEEN 2 AND 6 AND ky BETWEEN 1 AND 4")
@@ -199,9 +204,10 @@ def crop_frames(spark, sf_dir):
     return cut.select("y", "x", F.posexplode("frame").alias("place", "value")).withColumn("place", F.col("place") + 1)
 
 
-@query(f"WITH {d.PIXELS} SELECT CAST(y // 2 AS INT) AS y, CAST(x // 5 AS INT) AS x, CAST(ky // 4 AS INT) AS ky, CAST(kx // 2 AS INT) AS kx, round(sum(value), 4) AS value FROM p WHERE y < 20 GROUP BY ALL")
+@query(f"WITH {d.PIXELS} SELECT CAST(y // 2 AS INT) AS y, CAST(x // 5 AS INT) AS x, CAST(ky // 4 AS INT) AS ky, CAST(kx // 2 AS INT) AS kx, round(sum(value), 4) AS value FROM p GROUP BY ALL")
 def rebin_axes(spark, sf_dir):
-    out, _ = shape.rebin(d.pixels(spark, sf_dir).where("y < 20"), _axes(), {"y": 2, "x": 5, "ky": 4, "kx": 2})
+    height = _height(spark, sf_dir)
+    out, _ = shape.rebin(d.pixels(spark, sf_dir), _axes(height + height % 2), {"y": 2, "x": 5, "ky": 4, "kx": 2})
     return rounded(out, 4, "value")
 
 
@@ -216,17 +222,17 @@ def fold_stack(spark, sf_dir):
     return shape.fold(t, 20).select("vec_id", "y", "x")
 
 
-@query(f"WITH {d.PIXELS} SELECT CAST(t AS INT) AS t, y, x, ky, kx, CASE WHEN t = 0 THEN value ELSE value * 2 END AS value FROM p, range(2) r(t) WHERE y < 10 AND x < 20")
+@query(f"WITH {d.PIXELS} SELECT CAST(t AS INT) AS t, y, x, ky, kx, CASE WHEN t = 0 THEN value ELSE value * 2 END AS value FROM p, range(2) r(t) WHERE x < 20")
 def stack_members(spark, sf_dir):
-    p = d.pixels(spark, sf_dir)
-    out = shape.stack([p, p.withColumn("value", F.col("value") * 2)], [{"y": 20, "x": 20, "ky": 8, "kx": 8}, {"y": 10, "x": 25, "ky": 8, "kx": 8}])
+    p, height = d.pixels(spark, sf_dir), _height(spark, sf_dir)
+    out = shape.stack([p, p.withColumn("value", F.col("value") * 2)], [{"y": height, "x": 20, "ky": 8, "kx": 8}, {"y": height, "x": 25, "ky": 8, "kx": 8}])
     return out.select("t", "y", "x", "ky", "kx", "value")
 
 
-@query(f"WITH {d.FRAMES}, s AS (SELECT y, x, list_sum(frame) AS v FROM f), a AS (SELECT y, x, v FROM s WHERE y BETWEEN 0 AND 17 AND x BETWEEN 2 AND 24), b AS (SELECT y - 2 AS y, x + 2 AS x, v FROM s WHERE y - 2 BETWEEN 0 AND 17 AND x + 2 BETWEEN 2 AND 24) SELECT CAST(y AS INT) AS y, CAST(x - 2 AS INT) AS x, round(a.v + b.v, 4) AS value FROM a JOIN b USING (y, x)")
+@query(f"WITH {d.FRAMES}, s AS (SELECT y, x, list_sum(frame) AS v FROM f), a AS (SELECT y, x, v FROM s WHERE x BETWEEN 2 AND 24), b AS (SELECT y - 2 AS y, x + 2 AS x, v FROM s WHERE y >= 2 AND x + 2 BETWEEN 2 AND 24) SELECT CAST(y AS INT) AS y, CAST(x - 2 AS INT) AS x, round(a.v + b.v, 4) AS value FROM a JOIN b USING (y, x)")
 def sum_aligned_members(spark, sf_dir):
-    nav = virtual.navigator(d.frames(spark, sf_dir).where("y < 20"))
-    region = shape.common_region([(0, 0), (2, -2)], [(20, 25), (20, 25)])
+    nav, size = virtual.navigator(d.frames(spark, sf_dir)), (_height(spark, sf_dir), d.COLUMNS)
+    region = shape.common_region([(0, 0), (2, -2)], [size, size])
     both = [shape.aligned(nav, o, region) for o in ((0, 0), (2, -2))]
     return rounded(shape.sum_members(both, ["y", "x"]), 4, "value")
 

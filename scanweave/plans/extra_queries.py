@@ -123,7 +123,7 @@ def identifiers(spark, sf_dir):
 
 @query()
 def friedel_centres(spark, sf_dir):
-    return refine.friedel_centres(d.vectors(spark, sf_dir).where("ord % 97 = 0"))
+    return refine.friedel_centres(d.vectors(spark, sf_dir))
 
 
 @query(f"WITH {d.VECTORS} SELECT ord, (kx - 0.2) ** 2 + ky ** 2 <= 0.09 OR (kx + 0.5) ** 2 + (ky - 0.5) ** 2 <= 0.01 AS inside FROM v")

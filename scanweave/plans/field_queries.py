@@ -121,13 +121,13 @@ def orientation_similarity(spark, sf_dir):
     return rounded(neighbourhood.orientation_similarity(best), 9, "value")
 
 
-@query(f"""WITH {d.VECTORS}, p AS (SELECT nav_y AS y, nav_x AS x, kx AS px, ky AS py, ord FROM v WHERE ord % 5 = 0),
-n AS (SELECT a.ord, a.y, a.x, count(DISTINCT o.k) AS hits FROM p a, (VALUES (0, 0, 1), (1, 0, -1), (2, 1, 0), (3, -1, 0)) o(k, dy, dx), p b
+@query(f"""WITH {d.VECTORS}, p AS (SELECT nav_y AS y, nav_x AS x, kx AS px, ky AS py, ord FROM v), u AS (SELECT DISTINCT y, x, px, py FROM p),
+n AS (SELECT a.y, a.x, a.px, a.py, count(DISTINCT o.k) AS hits FROM u a, (VALUES (0, 0, 1), (1, 0, -1), (2, 1, 0), (3, -1, 0)) o(k, dy, dx), u b
       WHERE b.y = a.y + dy AND b.x = a.x + dx AND (a.px - b.px) ** 2 + (a.py - b.py) ** 2 <= 0.05 * 0.05 GROUP BY ALL),
 fr AS (SELECT DISTINCT y, x FROM p), fn AS (SELECT a.y, a.x, count(*) AS k FROM fr a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx), fr b WHERE b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL)
-SELECT p.y, p.x, p.ord FROM p LEFT JOIN n USING (y, x, ord) LEFT JOIN fn USING (y, x) WHERE coalesce(fn.k, 0) < 3 OR coalesce(hits, 0) >= 3""")
+SELECT p.y, p.x, p.ord FROM p LEFT JOIN n USING (y, x, px, py) LEFT JOIN fn USING (y, x) WHERE coalesce(fn.k, 0) < 3 OR coalesce(hits, 0) >= 3""")
 def persistent_peaks(spark, sf_dir):
-    v = d.vectors(spark, sf_dir).where("ord % 5 = 0").select(F.col("nav_y").alias("y"), F.col("nav_x").alias("x"), F.col("ky").alias("py"), F.col("kx").alias("px"), "ord")
+    v = d.vectors(spark, sf_dir).select(F.col("nav_y").alias("y"), F.col("nav_x").alias("x"), F.col("ky").alias("py"), F.col("kx").alias("px"), "ord")
     return neighbourhood.persistent(v, 0.05, 3).select("y", "x", "ord")
 
 
@@ -167,8 +167,8 @@ def _refs(spark):
 
 _KEPT = "kept AS (SELECT * FROM refs WHERE sqrt(gx * gx + gy * gy) > 0.25 * (SELECT median(sqrt(gx * gx + gy * gy)) FROM refs WHERE gx <> 0 OR gy <> 0))"
 _MATCH = f"""{_KEPT}, s AS (SELECT ref, gx, gy, 0 AS neg FROM kept UNION ALL SELECT ref, -gx, -gy, 1 FROM kept),
-c AS (SELECT nav_y, nav_x, ord, kx, ky, ref, gx, gy, neg, sqrt((kx - gx) * (kx - gx) + (ky - gy) * (ky - gy)) AS distance FROM v, s),
-n AS (SELECT * FROM c WHERE distance < 0.2 QUALIFY row_number() OVER (PARTITION BY nav_y, nav_x, ord ORDER BY round(distance, 12), ref, neg) = 1)"""
+c AS (SELECT rid, nav_y, nav_x, ord, kx, ky, ref, gx, gy, neg, sqrt((kx - gx) * (kx - gx) + (ky - gy) * (ky - gy)) AS distance FROM (SELECT *, row_number() OVER () AS rid FROM v), s),
+n AS (SELECT * FROM c WHERE distance < 0.2 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY round(distance, 12), ref, neg) = 1)"""
 
 
 def _matched(spark, sf_dir):
@@ -198,23 +198,22 @@ def nearest_family(spark, sf_dir):
     return matching.nearest_family(p, [1.0, 2.0, 4.0, 8.0], 0.15).select("k", "family")
 
 
-@query(f"""WITH {d.VECTORS}, s AS (SELECT * FROM v WHERE ord % 7 = 0), q AS (SELECT a.nav_y, a.nav_x, a.ord, EXISTS (SELECT 1 FROM s b WHERE a.nav_y = b.nav_y AND a.nav_x = b.nav_x AND a.ord <> b.ord AND sqrt((a.kx + b.kx) * (a.kx + b.kx) + (a.ky + b.ky) * (a.ky + b.ky)) <= 0.1137) AS p FROM s a) SELECT nav_y, nav_x, ord, bool_or(p) OVER (PARTITION BY nav_y, nav_x, ord) AS paired FROM q""")
+@query(f"""WITH {d.VECTORS}, w AS (SELECT *, row_number() OVER () AS rid FROM v), q AS (SELECT DISTINCT a.rid FROM w a JOIN w b ON a.nav_y = b.nav_y AND a.nav_x = b.nav_x AND a.ord <> b.ord AND sqrt((a.kx + b.kx) * (a.kx + b.kx) + (a.ky + b.ky) * (a.ky + b.ky)) <= 0.1137) SELECT w.nav_y, w.nav_x, w.ord, q.rid IS NOT NULL AS paired FROM w LEFT JOIN q USING (rid)""")
 def friedel_pairs(spark, sf_dir):
-    v = d.vectors(spark, sf_dir).where("ord % 7 = 0")
-    return matching.friedel_pairs(v, 0.1137).select("nav_y", "nav_x", "ord", "paired")
+    return matching.friedel_pairs(d.vectors(spark, sf_dir), 0.1137).select("nav_y", "nav_x", "ord", "paired")
 
 
-_POINTS = "p AS (SELECT p_partkey AS id, (p_partkey * 7919 % 1009)::DOUBLE AS x, (p_partkey * 104729 % 997)::DOUBLE AS y FROM part WHERE p_partkey <= 400)"
+_POINTS = "p AS (SELECT p_partkey AS id, (p_partkey * 7919 % 1009)::DOUBLE AS x, (p_partkey * 104729 % 997)::DOUBLE AS y FROM part)"
 
 
 def _points(spark, sf_dir):
     k = F.col("p_partkey")
-    return d.read(spark, sf_dir, "part").where("p_partkey <= 400").select(k.alias("id"), (k * 7919 % 1009).cast("double").alias("x"), (k * 104729 % 997).cast("double").alias("y"))
+    return d.read(spark, sf_dir, "part").select(k.alias("id"), (k * 7919 % 1009).cast("double").alias("x"), (k * 104729 % 997).cast("double").alias("y"))
 
 
 @query(f"WITH {_POINTS} SELECT a.id, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id)::INT AS rank, b.id AS n_id FROM p a, p b WHERE a.id <> b.id QUALIFY rank <= 4")
 def k_nearest(spark, sf_dir):
-    return matching.k_nearest_all(_points(spark, sf_dir), 4, 80.0).select("id", "rank", "n_id")
+    return matching.k_nearest_all(_points(spark, sf_dir), 4, 16.0).select("id", "rank", "n_id")
 
 
 @query(f"WITH {d.VECTORS}, s AS (SELECT nav_y, nav_x, avg(kx) AS sx, avg(ky) AS sy FROM v GROUP BY ALL) SELECT ord, round(kx - sx, 8) AS kx, round(ky - sy, 8) AS ky FROM v JOIN s USING (nav_y, nav_x)")

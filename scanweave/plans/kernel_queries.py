@@ -69,12 +69,12 @@ def dynamic_background(spark, sf_dir):
 
 
 @query(f"""WITH {d.PIXELS}, u AS (SELECT CAST(v AS INT) AS v, CAST(w AS INT) AS w FROM range(8) a(v), range(8) b(w)),
-t AS (SELECT p.y, p.x, v, w, sum(value * cos(2 * pi() * (v * ky + w * kx) / 8)) AS re, sum(value * sin(2 * pi() * (v * ky + w * kx) / 8)) AS im FROM p, u WHERE p.y < 4 GROUP BY ALL)
+t AS (SELECT p.y, p.x, v, w, sum(value * cos(2 * pi() * (v * ky + w * kx) / 8)) AS re, sum(value * sin(2 * pi() * (v * ky + w * kx) / 8)) AS im FROM p, u GROUP BY ALL)
 SELECT y, x, CAST(((v + 4) % 8) * 8 + (w + 4) % 8 AS INT) AS i, round(ln(1 + sqrt(re * re + im * im)), 6) AS value FROM t""")
 def power_spectra(spark, sf_dir):
     from ..functions.kernels import power_spectrum
 
-    out = frames.map_frames(_frames(spark, sf_dir).where("y < 4"), (8, 8), power_spectrum)
+    out = frames.map_frames(_frames(spark, sf_dir), (8, 8), power_spectrum)
     return rounded(out.select("y", "x", F.posexplode("frame").alias("i", "value")), 6, "value")
 
 

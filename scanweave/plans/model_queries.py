@@ -112,19 +112,15 @@ def power_law_background(spark, sf_dir):
 
 # atoms -------------------------------------------------------------------
 
-_ATOMS = "a AS (SELECT p_partkey AS id, (p_partkey * 7919 % 1009)::DOUBLE AS x, (p_partkey * 104729 % 997)::DOUBLE AS y, 1 + (p_partkey % 7)::DOUBLE AS sigma_x, (p_partkey % 5)::DOUBLE AS sigma_y, p_retailprice AS intensity FROM part WHERE p_partkey <= 300)"
+_ATOMS = "a AS (SELECT p_partkey AS id, (p_partkey * 7919 % 1009)::DOUBLE AS x, (p_partkey * 104729 % 997)::DOUBLE AS y, 1 + (p_partkey % 7)::DOUBLE AS sigma_x, (p_partkey % 5)::DOUBLE AS sigma_y, p_retailprice AS intensity FROM part)"
 
 
-def _all_atoms(spark, sf_dir):
+def _atoms(spark, sf_dir):
     k = F.col("p_partkey")
     f = lambda c: c.cast("double")
     return d.read(spark, sf_dir, "part").select(k.alias("id"), f(k * 7919 % 1009).alias("x"), f(k * 104729 % 997).alias("y"), (1 + f(k % 7)).alias("sigma_x"), f(k % 5).alias("sigma_y"), F.col("p_retailprice").alias("intensity"))
 
 
-def _atoms(spark, sf_dir):
-    return _all_atoms(spark, sf_dir).where("id <= 300")
-
-
 _NN = "nn AS (SELECT a.id, b.id AS n_id, b.x AS nx, b.y AS ny, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) AS rank FROM a, a b WHERE a.id <> b.id)"
 
 
@@ -135,29 +131,29 @@ def atom_shapes(spark, sf_dir):
 
 @query(f"WITH {_ATOMS}, {_NN} SELECT id, round(avg(distance), 8) AS distance FROM nn WHERE rank <= 3 GROUP BY id")
 def neighbour_distance(spark, sf_dir):
-    return rounded(atoms.neighbour_distance(_atoms(spark, sf_dir), 3, 100.0), 8, "distance")
+    return rounded(atoms.neighbour_distance(_atoms(spark, sf_dir), 3, 16.0), 8, "distance")
 
 
 @query(f"WITH {_ATOMS}, {_NN} SELECT a.id, round(any_value(a.x) - avg(nx), 8) AS dx, round(any_value(a.y) - avg(ny), 8) AS dy FROM a JOIN nn USING (id) WHERE rank <= 4 GROUP BY a.id")
 def atom_displacement(spark, sf_dir):
-    return rounded(atoms.displacement(_atoms(spark, sf_dir), 4, 100.0), 8, "dx", "dy")
+    return rounded(atoms.displacement(_atoms(spark, sf_dir), 4, 16.0), 8, "dx", "dy")
 
 
 @query(f"WITH {_ATOMS}, {_NN}, s AS (SELECT nx - a.x AS dx, ny - a.y AS dy, distance FROM a JOIN nn USING (id) WHERE rank = 1), t AS (SELECT dx, dy, CASE WHEN dx < 0 OR (dx = 0 AND dy < 0) THEN -1 ELSE 1 END AS f FROM s WHERE distance <= 60) SELECT round(median(dx * f), 8) AS vx, round(median(dy * f), 8) AS vy FROM t")
 def dumbbell_vector(spark, sf_dir):
-    return rounded(atoms.dumbbell_vector(_atoms(spark, sf_dir), 100.0, 60.0), 8, "vx", "vy")
+    return rounded(atoms.dumbbell_vector(_atoms(spark, sf_dir), 16.0, 60.0), 8, "vx", "vy")
 
 
-@query(f"WITH {_ATOMS}, p AS (SELECT b.id AS a, b.id + 1 AS b FROM a b WHERE b.id % 2 = 1 AND b.id < 300), q AS (SELECT p.a, p.b, n.x - m.x AS dx, n.y - m.y AS dy, m.x AS ax, m.y AS ay, n.x AS bx, n.y AS cy, m.intensity AS ai, n.intensity AS bi FROM p JOIN a m ON m.id = p.a JOIN a n ON n.id = p.b), w AS (SELECT *, atan2(dy, dx) + pi() / 2 AS t FROM q) SELECT a, b, round(sqrt(dx * dx + dy * dy), 8) AS separation, round(CASE WHEN t < 0 THEN t + pi() WHEN t >= pi() THEN t - pi() ELSE t END - pi() / 2, 8) AS angle, (ax + bx) / 2 AS centre_x, (ay + cy) / 2 AS centre_y, CASE WHEN ai > 0 THEN round(bi / ai, 8) END AS ratio FROM w")
+@query(f"WITH {_ATOMS}, p AS (SELECT b.id AS a, b.id + 1 AS b FROM a b WHERE b.id % 2 = 1), q AS (SELECT p.a, p.b, n.x - m.x AS dx, n.y - m.y AS dy, m.x AS ax, m.y AS ay, n.x AS bx, n.y AS cy, m.intensity AS ai, n.intensity AS bi FROM p JOIN a m ON m.id = p.a JOIN a n ON n.id = p.b), w AS (SELECT *, atan2(dy, dx) + pi() / 2 AS t FROM q) SELECT a, b, round(sqrt(dx * dx + dy * dy), 8) AS separation, round(CASE WHEN t < 0 THEN t + pi() WHEN t >= pi() THEN t - pi() ELSE t END - pi() / 2, 8) AS angle, (ax + bx) / 2 AS centre_x, (ay + cy) / 2 AS centre_y, CASE WHEN ai > 0 THEN round(bi / ai, 8) END AS ratio FROM w")
 def dumbbell_properties(spark, sf_dir):
     a = _atoms(spark, sf_dir)
-    pairs = a.where("id % 2 = 1 AND id < 300").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    pairs = a.where("id % 2 = 1").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     return rounded(atoms.dumbbell_properties(a, pairs), 8, "separation", "angle", "ratio")
 
 
 @query()
 def dumbbell_pairs(spark, sf_dir):
-    return atoms.dumbbell_pairs(_all_atoms(spark, sf_dir), -153.0, 44.0, 0.05)
+    return atoms.dumbbell_pairs(_atoms(spark, sf_dir), -153.0, 44.0, 0.05)
 
 
 @query(f"WITH {_ATOMS} SELECT CAST(round_even(y / 10, 0) AS INT) AS y, CAST(round_even(x / 10, 0) AS INT) AS x, arg_max(intensity, id) AS value FROM a WHERE round_even(y / 10, 0) < 60 AND round_even(x / 10, 0) < 80 GROUP BY ALL")
@@ -193,10 +189,10 @@ def pole_density(spark, sf_dir):
 
 
 @query("""WITH v AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM v), u AS (SELECT vec_id, i, v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)) AS v FROM c),
-s AS (SELECT p.vec_id AS id, t.vec_id AS template, sum(p.v * t.v) AS score FROM u p JOIN u t USING (i) WHERE t.vec_id < 100 GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY round(score, 12) DESC, template) AS INT) AS rank FROM s) SELECT id, rank, template, round(score, 7) AS score FROM r WHERE rank <= 3""")
+s AS (SELECT p.vec_id AS id, t.vec_id AS template, sum(p.v * t.v) AS score FROM u p JOIN u t USING (i) GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY round(score, 12) DESC, template) AS INT) AS rank FROM s) SELECT id, rank, template, round(score, 7) AS score FROM r WHERE rank <= 3""")
 def dictionary_index(spark, sf_dir):
     t = d.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("pattern"))
-    return rounded(orientation.dictionary_index(t, t.where("id < 100"), 3, tile=40), 7, "score")
+    return rounded(orientation.dictionary_index(t, t, 3), 7, "score")
 
 
 @query(f"WITH {d.VECTORS}, s AS (SELECT nav_y AS y, nav_x AS x, time AS phase, round(avg(intensity), 2) AS score FROM v GROUP BY ALL) SELECT y, x, phase, score FROM s QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY score DESC, phase) = 1")
