@@ -91,9 +91,17 @@ def magnitude_phase(spark, sf_dir):
     return out.select("y", "x", F.round("magnitude", 8).alias("magnitude"), F.round("phase", 7).alias("phase"))
 
 
-@query()
+_PLANES = f"""q AS (SELECT x::DOUBLE AS x, y::DOUBLE AS y, fx AS v FROM m), {_PLANE}, s AS ({_SOLVED.replace('round(', '(').replace(', 7)', ')')}),
+q2 AS (SELECT x::DOUBLE AS x, y::DOUBLE AS y, fy AS v FROM m), regr2 AS ({_PLANE[9:-1].replace('FROM q', 'FROM q2')}), s2 AS ({_SOLVED.replace('round(', '(').replace(', 7)', ')').replace('FROM regr', 'FROM regr2')})"""
+
+
+@query(f"""WITH {d.MEANS}, {_PLANES}, c AS (SELECT m.y, m.x, m.fx - (s.a * m.x + s.b * m.y + s.c) AS fx, m.fy - (s2.a * m.x + s2.b * m.y + s2.c) AS fy FROM m, s, s2),
+r AS (SELECT y, x, (fx * cos(radians(30)) - fy * sin(radians(30))) * {units.electric_field(0.1, 50.0, 200.0)!r} AS fx, (fx * sin(radians(30)) + fy * cos(radians(30))) * {units.electric_field(0.1, 50.0, 200.0)!r} AS fy FROM c),
+{_DC.replace('dc AS', 'e AS').replace('FROM m', 'FROM r')}, p AS (SELECT y, x, fx, fy, sqrt(fx * fx + fy * fy) AS magnitude, atan2(fx, fy) - pi() / 6 AS t FROM r)
+SELECT y, x, round(fx, 6) AS fx, round(fy, 6) AS fy, round(magnitude, 6) AS magnitude, round(CASE WHEN t < 0 THEN t + 2 * pi() ELSE t END, 5) AS phase, round(div, 6) AS div, round(curl, 6) AS curl FROM p JOIN e USING (y, x)""")
 def dpc_map(spark, sf_dir):
-    return fields.dpc_map(d.position_means(spark, sf_dir), 30.0, mrad_per_px=0.1, thickness_nm=50.0, energy_kev=200.0)
+    out = fields.dpc_map(d.position_means(spark, sf_dir), 30.0, mrad_per_px=0.1, thickness_nm=50.0, energy_kev=200.0)
+    return rounded(rounded(out, 6, "fx", "fy", "magnitude", "div", "curl"), 5, "phase").select("y", "x", "fx", "fy", "magnitude", "phase", "div", "curl")
 
 
 _NEAR = "near AS (SELECT a.y, a.x, b.y AS ny, b.x AS nx FROM m a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx), m b WHERE b.y = a.y + dy AND b.x = a.x + dx)"
@@ -166,6 +174,7 @@ def _refs(spark):
 
 
 _KEPT = "kept AS (SELECT * FROM refs WHERE sqrt(gx * gx + gy * gy) > 0.25 * (SELECT median(sqrt(gx * gx + gy * gy)) FROM refs WHERE gx <> 0 OR gy <> 0))"
+_ROT = "cos(radians(15)) AS c, sin(radians(15)) AS s"
 _MATCH = f"""{_KEPT}, s AS (SELECT ref, gx, gy, 0 AS neg FROM kept UNION ALL SELECT ref, -gx, -gy, 1 FROM kept),
 c AS (SELECT rid, nav_y, nav_x, ord, kx, ky, ref, gx, gy, neg, sqrt((kx - gx) * (kx - gx) + (ky - gy) * (ky - gy)) AS distance FROM (SELECT *, row_number() OVER () AS rid FROM v), s),
 n AS (SELECT * FROM c WHERE distance < 0.2 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY round(distance, 12), ref, neg) = 1)"""
@@ -261,9 +270,26 @@ def strain_matches(spark, sf_dir):
     return strain.strain_map(d.vectors(spark, sf_dir), refs, 0.2, d.GRID, 5).select("nav_y", "nav_x", "n_matched", "coverage")
 
 
-@query()
+def _solved3(u: str) -> list[str]:
+    """Cramer's rule for the affine map's row whose right side is xu, yu, u."""
+    det = "(xx * (yy * n - y * y) - xy * (xy * n - y * x) + x * (xy * y - yy * x))"
+    xu, yu, uu = f"x{u}", f"y{u}", u
+    return [f"({xu} * (yy * n - y * y) - xy * ({yu} * n - y * {uu}) + x * ({yu} * y - yy * {uu})) / {det}", f"(xx * ({yu} * n - y * {uu}) - {xu} * (xy * n - y * x) + x * (xy * {uu} - {yu} * x)) / {det}"]
+
+
+_T = ", ".join(f"{e} AS {n}" for e, n in zip(_solved3("u") + _solved3("v"), ("t00", "t01", "t10", "t11"), strict=True))
+
+
+@query(f"""WITH {d.VECTORS}, {_REF_SQL}, {_MATCH}, o AS (SELECT *, CASE neg WHEN 1 THEN -gx ELSE gx END AS g0, CASE neg WHEN 1 THEN -gy ELSE gy END AS g1 FROM (SELECT nav_y, nav_x, ord, kx, ky, ref, neg, distance, CASE neg WHEN 1 THEN -gx ELSE gx END AS gx, CASE neg WHEN 1 THEN -gy ELSE gy END AS gy FROM n) QUALIFY row_number() OVER (PARTITION BY nav_y, nav_x, ref ORDER BY distance, ord, neg) = 1),
+f AS (SELECT nav_y, nav_x, sum(g0 * g0) AS xx, sum(g0 * g1) AS xy, sum(g0) AS x, sum(g1 * g1) AS yy, sum(g1) AS y, count(*)::DOUBLE AS n, sum(g0 * kx) AS xu, sum(g1 * kx) AS yu, sum(kx) AS u, sum(g0 * ky) AS xv, sum(g1 * ky) AS yv, sum(ky) AS v FROM o GROUP BY ALL),
+t AS (SELECT nav_y, nav_x, n, {_T} FROM f), g AS (SELECT nav_y, nav_x, n, t11 / det AS f00, -t10 / det AS f01, -t01 / det AS f10, t00 / det AS f11 FROM (SELECT *, t00 * t11 - t01 * t10 AS det FROM t) WHERE n >= 3),
+m AS (SELECT *, f00 * f00 + f10 * f10 AS m00, f00 * f01 + f10 * f11 AS m01, f01 * f01 + f11 * f11 AS m11 FROM g), q AS (SELECT *, sqrt(greatest(0, m00 * m11 - m01 * m01)) AS root FROM m), w AS (SELECT *, sqrt(greatest(0, m00 + m11 + 2 * root)) AS trace FROM q),
+z AS (SELECT nav_y, nav_x, (m00 + root) / trace - 1 AS xx, (m11 + root) / trace - 1 AS yy, m01 / trace AS xy, {_ROT} FROM w),
+e AS (SELECT nav_y, nav_x, c * c * xx - 2 * c * s * xy + s * s * yy AS exx, s * s * xx + 2 * c * s * xy + c * c * yy AS eyy, c * s * (xx - yy) + (c * c - s * s) * xy AS exy FROM z), gr AS (SELECT CAST(y AS INT) AS nav_y, CAST(x AS INT) AS nav_x FROM range(10) a(y), range(12) b(x))
+SELECT nav_y, nav_x, round(exx, 6) AS exx, round(eyy, 6) AS eyy, round(exy, 6) AS exy, round((exx + eyy) / 2 + sqrt(((exx - eyy) / 2) ** 2 + exy * exy), 6) AS e1 FROM gr LEFT JOIN e USING (nav_y, nav_x)""")
 def strain_map(spark, sf_dir):
-    return strain.principal(strain.rotate_tensor(strain.strain_map(d.vectors(spark, sf_dir), matching.zero_beam_filtered(_refs(spark)), 0.2, d.GRID, 5), 15.0))
+    out = strain.principal(strain.rotate_tensor(strain.strain_map(d.vectors(spark, sf_dir), matching.zero_beam_filtered(_refs(spark)), 0.2, d.GRID, 5), 15.0))
+    return rounded(out, 6, "exx", "eyy", "exy", "e1").select("nav_y", "nav_x", "exx", "eyy", "exy", "e1")
 
 
 @query()

@@ -63,9 +63,24 @@ def static_background(spark, sf_dir):
     return rounded(out.select("y", "x", code.alias("code")), 5, "code")
 
 
-@query()
+def _blurred(sigma: float, source: str = "p", value: str = "value") -> str:
+    """CTEs that end in b (y, x, ky, kx, v): the frames of a table blurred, edges reflected once."""
+    r = int(np.ceil(3 * sigma))
+    mirror = lambda c: f"CASE WHEN {c} + d < 0 THEN -{c} - d - 1 WHEN {c} + d > 7 THEN 15 - {c} - d ELSE {c} + d END"
+    return f"""w0 AS (SELECT d, exp(-0.5 * (d / {sigma}::DOUBLE) ** 2) AS w FROM range({-r}, {r + 1}) r(d)), w AS (SELECT d, w / sum(w) OVER () AS w FROM w0),
+b0 AS (SELECT a.y, a.x, a.ky, a.kx, sum(s.{value} * w.w) AS v FROM {source} a, w, {source} s WHERE s.y = a.y AND s.x = a.x AND s.kx = a.kx AND s.ky = {mirror('a.ky')} GROUP BY ALL),
+b AS (SELECT a.y, a.x, a.ky, a.kx, sum(s.v * w.w) AS v FROM b0 a, w, b0 s WHERE s.y = a.y AND s.x = a.x AND s.ky = a.ky AND s.kx = {mirror('a.kx')} GROUP BY ALL)"""
+
+
+@query(f"WITH {d.PIXELS}, {_blurred(1.0)} SELECT y, x, round(sum((p.value - b.v) * (ky * 8 + kx + 1)), 5) AS code FROM p JOIN b USING (y, x, ky, kx) GROUP BY ALL")
 def dynamic_background(spark, sf_dir):
-    return frames.dynamic_background(_frames(spark, sf_dir), (8, 8), 1.0)
+    out = frames.dynamic_background(_frames(spark, sf_dir), (8, 8), 1.0)
+    return rounded(out.select("y", "x", _code()), 5, "code")
+
+
+def _code():
+    """A frame as one number in which every pixel has its own weight."""
+    return F.aggregate(F.transform("frame", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v).alias("code")
 
 
 @query(f"""WITH {d.PIXELS}, u AS (SELECT CAST(v AS INT) AS v, CAST(w AS INT) AS w FROM range(8) a(v), range(8) b(w)),
@@ -84,9 +99,11 @@ def line_profiles(spark, sf_dir):
     return rounded(out.select("y", "x", F.posexplode("frame").alias("i", "value")), 7, "value")
 
 
-@query()
+@query(f"""WITH {d.PIXELS}, q AS (SELECT y, x, ky, kx, ln(1 + greatest(value, 0)) AS value FROM p), {_blurred(2.0, "q")}, e AS (SELECT y, x, ky, kx, q.value - b.v AS v FROM q JOIN b USING (y, x, ky, kx)),
+c AS (SELECT *, median(v) OVER (PARTITION BY y, x) AS mid FROM e), g AS (SELECT *, 1.4826 * median(abs(v - mid)) OVER (PARTITION BY y, x) AS mad FROM c)
+SELECT y, x, round(sum((v - mid) / mad * (ky * 8 + kx + 1)), 4) AS code FROM g GROUP BY ALL""")
 def preprocessed_frames(spark, sf_dir):
-    return frames.preprocessed(_frames(spark, sf_dir), (8, 8), 2.0)
+    return rounded(frames.preprocessed(_frames(spark, sf_dir), (8, 8), 2.0).select("y", "x", _code()), 4, "code")
 
 
 # streams -----------------------------------------------------------------
@@ -141,13 +158,17 @@ def movie_frame_list(spark, sf_dir):
     return events.frame_list(spark, 0, 40, 3, {9: 1.5}, 10.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {d.VECTORS}, p AS (SELECT kx, ky, count(*) AS n, row_number() OVER (ORDER BY kx, ky) AS id FROM v GROUP BY kx, ky),
+l AS (SELECT a.id AS a, b.id AS b, b.n FROM p a JOIN p b ON (a.kx - b.kx) ** 2 + (a.ky - b.ky) ** 2 <= 0.05 * 0.05), c AS (SELECT a AS id FROM l GROUP BY a HAVING sum(n) >= 5),
+e AS (SELECT l.a, l.b FROM l WHERE l.a IN (SELECT id FROM c) AND l.b IN (SELECT id FROM c)),
+r(id, root) AS (SELECT id, id FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE e.b > r.root), t AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+o AS (SELECT l.b AS id, min(t.root) AS root FROM l JOIN t ON t.id = l.a GROUP BY l.b)
+SELECT p.kx, p.ky, p.n, q.kx AS cluster_kx, q.ky AS cluster_ky FROM p LEFT JOIN o ON o.id = p.id LEFT JOIN p q ON q.id = o.root""")
 def vector_clusters(spark, sf_dir):
     from ..sources.store import working_dir
 
     working_dir(spark)
-    v = d.vectors(spark, sf_dir).select(F.col("kx"), F.col("ky"))
-    return frames.clusters(v, 0.05, 5)
+    return frames.clusters(d.vectors(spark, sf_dir).select("kx", "ky"), 0.05, 5)
 
 
 def planted_frames(n: int = 4, size: int = 48, seed: int = 0) -> tuple[list[tuple], list[tuple]]:

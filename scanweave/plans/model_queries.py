@@ -151,9 +151,13 @@ def dumbbell_properties(spark, sf_dir):
     return rounded(atoms.dumbbell_properties(a, pairs), 8, "separation", "angle", "ratio")
 
 
-@query()
+@query(f"""WITH {_ATOMS}, c AS (SELECT a.id AS a, b.id AS b, sqrt((b.x - (a.x - 153)) ** 2 + (b.y - (a.y + 44)) ** 2) AS d FROM a JOIN a b ON a.id <> b.id AND abs(b.x - (a.x - 153)) <= 8 AND abs(b.y - (a.y + 44)) <= 8),
+o AS (SELECT a, b, d, row_number() OVER (ORDER BY d, a, b) AS i FROM c WHERE d <= 0.05 * sqrt(153.0::DOUBLE ** 2 + 44.0::DOUBLE ** 2))
+SELECT p.a, p.b, round(p.d, 8) AS distance FROM (WITH RECURSIVE r(i, one, two, held) AS (SELECT 0::BIGINT, MAP {{0::BIGINT: true}}, MAP {{0::BIGINT: true}}, 0::BIGINT UNION ALL
+SELECT o.i, CASE WHEN one[o.a] IS NULL AND two[o.b] IS NULL THEN map_concat(one, MAP {{o.a: true}}) ELSE one END, CASE WHEN one[o.a] IS NULL AND two[o.b] IS NULL THEN map_concat(two, MAP {{o.b: true}}) ELSE two END,
+CASE WHEN one[o.a] IS NULL AND two[o.b] IS NULL THEN o.i ELSE 0 END FROM r JOIN o ON o.i = r.i + 1) SELECT o.a, o.b, o.d FROM r JOIN o ON o.i = r.held) p""")
 def dumbbell_pairs(spark, sf_dir):
-    return atoms.dumbbell_pairs(_atoms(spark, sf_dir), -153.0, 44.0, 0.05)
+    return rounded(atoms.dumbbell_pairs(_atoms(spark, sf_dir), -153.0, 44.0, 0.05), 8, "distance")
 
 
 @query(f"WITH {_ATOMS} SELECT CAST(round_even(y / 10, 0) AS INT) AS y, CAST(round_even(x / 10, 0) AS INT) AS x, arg_max(intensity, id) AS value FROM a WHERE round_even(y / 10, 0) < 60 AND round_even(x / 10, 0) < 80 GROUP BY ALL")
