@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("core_queries", "field_queries", "model_queries", "kernel_queries", "extra_queries", "source_queries")
+MODULES = ("core_queries", "field_queries", "model_queries", "kernel_queries", "extra_queries", "source_queries", "planted_queries")
 
 
 def _all(what: str) -> dict:
