@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     below its smallest one, then its smaller ones. The number of rounds grows
     with the logarithm of the size, the number of edges doesn't grow, and each
     round's edges are written to the shared folder, so a lost executor repeats
-    one round at most. No edge or node list reaches the driver. Self-loops,
+    one round at most. So are the smallest neighbours before edges are joined with
+    them: a node with very many edges is then cut by adaptive execution. No edge or node list reaches the driver. Self-loops,
     repeated edges and edges with a null end count for nothing.
     """
     e = materialise(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -23,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     def star(df: DataFrame, large: bool) -> DataFrame:
         """Hang each node's neighbours that are larger (or not larger) than itself below the smallest of its neighbourhood."""
         both = df.select("u", "v").union(df.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else df
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "smallest")
         hung = both.join(least, both["u"] == least["w"])
         if large:
             return hung.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
