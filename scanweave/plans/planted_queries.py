@@ -292,7 +292,7 @@ def live_counts(spark, sf_dir):
     return grid_complete(got, d.GRID, ("n",))
 
 
-@query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, CAST(user_id // 10 AS BIGINT) AS pixel, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL HAVING start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 12 HOUR FROM events)")
+@query("WITH p AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, CAST(user_id // 10 AS BIGINT) AS pixel, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL) SELECT * FROM p WHERE start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 12 HOUR FROM events)")
 def streamed_planes(spark, sf_dir):
     """Windows that the watermark has closed, appended once each."""
     to = _folder(spark, "planes")
