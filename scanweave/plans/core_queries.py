@@ -237,7 +237,7 @@ def sum_aligned_members(spark, sf_dir):
     return rounded(shape.sum_members(both, ["y", "x"]), 4, "value")
 
 
-@query(f"WITH {d.FRAMES} SELECT y, x, round(list_sum(list_transform(frame, lambda v, i: v * i)), 3) AS code FROM f")
+@query(f"WITH {d.FRAMES} SELECT y, x, round(list_sum(list_transform(frame, lambda v, i: CAST(v AS DOUBLE) * i)), 3) AS code FROM f")
 def long_round_trip(spark, sf_dir):
     back = shape.to_frames(d.pixels(spark, sf_dir), ["y", "x"])
     code = F.aggregate(F.transform("frame", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
