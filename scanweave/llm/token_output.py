@@ -79,7 +79,7 @@ class TextEncoder:
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.model = self.tokenizer.model
+        self.model, self.n_ids = self.tokenizer.model, n_ids(self.tokenizer)
         special = all(t["content"].startswith("<|") and t["special"] for t in said.get("added_tokens") or ())
         self.by_pieces = special and (said.get("normalizer"), said.get("pre_tokenizer")) == _SPLITS and said["model"]["type"] == "BPE"
         self.clear()
@@ -243,7 +243,7 @@ class Shard:
 def _encoded(path: str, end_id: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        kind = width(n_ids(encode.tokenizer), end_id)
+        kind = width(encode.n_ids, end_id)
         for b in batches:
             ids = [np.append(encode(t), end_id).astype(kind).tobytes() for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
