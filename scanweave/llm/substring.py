@@ -10,7 +10,7 @@ window's smallest document; the last removes the covered words.
 
 Anchors are a filter, so 64-bit keys do. Windows are judged equal by 128 bits.
 Keys with their document travel in columnar pieces: a row holds a batch's keys of
-one bucket, documents as distances from the least one. What a batch already
+one bucket, in order of documents, which are kept as steps. What a batch already
 settles (an anchor in two of its documents, a window with a smaller one) is
 passed on under the document's own bucket, and only one or two entries of such a
 key go to the key's bucket. So a passage that a third of all documents share
@@ -94,18 +94,30 @@ def _spread(docs: np.ndarray) -> np.ndarray:
 
 
 def _dealt(keys: np.ndarray, docs: np.ndarray, by: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, int, bytes]]:
-    """(bucket, keys, base, docs) of each bucket that by's hashes choose; docs less the base, in four bytes each where that is enough."""
+    """(bucket, keys, base, docs) of each bucket that by's hashes choose; docs ascend, as steps from the one before (the first from base) in as few bytes each as the widest step needs."""
     bucket = ((by >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((docs, bucket))
     bucket, keys, docs = bucket[order], keys[order], docs[order]
     at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
     for a, b in zip(at, [*at[1:], len(bucket)], strict=True) if len(bucket) else ():
         d = docs[a:b]
-        low, high = int(d.min()), int(d.max())
-        base, packed = (low, (d - low).astype(np.uint32)) if high - low < 1 << 32 else (0, d)
+        base, packed = int(d[0]), d
+        if int(d[-1]) - base < 1 << 32:
+            steps = np.diff(d, prepend=d[0])
+            packed = steps.astype(np.min_scalar_type(int(steps.max())))
         yield int(bucket[a]), keys[a:b].tobytes(), base, packed.tobytes()
 
 
+#: Steps by the bytes of each; eight bytes hold the docs themselves.
+_STEPS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+
+
+def _docs_of(base: int, data: pa.Buffer, n: int) -> np.ndarray:
+    """The n docs that _dealt packed."""
+    wide = data.size // n
+    return np.frombuffer(data, np.int64) if wide == 8 else base + np.cumsum(np.frombuffer(data, _STEPS[wide]), dtype=np.int64)
+
+
 def _entries(batches: Iterator[pa.RecordBatch], words: int, settled: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The keys, of so many 64-bit words each, and docs of all pieces (that are settled, or not)."""
     keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -115,7 +127,7 @@ def _entries(batches: Iterator[pa.RecordBatch], words: int, settled: bool | None
             if settled is None or t == settled:
                 k, d = k.as_buffer(), d.as_buffer()
                 keys.append(np.frombuffer(k, np.uint64))
-                docs.append(np.frombuffer(d, np.uint32 if 2 * words * d.size == k.size else np.int64).astype(np.int64) + base)
+                docs.append(_docs_of(base, d, k.size // (8 * words)))
     return np.concatenate(keys).reshape(-1, words), np.concatenate(docs)
 
 

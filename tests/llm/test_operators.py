@@ -343,6 +343,16 @@ def test_cover_aligns():
     assert substring.PERIOD + substring.ANCHOR - 1 == substring.WINDOW
 
 
+@pytest.mark.parametrize("low, high, wide", [(0, 50, 1), (-(10**5), 10**6, 2), (0, 2**31, 4), (-(2**62), 2**62, 8)])
+def test_pieces_keep_documents(low, high, wide):
+    rng = np.random.default_rng(3)
+    docs, keys = rng.integers(low, high, 1000), rng.integers(0, 2**63, (1000, 2)).astype(np.uint64)
+    pieces = list(substring._dealt(keys, docs, keys[:, 0], 7))
+    assert {len(docs_) * 16 // len(keys_) for _, keys_, _, docs_ in pieces} == {wide}
+    k, d = substring._entries(iter([substring._batch(pieces, substring.SHARES)]), 2)
+    assert bag(zip(*k.T.tolist(), d.tolist(), strict=True)) == bag(zip(*keys.T.tolist(), docs.tolist(), strict=True))
+
+
 def kept_words(texts):
     """doc -> words that stay, by comparing all windows."""
     first = {}
