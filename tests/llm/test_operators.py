@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -106,6 +107,30 @@ def test_pii_added_by_brute_force(spark, docs, rows):
         assert [(s["kind"], s["start"], s["end"]) for s in r.added] == want[r.doc_id, r.text or ""], (r.doc_id, r.text)
 
 
+def test_pii_strongest(spark):
+    """A span goes only for one that stays, also where the one that beats it goes itself, and over more spans than a block holds."""
+    rng = random.Random(3)
+    groups = [[(0, 0, 9, 1.0), (1, 8, 15, 2.0), (2, 14, 20, 3.0)], [(0, 0, 5, 1.0), (3, 2, 7, 1.0)], [(1, 4, 6, 0.5)]]
+    for n in (5, 40, 700):
+        spans = []
+        for kind in range(4):
+            at = 0
+            for _ in range(n):
+                at += rng.randrange(0, 12)
+                end = at + rng.randrange(1, 12)
+                spans.append((kind, at, end, rng.choice([0.5, 1.0, rng.random()])))
+                at = end
+        groups.append(spans)
+    kind = "array<struct<kind:int,start:int,end:int,m:string,margin:double>>"
+    df = spark.createDataFrame([(i, [(k, a, b, "", m) for k, a, b, m in g]) for i, g in enumerate(groups)], f"i long, loose {kind}")
+    for r in df.select("i", pii.strongest(F.col("loose")).alias("s")).collect():
+        kept = []
+        for c in sorted(groups[r.i], key=lambda c: (-c[3], c[0], c[1])):
+            if not any(k[1] < c[2] and c[1] < k[2] for k in kept):
+                kept.append(c)
+        assert sorted((s.kind, s.start, s.end, s.margin) for s in r.s) == sorted(kept), r.i
+
+
 # 2 mixing -----------------------------------------------------------------
 
 
