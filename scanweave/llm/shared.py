@@ -98,3 +98,19 @@ def lists(flat: np.ndarray, sizes: np.ndarray | list[int], kind: pa.DataType) ->
     """An Arrow list column of the given row sizes over flat."""
     ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
+
+
+#: Bytes of a text that `pieces` takes apart at a time.
+PIECE = 1 << 20
+
+
+def pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, parted by spaces, in lists of bounded size; a word longer than PIECE makes its list longer."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            cut = text.find(b" ", end)
+            end = cut if cut >= 0 else len(text)
+        yield text[at:end].split()
+        at = end
