@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import remainder
@@ -123,7 +123,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 2000, max_langs: int = 100, landmarks: int = 160, ridge: float = 0.1) -> Model | None:
-    """A model from documents with a language whose remainder isn't 0: the max_langs most frequent languages, max_rows documents in all, as many of each, the first by MD5 of the id.
+    """A model from documents with a language whose remainder isn't 0: the max_langs most frequent languages, at most max_rows documents in all, one of each of as many cells of hashes of the id in every language.
 
     A row without id, or whose text has no letter, teaches nothing; an id with several
     texts has the least. With nothing to learn from there is no model.
@@ -132,9 +132,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     names = sorted(r["lang"] for r in cols.where("text IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
     if not names:
         return None
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    ids = cols.where(F.col("lang").isin(names) & F.col("text").isNotNull()).select("lang", "doc_id").distinct()
-    drawn = ids.withColumn("first", first).where(F.col("first") <= max(1, max_rows // len(names))).select(F.col("lang").alias("its_lang"), F.col("doc_id").alias("its_id"))
+    # a hash of the id deals a language's ids into cells, and the first of each cell is drawn: combined in each task before it is shuffled, however frequent a language is
+    h = F.xxhash64("doc_id")
+    cell = F.pmod(h, F.lit(max(1, max_rows // len(names)))).alias("cell")
+    drawn = cols.where(F.col("lang").isin(names) & F.col("text").isNotNull()).groupBy("lang", cell).agg(F.min_by("doc_id", h).alias("its_id")).select(F.col("lang").alias("its_lang"), "its_id")
     # max_rows bounds the broadcast side
     rows = cols.join(F.broadcast(drawn), (cols["lang"] == drawn["its_lang"]) & (cols["doc_id"] == drawn["its_id"])).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     # a row of LONGEST * SIZE bits for each drawn document

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 #: Anchors that a task holds, vectors that it turns into columns at a time, and columns read between two looks at the bounds.
 ANCHOR_BLOCK, VECTORS, STEP = 8192, 8192, 8
 NONE = np.iinfo(np.int64).min
@@ -256,6 +258,7 @@ def _mined(rows: DataFrame, is_anchor: Column, grid: Grid, positives: int, negat
     anchors = rows.where(is_anchor).groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("a")).select("vec_id", "a.label", "a.v")
     found = grid.dealt(anchors.withColumn("windows", F.lit(None).cast(WINDOWS)), rows).mapInArrow(_cell(Positives, positives), FOUND)
     own = _best(found, positives).groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("vec_id").alias("id"), "score"))).alias("positives"))
+    own = materialise(own, "positives")  # read twice below
     # the least whole s with 100 * s >= percent * p, the greatest with 100 * s <= percent * p: div cuts towards 0, so the remainder goes first
     floor = lambda x: f"(({x}) - pmod({x}, 100)) div 100"
     windows = F.expr(f"transform(positives, p -> struct(-({floor(f'-{least_percent} * p.score')}) AS least, {floor(f'{most_percent} * p.score')} AS most))")
