@@ -98,9 +98,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 
 
 def threshold_at(score: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least threshold from which on at least the given share of the rows is of class 1; over 1 where there is none."""
+    """The least threshold from which on at least the given share of the rows is of class 1; infinite where there is none."""
     order = np.argsort(-score, kind="stable")
     share = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     last = np.append(np.diff(score[order]) != 0, True) if len(y) else np.zeros(0, bool)
     good = np.flatnonzero((share >= precision) & last)
-    return float(score[order][good[-1]]) if len(good) else 1.1
+    return float(score[order][good[-1]]) if len(good) else np.inf

@@ -105,7 +105,7 @@ def test_pii_added_by_brute_force(spark, docs, rows):
             k, a, b = c[:3]
             if not any(names.index(x[0]) == k and x[1] < b and a < x[2] for x in base if k < 4):
                 m = margin(t, *c)
-                if bars[k] <= 1 and m >= np.log(bars[k] / (1 - bars[k])):
+                if m >= bars[k]:
                     selected.append((k, a, b, m))
         ends = {k: 0 for k in names}
         weighed, all_found = [], {k: [(m.start(), m.end()) for m in re.finditer(PATTERNS[k], t)] for k in names}
