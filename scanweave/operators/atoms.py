@@ -41,9 +41,8 @@ def dumbbell_vector(atoms: DataFrame, cell: float, most: float | None = None) ->
 def dumbbell_pairs(atoms: DataFrame, vx: float, vy: float, tolerance: float) -> DataFrame:
     """(a, b, distance): atoms one vector apart within tolerance times its length, one to one, best first.
 
-    Candidates come from a cell join; the greedy part runs for each connected
-    column of the field (cells as wide as the image column), the whole image if
-    `image` isn't among the columns.
+    Candidates come from a cell join, and are matched in rounds of local
+    dominance; without a column `image` all atoms are of one image.
     """
     reach = tolerance * (vx * vx + vy * vy) ** 0.5
     cell = lambda c: F.floor(c / reach).cast("long")

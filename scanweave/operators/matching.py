@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import working_dir
+from .dominance import best_pairs, separated
 from .grid import nav_grid
 
 #: A reference side is sent to every executor only up to this many rows.
@@ -123,37 +123,14 @@ def k_nearest_all(points: DataFrame, k: int, cell: float) -> DataFrame:
         cell *= 2
 
 
-def greedy(pairs: pd.DataFrame, a: str, b: str, by: list[str]) -> pd.DataFrame:
-    """Of candidate pairs in order of `by`, those whose two ends are both still free."""
-    taken_a, taken_b, keep = set(), set(), []
-    for i, (u, v) in enumerate(pairs.sort_values(by, kind="stable")[[a, b]].itertuples(index=False)):
-        if u not in taken_a and v not in taken_b:
-            taken_a.add(u)
-            taken_b.add(v)
-            keep.append(i)
-    return pairs.sort_values(by, kind="stable").iloc[keep]
-
-
 def greedy_one_to_one(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates (keys..., a, b, distance) of each group matched one to one, best distance first; ties to the smaller a, then b."""
-    return candidates.groupBy(*keys).applyInPandas(lambda rows: greedy(rows, "a", "b", ["distance", "a", "b"]), candidates.schema)
-
-
-def suppress(rows: pd.DataFrame, distance: float, strict: bool) -> pd.DataFrame:
-    """The strongest peaks first; a peak closer than the distance to one that stays goes (strict: d < distance, else d <= distance)."""
-    rows = rows.sort_values(["intensity", "ord"], ascending=[False, True], kind="stable")
-    p = rows[["py", "px"]].to_numpy()
-    keep: list[int] = []
-    for i in range(len(p)):
-        d2 = ((p[keep] - p[i]) ** 2).sum(axis=1)
-        if not ((d2 < distance**2) if strict else (d2 <= distance**2)).any():
-            keep.append(i)
-    return rows.iloc[keep]
+    return best_pairs(candidates, keys)
 
 
 def min_separation(peaks: DataFrame, distance: float, strict: bool = True, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
-    """Peaks (keys..., py, px, intensity, ord) of each frame at least the distance apart."""
-    return peaks.groupBy(*keys).applyInPandas(lambda rows: suppress(rows, distance, strict), peaks.schema)
+    """Peaks (keys..., py, px, intensity, ord) of each frame at least the distance apart, the strongest first."""
+    return separated(peaks, distance, strict, keys)
 
 
 def far_from_kept(points: np.ndarray, threshold: float) -> np.ndarray:

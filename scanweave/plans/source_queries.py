@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..axes import Axis, chunk_edge, is_movie
 from ..functions import roi, units
-from ..operators import atoms, fields, frames, grid, matching, orientation, ragged, refine, shape, spectra, strain, virtual
+from ..operators import atoms, dominance, fields, frames, grid, matching, orientation, ragged, refine, shape, spectra, strain, virtual
 from ..plans import registry
 from ..sources import store, synthetic
 from . import domain as d
@@ -178,6 +178,25 @@ def separated_peaks(spark, sf_dir):
     return matching.min_separation(peaks, 20.0).select(F.col("ord").alias("id"))
 
 
+_PROPOSED = "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 40 END AS g, (p_partkey * 7919 % 101)::DOUBLE AS y, (p_partkey * 104729 % 97)::DOUBLE AS x, floor(p_retailprice / 50) AS s FROM part"
+
+
+@query(f"""WITH p AS ({_PROPOSED}),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, id) AS i FROM p), m AS (SELECT g, max(i) AS n FROM o GROUP BY g),
+h AS (SELECT g, unnest(ids) AS id FROM (WITH RECURSIVE r(g, i, ids, ys, xs) AS (SELECT g, 0::BIGINT, []::BIGINT[], []::DOUBLE[], []::DOUBLE[] FROM m UNION ALL
+SELECT r.g, o.i, CASE WHEN t.ok THEN list_append(ids, o.id) ELSE ids END, CASE WHEN t.ok THEN list_append(ys, o.y) ELSE ys END, CASE WHEN t.ok THEN list_append(xs, o.x) ELSE xs END
+FROM r JOIN o ON o.g = r.g AND o.i = r.i + 1, LATERAL (SELECT len(list_filter(range(1, len(ids) + 1), lambda k: (ys[k] - o.y) ** 2 + (xs[k] - o.x) ** 2 <= 36)) = 0 AS ok) t)
+SELECT r.g, ids FROM r JOIN m ON m.g = r.g AND m.n = r.i)),
+a AS (SELECT o.*, k.id AS head, k.s AS top FROM o JOIN h ON h.g = o.g JOIN o k ON k.id = h.id AND k.g = o.g AND (k.y - o.y) ** 2 + (k.x - o.x) ** 2 <= 36 QUALIFY row_number() OVER (PARTITION BY o.id ORDER BY k.i) = 1)
+SELECT CAST(g AS INT) AS y, head AS ord, round(sum(s * y) / sum(s), 6) AS py, round(sum(s * x) / sum(s), 6) AS px, any_value(top)::DOUBLE AS intensity, count(*) AS n FROM a GROUP BY g, head""")
+def merged_proposals(spark, sf_dir):
+    k = F.col("p_partkey")
+    peaks = d.read(spark, sf_dir, "part").select(
+        F.when(k % 3 == 0, 0).otherwise(k % 40).cast("int").alias("y"), F.lit(0).alias("x"), (k * 7919 % 101).cast("double").alias("py"), (k * 104729 % 97).cast("double").alias("px"), F.floor(F.col("p_retailprice") / 50).cast("double").alias("intensity"), k.alias("ord"),
+    )
+    return rounded(dominance.merged(peaks, 6.0).select("y", "ord", "py", "px", "intensity", "n"), 6, "py", "px")
+
+
 @query("""WITH c AS (SELECT CAST(l_orderkey % 500 AS INT) AS g, CAST(l_partkey % 9 AS INT) AS a, CAST(l_suppkey % 7 AS INT) AS b, min(l_extendedprice) AS distance FROM lineitem GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY distance, a, b) AS i FROM c), m AS (SELECT g, max(i) AS n FROM o GROUP BY g)
 SELECT g, a, b FROM (WITH RECURSIVE r(g, i, pairs) AS (SELECT g, 0::BIGINT, []::STRUCT(a INT, b INT)[] FROM m UNION ALL
