@@ -11,13 +11,27 @@ from pyspark.sql import functions as F
 
 from ..axes import Axis
 from ..functions import kernels
+from . import halo
 
 VECTORS = "time double, nav_y int, nav_x int, kx double, ky double, intensity double, confidence double, sigma double, ord long, disk_mean double"
 DEFAULT_THRESHOLD = {"nxcorr": 0.5, "dog": 10.0}
 
 
-def map_frames(frames: DataFrame, shape: tuple[int, int], *functions: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """frames with functions applied to each one after the other, in a single pass to Python and back."""
+def map_frames(frames: DataFrame, shape: tuple[int, int], *functions: Callable[..., np.ndarray], depth: int = 0) -> DataFrame:
+    """frames with functions applied to each one after the other, in a single pass to Python and back.
+
+    With a depth, a function gets a block (rows, columns, *shape) of frames with
+    as many more on each side, and the map of the positions that have a frame;
+    see halo.map_blocks. The depth must do for all the functions together.
+    """
+    if depth:
+
+        def in_turn(block: np.ndarray, there: np.ndarray) -> np.ndarray:
+            for g in functions:
+                block = g(block, there)
+            return block
+
+        return halo.map_blocks(frames, shape, in_turn, depth)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -33,8 +47,11 @@ def map_frames(frames: DataFrame, shape: tuple[int, int], *functions: Callable[[
     return frames.mapInPandas(run, schema)
 
 
-def find_vectors(frames: DataFrame, shape: tuple[int, int], radius: float, method: str = "nxcorr", threshold: float | None = None, distance: float | None = None, ky: Axis | None = None, kx: Axis | None = None, beam_stop: np.ndarray | None = None) -> DataFrame:
-    """Vectors of (y, x, frame): peaks in calibrated coordinates, strongest first at each position; ord has 21 bits each for y, x and the peak's place, and more is an error."""
+def find_vectors(frames: DataFrame, shape: tuple[int, int], radius: float, method: str = "nxcorr", threshold: float | None = None, distance: float | None = None, ky: Axis | None = None, kx: Axis | None = None, beam_stop: np.ndarray | None = None, nav_sigma: float = 0.0) -> DataFrame:
+    """Vectors of (y, x, frame): peaks in calibrated coordinates, strongest first at each position; ord has 21 bits each for y, x and the peak's place, and more is an error.
+
+    nav_sigma: frames are blurred along the scan first, each with those around it.
+    """
     if method not in DEFAULT_THRESHOLD:
         raise ValueError("method is nxcorr or dog")
     bar, apart = DEFAULT_THRESHOLD[method] if threshold is None else threshold, 2 * radius if distance is None else distance
@@ -50,7 +67,7 @@ def find_vectors(frames: DataFrame, shape: tuple[int, int], radius: float, metho
             if parts:
                 yield pd.concat(parts)
 
-    return frames.select("y", "x", "frame").mapInPandas(run, VECTORS)
+    return halo.nav_blur(frames.select("y", "x", "frame"), shape, nav_sigma).mapInPandas(run, VECTORS)
 
 
 #: Pixels that the running reference takes in one task at most, and the share of the median sharpness below which a frame is kept out of it.

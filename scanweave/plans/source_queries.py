@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..axes import Axis, chunk_edge, is_movie
 from ..functions import roi, units
-from ..operators import atoms, dominance, fields, frames, grid, matching, orientation, ragged, refine, shape, spectra, strain, virtual
+from ..operators import atoms, dominance, fields, frames, grid, halo, matching, orientation, ragged, refine, shape, spectra, strain, virtual
 from ..plans import registry
 from ..sources import store, synthetic
 from . import domain as d
@@ -281,6 +282,32 @@ def mapped_frames(spark, sf_dir):
     return rounded(out.select("y", "x", F.aggregate(F.transform("frame", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v).alias("code")), 4, "code")
 
 
+@query(f"""WITH {d.PIXELS}, k AS (SELECT i AS d, exp(-0.5 * (i / 0.7) ** 2) AS w FROM range(-3, 4) t(i)),
+b AS (SELECT a.y, a.x, q.ky, q.kx, sum(u.w * v.w * q.value) / sum(u.w * v.w) AS value FROM f a, k u, k v, p q WHERE q.y = a.y + u.d AND q.x = a.x + v.d GROUP BY ALL)
+SELECT y, x, round(sum(value * (8 * ky + kx + 1)), 4) AS code, round(max(value), 6) AS top FROM b GROUP BY y, x""")
+def blurred_frames(spark, sf_dir):
+    out = halo.nav_blur(d.frames(spark, sf_dir), (8, 8), 0.7)
+    code = F.aggregate(F.transform("frame", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rounded(out.select("y", "x", code.alias("code"), F.array_max("frame").alias("top")), 4, "code").withColumn("top", F.round("top", 6))
+
+
+@query(f"""WITH {d.PIXELS}, n AS (SELECT a.y, a.x, q.ky, q.kx, q.value, q.y <> a.y OR q.x <> a.x AS beside FROM f a JOIN p q ON abs(q.y - a.y) <= 1 AND abs(q.x - a.x) <= 1),
+m AS (SELECT y, x, ky, kx, max(value) FILTER (NOT beside) AS own, max(value) FILTER (beside) AS other FROM n GROUP BY ALL)
+SELECT y, x, count(*) FILTER (own > other) AS n_above, round(sum(own - other), 4) AS gap FROM m GROUP BY y, x""")
+def frames_above_neighbours(spark, sf_dir):
+    """Pixels brighter than the same pixel of all 8 frames around, by a function that sees the neighbours."""
+
+    def gap(block, there):
+        a = np.where(there[:, :, None, None], block, -np.inf)
+        p = np.pad(a, ((1, 1), (1, 1), (0, 0), (0, 0)), constant_values=-np.inf)
+        h, w = a.shape[:2]
+        around = np.max([p[i : i + h, j : j + w] for i in range(3) for j in range(3) if (i, j) != (1, 1)], axis=0)
+        return block - np.where(np.isfinite(around), around, 0.0)
+
+    out = frames.map_frames(d.frames(spark, sf_dir), (8, 8), gap, depth=1)
+    return out.select("y", "x", F.size(F.filter("frame", lambda v: v > 0)).cast("long").alias("n_above"), F.round(F.aggregate("frame", F.lit(0.0), lambda a, v: a + v), 4).alias("gap"))
+
+
 @query(f"WITH {d.FRAMES} SELECT y, x, CAST(list_max(frame) AS DOUBLE) AS top FROM f WHERE y = 3 AND x = 4")
 def previewed_expression(spark, sf_dir):
     return registry.preview(d.frames(spark, sf_dir), {"y": 3, "x": 4}, top="array_max(frame)").select("y", "x", F.col("top").cast("double").alias("top"))
