@@ -49,11 +49,11 @@ def vector_orientation_map(vectors: DataFrame, *_, **__) -> Result:
     raise MissingDependency("vector orientation mapping", "a crystallography library for its plans")
 
 
-def strain_map(vectors: DataFrame, reference: DataFrame, sizes: dict[str, int], tolerance: float, robust: bool = False, rotation: float = 0.0, flip: bool = False) -> Result:
+def strain_map(vectors: DataFrame, reference: DataFrame, sizes: dict[str, int], tolerance: float, robust: bool = False, rotation: float = 0.0, flip: bool = False, alignment: str = "raw") -> Result:
     """Strain against reference vectors (ref, gx, gy), their zero beam left out."""
     ref = matching.zero_beam_filtered(reference)
-    df = strain.robust_strain_map(vectors, ref, tolerance, sizes) if robust else strain.strain_map(vectors, ref, tolerance, sizes, ref.count())
-    return Result(strain.rotate_tensor(df, rotation, flip), "strain_map", {"tolerance": tolerance, "robust": robust, "rotation": rotation, "flip": flip})
+    df = strain.robust_strain_map(vectors, ref, tolerance, sizes, alignment=alignment) if robust else strain.strain_map(vectors, ref, tolerance, sizes, ref.count(), alignment=alignment)
+    return Result(strain.rotate_tensor(df, rotation, flip), "strain_map", {"tolerance": tolerance, "robust": robust, "rotation": rotation, "flip": flip, "alignment": alignment})
 
 
 def center_zero_beam(vectors: DataFrame, sizes: dict[str, int], half_width: float, plane: str = "none", corner_fraction: float = 0.1) -> Result:

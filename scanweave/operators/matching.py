@@ -51,8 +51,10 @@ def _around() -> Column:
 
 def one_per_reference(matched: DataFrame, keys: tuple[str, ...] = ("nav_y", "nav_x")) -> DataFrame:
     """At each position the nearest vector of each reference only."""
-    best = F.row_number().over(Window.partitionBy(*keys, "ref").orderBy("distance", "ord"))
-    return matched.withColumn("__n", best).where("__n = 1").drop("__n")
+    rest = [c for c in matched.columns if c not in (*keys, "ref")]
+    # combined in each task before the shuffle
+    best = matched.groupBy(*keys, "ref").agg(F.min_by(F.struct(*rest), F.struct("distance", "ord")).alias("__b"))
+    return best.select(*keys, "ref", "__b.*").select(*matched.columns)
 
 
 def coverage(matched: DataFrame, n_reference: int, keys: tuple[str, ...] = ("nav_y", "nav_x")) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import cos, radians, sin
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
 from .fields import solve3
 from .grid import grid_complete
 from .matching import nearest_within, one_per_reference
@@ -43,10 +41,36 @@ def affine(matched: DataFrame, keys: tuple[str, ...] = ("nav_y", "nav_x"), weigh
     return got.select(*keys, *[c.alias(n) for c, n in zip(rows, ("t00", "t01", "tx", "t10", "t11", "ty"), strict=True)], "n_matched")
 
 
-def strain_map(vectors: DataFrame, reference: DataFrame, tolerance: float, sizes: dict[str, int], n_reference: int, weight: str | None = None, least: int = 3) -> DataFrame:
-    """(positions..., exx, eyy, exy, omega, coverage, residual, n_matched), dense: null strain where fewer than `least` vectors match."""
+def aligned_matches(vectors: DataFrame, reference: DataFrame, tolerance: float, keys: tuple[str, ...] = ("nav_y", "nav_x")) -> DataFrame:
+    """nearest_within for each position's better alignment, with a column raw.
+
+    Raw takes vectors as they are; the other takes each position's vectors and
+    the reference about their centroids, which a badly centred pattern needs and
+    one with missing spots doesn't stand. A position keeps the alignment that
+    matches more of its vectors, the centred one where both match as many; kx, ky
+    and gx, gy are those of the alignment. A null component matches nothing.
+    """
+    middle = vectors.groupBy(*keys).agg(F.avg("kx").alias("__mx"), F.avg("ky").alias("__my"))
+    about = vectors.join(middle, list(keys)).withColumns({"kx": F.col("kx") - F.col("__mx"), "ky": F.col("ky") - F.col("__my")}).drop("__mx", "__my").select(vectors.columns)
+    # one row
+    means = reference.agg(F.avg("gx").alias("__gx"), F.avg("gy").alias("__gy"))
+    centred = reference.crossJoin(F.broadcast(means)).select("ref", (F.col("gx") - F.col("__gx")).alias("gx"), (F.col("gy") - F.col("__gy")).alias("gy"))
+    both = nearest_within(vectors, reference, tolerance).withColumn("raw", F.lit(True)).unionByName(nearest_within(about, centred, tolerance).withColumn("raw", F.lit(False)))
+    n_raw, n_centred = F.count_if("raw"), F.count_if(~F.col("raw"))
+    choice = both.groupBy(*keys).agg((n_raw > n_centred).alias("raw"))
+    return both.join(choice, [*keys, "raw"], "left_semi")
+
+
+def _matches(vectors: DataFrame, reference: DataFrame, tolerance: float, keys: tuple[str, ...], alignment: str) -> DataFrame:
+    if alignment not in ("raw", "best"):
+        raise ValueError("alignment is raw or best")
+    return one_per_reference(aligned_matches(vectors, reference, tolerance, keys) if alignment == "best" else nearest_within(vectors, reference, tolerance), keys)
+
+
+def strain_map(vectors: DataFrame, reference: DataFrame, tolerance: float, sizes: dict[str, int], n_reference: int, weight: str | None = None, least: int = 3, alignment: str = "raw") -> DataFrame:
+    """(positions..., exx, eyy, exy, omega, coverage, residual, n_matched), dense: null strain where fewer than `least` vectors match. alignment: raw, or best (see aligned_matches)."""
     keys = tuple(sizes)
-    m = one_per_reference(nearest_within(vectors, reference, tolerance), keys)
+    m = _matches(vectors, reference, tolerance, keys, alignment)
     # a match with -g is the opposite vector: gx, gy carry the sign already
     t = affine(m, keys, weight)
     r2 = (F.col("kx") - (F.col("t00") * F.col("gx") + F.col("t01") * F.col("gy") + F.col("tx"))) ** 2 + (F.col("ky") - (F.col("t10") * F.col("gx") + F.col("t11") * F.col("gy") + F.col("ty"))) ** 2
@@ -65,41 +89,60 @@ def vector_weights(vectors: DataFrame, floor: float) -> DataFrame:
     return w.crossJoin(F.broadcast(mid)).withColumn("weight", F.coalesce("weight", "__m")).drop("__m")
 
 
-def robust_affine(rows: pd.DataFrame, rounds: int = 10, cut: float = 4.685) -> np.ndarray | None:
-    """(2, 3) map by iteratively reweighted least squares with Tukey's biweight; None under three vectors."""
-    g = np.column_stack([rows["gx"], rows["gy"], np.ones(len(rows))])
-    k = rows[["kx", "ky"]].to_numpy(float)
-    base = rows["weight"].to_numpy(float) if "weight" in rows else np.ones(len(rows))
-    if len(rows) < 3 or np.linalg.matrix_rank(g) < 3:
-        return None
-    w = base.copy()
-    for _ in range(rounds):
-        a = np.linalg.lstsq(g * np.sqrt(w)[:, None], k * np.sqrt(w)[:, None], rcond=None)[0]
-        r = np.hypot(*(k - g @ a).T)
-        scale = 1.4826 * np.median(r)
-        if scale < 1e-12:
-            break
-        w = base * np.clip(1 - (r / (cut * scale)) ** 2, 0, None) ** 2
-        if (w > 0).sum() < 3:
-            break
-    return a.T
-
-
-def robust_strain_map(vectors: DataFrame, reference: DataFrame, tolerance: float, sizes: dict[str, int]) -> DataFrame:
-    """strain_map's strains with outliers turned down: each position's few matches (one a reference vector) come as one row, many positions in a batch."""
+def _median(values: Column) -> Column:
+    """Of an array that isn't empty."""
+    at = lambda v, i: F.get(v, i.cast("int"))
+    return let(F.sort_array(values), lambda v: (at(v, F.floor((F.size(v) - 1) / 2)) + at(v, F.floor(F.size(v) / 2))) / 2)
+
+
+def robust_affine(matches: Column, rounds: int = 10, cut: float = 4.685) -> Column:
+    """struct<t00, t01, tx, t10, t11, ty> of an array of struct<kx, ky, gx, gy, w>: the map from (gx, gy) to (kx, ky) by reweighted least squares with Tukey's biweight; null fields under three matches.
+
+    A round sums the moments under the present weights, solves them, and turns
+    down what lies far by the residuals' median. Rounds end early, in effect, where the fit is
+    exact or fewer than three weights would be left: the weights stay as they are.
+    """
+    names = ("xx", "xy", "x", "yy", "y", "n", "xu", "yu", "u", "xv", "yv", "v")
+
+    def solved(w: Column) -> Column:
+        def add(s: Column, i: Column) -> Column:
+            m, wi = F.get(matches, i), F.get(w, i)
+            gx, gy, kx, ky = (m[c] for c in ("gx", "gy", "kx", "ky"))
+            terms = (gx * gx, gx * gy, gx, gy * gy, gy, F.lit(1.0), gx * kx, gy * kx, kx, gx * ky, gy * ky, ky)
+            return F.struct(*[(s[n] + wi * t).alias(n) for n, t in zip(names, terms, strict=True)])
+
+        def fields(s: Column) -> Column:
+            a = [s[n] for n in names[:6]]
+            rows = solve3(a, [s[n] for n in ("xu", "yu", "u")]) + solve3(a, [s[n] for n in ("xv", "yv", "v")])
+            return F.struct(*[c.alias(n) for c, n in zip(rows, ("t00", "t01", "tx", "t10", "t11", "ty"), strict=True)])
+
+        zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
+        return let(F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, add), fields)
+
+    def step(w: Column) -> Column:
+        def reweighted(r: Column) -> Column:
+            def next_weights(scale: Column) -> Column:
+                ratio = lambda x: F.greatest(F.lit(0.0), 1 - (x / (cut * F.greatest(scale, F.lit(1e-12)))) ** 2)
+                new = F.zip_with(matches, r, lambda m, x: m["w"] * ratio(x) ** 2)
+                return let(new, lambda v: F.when((scale >= 1e-12) & (F.size(F.filter(v, lambda x: x > 0)) >= 3), v).otherwise(w))
+
+            return let(1.4826 * _median(r), next_weights)
+
+        far = lambda t: F.transform(matches, lambda m: F.hypot(m["kx"] - (t["t00"] * m["gx"] + t["t01"] * m["gy"] + t["tx"]), m["ky"] - (t["t10"] * m["gx"] + t["t11"] * m["gy"] + t["ty"])))
+        return let(solved(w), lambda t: F.when(t["t00"].isNull(), w).otherwise(let(far(t), reweighted)))
+
+    first = F.transform(matches, lambda m: m["w"])
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(rounds - 1)), first, lambda w, _: step(w)) if rounds > 1 else first
+    return F.when(F.size(matches) >= 3, let(last, solved))
+
+
+def robust_strain_map(vectors: DataFrame, reference: DataFrame, tolerance: float, sizes: dict[str, int], weight: str | None = None, alignment: str = "raw") -> DataFrame:
+    """strain_map's strains with outliers turned down: a position's matches, one a reference vector, are an array, and the rounds of reweighting one expression over it."""
     keys = tuple(sizes)
-    m = one_per_reference(nearest_within(vectors, reference, tolerance), keys).select(*keys, "kx", "ky", "gx", "gy")
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            maps = [robust_affine(pd.DataFrame([tuple(r) for r in ms], columns=["kx", "ky", "gx", "gy"])) for ms in rows["m"]]
-            flat = np.array([[np.nan] * 4 if a is None else [a[0, 0], a[0, 1], a[1, 0], a[1, 1]] for a in maps]).reshape(-1, 4)
-            yield rows[list(keys)].assign(**{n: flat[:, i] for i, n in enumerate(("t00", "t01", "t10", "t11"))})
-
-    lists = m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.array("kx", "ky", "gx", "gy"))).alias("m"))
-    t = lists.mapInPandas(fit, ", ".join(f"{k} int" for k in keys) + ", t00 double, t01 double, t10 double, t11 double")
-    t = t.select(*keys, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("t00", "t01", "t10", "t11")])
-    return grid_complete(t.select(*keys, *[c.alias(n) for n, c in decomposed(*(F.col(c) for c in ("t00", "t01", "t10", "t11"))).items()]), sizes)
+    m = _matches(vectors, reference, tolerance, keys, alignment)
+    lists = m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("kx", "ky", "gx", "gy", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")))).alias("m"))
+    parts = lambda t: F.struct(*[c.alias(n) for n, c in decomposed(*(t[c] for c in ("t00", "t01", "t10", "t11"))).items()])
+    return grid_complete(lists.select(*keys, let(robust_affine(F.col("m")), parts).alias("d")).select(*keys, "d.*"), sizes)
 
 
 def rotate_tensor(df: DataFrame, degrees: float, flip: bool = False) -> DataFrame:

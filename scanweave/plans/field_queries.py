@@ -292,9 +292,41 @@ def strain_map(spark, sf_dir):
     return rounded(out, 6, "exx", "eyy", "exy", "e1").select("nav_y", "nav_x", "exx", "eyy", "exy", "e1")
 
 
-@query()
+def _robust_sql(rounds: int) -> str:
+    """Tables t1, w1, ..., t<rounds>: the solved map under the weights of each round, and the weights that follow."""
+    sums = "sum(w * g0 * g0) AS xx, sum(w * g0 * g1) AS xy, sum(w * g0) AS x, sum(w * g1 * g1) AS yy, sum(w * g1) AS y, sum(w) AS n, sum(w * g0 * kx) AS xu, sum(w * g1 * kx) AS yu, sum(w * kx) AS u, sum(w * g0 * ky) AS xv, sum(w * g1 * ky) AS yv, sum(w * ky) AS v, count(*) AS rows"
+    out = ["w0 AS (SELECT nav_y, nav_x, ord, kx, ky, g0, g1, 1.0::DOUBLE AS w FROM o)"]
+    for i in range(rounds):
+        out.append(f"f{i} AS (SELECT nav_y, nav_x, {sums} FROM w{i} GROUP BY ALL), t{i} AS (SELECT nav_y, nav_x, rows, {_T}, (u - t00 * x - t01 * y) / n AS tx, (v - t10 * x - t11 * y) / n AS ty FROM f{i})")
+        far = "sqrt((kx - t00 * g0 - t01 * g1 - tx) ** 2 + (ky - t10 * g0 - t11 * g1 - ty) ** 2)"
+        out.append(f"r{i} AS (SELECT a.*, {far} AS r FROM w{i} a JOIN t{i} USING (nav_y, nav_x)), s{i} AS (SELECT *, 1.4826 * median(r) OVER p AS scale FROM r{i} WINDOW p AS (PARTITION BY nav_y, nav_x))")
+        out.append(f"n{i} AS (SELECT *, greatest(0, 1 - (r / (4.685 * greatest(scale, 1e-12))) ** 2) ** 2 AS v FROM s{i})")
+        out.append(f"w{i + 1} AS (SELECT nav_y, nav_x, ord, kx, ky, g0, g1, CASE WHEN scale >= 1e-12 AND count(*) FILTER (v > 0) OVER p >= 3 THEN v ELSE w END AS w FROM n{i} WINDOW p AS (PARTITION BY nav_y, nav_x))")
+    return ",\n".join(out)
+
+
+_ONE = """o AS (SELECT *, gx AS g0, gy AS g1 FROM (SELECT nav_y, nav_x, ord, kx, ky, ref, neg, distance, gx, gy FROM n) QUALIFY row_number() OVER (PARTITION BY nav_y, nav_x, ref ORDER BY distance, ord, neg) = 1)"""
+
+
+@query(f"""WITH {d.VECTORS}, {_REF_SQL}, {_MATCH}, {_ONE}, {_robust_sql(10)},
+g AS (SELECT nav_y, nav_x, t11 / det AS f00, -t10 / det AS f01, -t01 / det AS f10, t00 / det AS f11 FROM (SELECT *, t00 * t11 - t01 * t10 AS det FROM t9) WHERE rows >= 3),
+m AS (SELECT *, f00 * f00 + f10 * f10 AS m00, f00 * f01 + f10 * f11 AS m01, f01 * f01 + f11 * f11 AS m11 FROM g), q AS (SELECT *, sqrt(greatest(0, m00 * m11 - m01 * m01)) AS root FROM m), z AS (SELECT *, sqrt(greatest(0, m00 + m11 + 2 * root)) AS trace FROM q),
+gr AS (SELECT CAST(y AS INT) AS nav_y, CAST(x AS INT) AS nav_x FROM range(10) a(y), range(12) b(x))
+e AS (SELECT nav_y, nav_x, round((m00 + root) / trace - 1, 5) AS exx, round((m11 + root) / trace - 1, 5) AS eyy, round(m01 / trace, 5) AS exy FROM z)
+SELECT nav_y, nav_x, CASE WHEN exx = 0 THEN 0 ELSE exx END AS exx, CASE WHEN eyy = 0 THEN 0 ELSE eyy END AS eyy, CASE WHEN exy = 0 THEN 0 ELSE exy END AS exy FROM gr LEFT JOIN e USING (nav_y, nav_x)""")
 def robust_strain_map(spark, sf_dir):
-    return strain.robust_strain_map(d.vectors(spark, sf_dir), matching.zero_beam_filtered(_refs(spark)), 0.2, d.GRID)
+    out = strain.robust_strain_map(d.vectors(spark, sf_dir), matching.zero_beam_filtered(_refs(spark)), 0.2, d.GRID)
+    # no negative zeros
+    return rounded(out, 5, "exx", "eyy", "exy").select("nav_y", "nav_x", *[F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)).alias(c) for c in ("exx", "eyy", "exy")])
+
+
+@query(f"""WITH {d.VECTORS}, {_REF_SQL}, {_KEPT}, a AS (SELECT v.*, kx - avg(kx) OVER p AS cx, ky - avg(ky) OVER p AS cy FROM v WINDOW p AS (PARTITION BY nav_y, nav_x)),
+c AS (SELECT ref, gx - avg(gx) OVER () AS gx, gy - avg(gy) OVER () AS gy FROM kept), s0 AS (SELECT gx, gy FROM kept UNION ALL SELECT -gx, -gy FROM kept), s1 AS (SELECT gx, gy FROM c UNION ALL SELECT -gx, -gy FROM c),
+h AS (SELECT nav_y, nav_x, EXISTS (SELECT 1 FROM s0 WHERE sqrt((kx - gx) ** 2 + (ky - gy) ** 2) < 0.2) AS raw, EXISTS (SELECT 1 FROM s1 WHERE sqrt((cx - gx) ** 2 + (cy - gy) ** 2) < 0.2) AS centred FROM a)
+SELECT nav_y, nav_x, count(*) FILTER (raw) > count(*) FILTER (centred) AS raw, greatest(count(*) FILTER (raw), count(*) FILTER (centred)) AS n FROM h GROUP BY ALL HAVING n > 0""")
+def chosen_alignments(spark, sf_dir):
+    refs = matching.zero_beam_filtered(_refs(spark))
+    return strain.aligned_matches(d.vectors(spark, sf_dir), refs, 0.2).groupBy("nav_y", "nav_x", "raw").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {d.VECTORS}, s AS (SELECT nav_y, nav_x, ord, CASE WHEN ord % 3 = 0 THEN NULL ELSE 0.01 + (ord % 10) / 100 END AS sigma, confidence FROM v), w AS (SELECT ord, confidence / (sigma * sigma + 0.0025) AS w FROM s) SELECT ord, round(coalesce(w, (SELECT median(w) FROM w)), 5) AS weight FROM w")
