@@ -311,7 +311,7 @@ _ONE = """o AS (SELECT *, gx AS g0, gy AS g1 FROM (SELECT nav_y, nav_x, ord, kx,
 @query(f"""WITH {d.VECTORS}, {_REF_SQL}, {_MATCH}, {_ONE}, {_robust_sql(10)},
 g AS (SELECT nav_y, nav_x, t11 / det AS f00, -t10 / det AS f01, -t01 / det AS f10, t00 / det AS f11 FROM (SELECT *, t00 * t11 - t01 * t10 AS det FROM t9) WHERE rows >= 3),
 m AS (SELECT *, f00 * f00 + f10 * f10 AS m00, f00 * f01 + f10 * f11 AS m01, f01 * f01 + f11 * f11 AS m11 FROM g), q AS (SELECT *, sqrt(greatest(0, m00 * m11 - m01 * m01)) AS root FROM m), z AS (SELECT *, sqrt(greatest(0, m00 + m11 + 2 * root)) AS trace FROM q),
-gr AS (SELECT CAST(y AS INT) AS nav_y, CAST(x AS INT) AS nav_x FROM range(10) a(y), range(12) b(x))
+gr AS (SELECT CAST(y AS INT) AS nav_y, CAST(x AS INT) AS nav_x FROM range(10) a(y), range(12) b(x)),
 e AS (SELECT nav_y, nav_x, round((m00 + root) / trace - 1, 5) AS exx, round((m11 + root) / trace - 1, 5) AS eyy, round(m01 / trace, 5) AS exy FROM z)
 SELECT nav_y, nav_x, CASE WHEN exx = 0 THEN 0 ELSE exx END AS exx, CASE WHEN eyy = 0 THEN 0 ELSE eyy END AS eyy, CASE WHEN exy = 0 THEN 0 ELSE exy END AS exy FROM gr LEFT JOIN e USING (nav_y, nav_x)""")
 def robust_strain_map(spark, sf_dir):

@@ -9,7 +9,8 @@ from scanweave.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = catalog.oracle_sql()
+MADE_UP, MADE_UP_SQL = catalog.unregistered()
+QUERIES, SQL = catalog.queries() | MADE_UP, catalog.oracle_sql() | MADE_UP_SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -22,9 +23,9 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = catalog.queries()[name](spark, SF).toPandas()
+    got = QUERIES[name](spark, SF).toPandas()
     if name not in SQL:
         assert name in ("dumbbell_pairs", "find_vectors_nxcorr") or len(got)
         return
@@ -38,3 +39,7 @@ def test_query(spark, duck, name):
         if not same.all() and a[c].dtype.kind == "f":
             same = same | ((a[c] - b[c]).abs() <= 1e-6 * a[c].abs().clip(lower=1))
         assert same.all(), c
+
+
+def test_what_is_registered():
+    assert set(MADE_UP) == catalog.WITHOUT_TABLES and not catalog.WITHOUT_TABLES & set(catalog.queries()) and not catalog.WITHOUT_TABLES & set(catalog.oracle_sql())
