@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import frames
 from ..streaming import events
 from . import domain as d
@@ -99,6 +100,23 @@ def line_profiles(spark, sf_dir):
     return rounded(out.select("y", "x", F.posexplode("frame").alias("i", "value")), 7, "value")
 
 
+def _by_sql(spark, sf_dir, select: str):
+    """A query text over the view frames (y, x, frame), with the table functions."""
+    tables.register(spark)
+    return spark.sql(select, frames=_frames(spark, sf_dir))
+
+
+@query(f"""WITH {d.PIXELS}, n AS (SELECT a.y, a.x, a.ky, a.kx, any_value(a.value) AS value, max(b.value) AS top FROM p a JOIN p b ON a.y = b.y AND a.x = b.x AND abs(a.ky - b.ky) <= 2 AND abs(a.kx - b.kx) <= 2 GROUP BY ALL)
+SELECT y, x, ky AS py, kx AS px, round(value, 6) AS value FROM n WHERE value >= top AND value >= 0.1""")
+def maxima_by_table_function(spark, sf_dir):
+    return _by_sql(spark, sf_dir, "SELECT f.y, f.x, p.py, p.px, round(p.value, 6) AS value FROM {frames} f, LATERAL local_maxima(f.frame, 8, 8, 2, 0.1D) p")
+
+
+@query(f"WITH {d.PIXELS} SELECT y, x, kx AS i, round((sum(value) FILTER (WHERE ky = 2) + sum(value) FILTER (WHERE ky = 3) + sum(value) FILTER (WHERE ky = 4)) / 3, 7) AS value FROM p GROUP BY ALL")
+def profiles_by_table_function(spark, sf_dir):
+    return _by_sql(spark, sf_dir, "SELECT f.y, f.x, p.i, round(p.value, 7) AS value FROM {frames} f, LATERAL line_profile(f.frame, 8, 8, 3D, 0D, 3D, 7D, 3) p")
+
+
 @query(f"""WITH {d.PIXELS}, q AS (SELECT y, x, ky, kx, ln(1 + greatest(value, 0)) AS value FROM p), {_blurred(2.0, "q")}, e AS (SELECT y, x, ky, kx, q.value - b.v AS v FROM q JOIN b USING (y, x, ky, kx)),
 c AS (SELECT *, median(v) OVER (PARTITION BY y, x) AS mid FROM e), g AS (SELECT *, 1.4826 * median(abs(v - mid)) OVER (PARTITION BY y, x) AS mad FROM c)
 SELECT y, x, round(sum((v - mid) / mad * (ky * 8 + kx + 1)), 4) AS code FROM g GROUP BY ALL""")
