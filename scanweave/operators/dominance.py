@@ -94,6 +94,19 @@ def separated(peaks: DataFrame, distance: float, strict: bool = True, keys: tupl
     return rows.join(out, rows["__row"] == out["row"], "left_anti").drop("__row")
 
 
+def grouped(peaks: DataFrame, distance: float, keys: list[str]) -> DataFrame:
+    """(keys..., py, px, own, head): the strongest free peak takes all free ones within the distance (at most), and so on down; own and head are structs of s, the intensity, and o, less the ord. Peaks without a place take part in no group."""
+    working_dir(peaks.sparkSession)
+    _, placed = _ranked(peaks, distance, keys)
+    placed = placed.checkpoint()
+    out = _settled(placed, keys, distance, strict=False)
+    heads = placed.join(out, "row", "left_anti").checkpoint()
+    # a peak belongs to the strongest head near it: that one took it first
+    near = _near(placed, heads, keys, distance, strict=False)
+    first = [F.first(f"p_{c}").alias(n) for c, n in [*((k, k) for k in keys), ("py", "py"), ("px", "px"), ("rank", "own")]]
+    return near.groupBy("p_row").agg(*first, F.max("o_rank").alias("head")).drop("p_row")
+
+
 def merged(peaks: DataFrame, distance: float, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
     """(keys..., py, px, intensity, ord, n): proposals of one spot as one. The strongest free proposal takes all free ones within the distance (at most), and so on down.
 
@@ -101,17 +114,8 @@ def merged(peaks: DataFrame, distance: float, keys: tuple[str, ...] = ("y", "x")
     ones count 0; all alike if none is positive), has the intensity and ord of the
     strongest, and n proposals. Proposals without a place take part in none.
     """
-    working_dir(peaks.sparkSession)
-    keys = list(keys)
-    _, placed = _ranked(peaks, distance, keys)
-    placed = placed.checkpoint()
-    out = _settled(placed, keys, distance, strict=False)
-    heads = placed.join(out, "row", "left_anti").checkpoint()
-    # a proposal belongs to the strongest head near it: that one took it first
-    near = _near(placed, heads, keys, distance, strict=False)
-    head = near.groupBy("p_row").agg(F.max("o_rank").alias("h"), F.first("p_py").alias("y"), F.first("p_px").alias("x"), F.first("p_rank").alias("own"), *[F.first(f"p_{k}").alias(f"k_{k}") for k in keys])
     w = F.greatest(F.coalesce(F.col("own.s").cast("double"), F.lit(0.0)), F.lit(0.0))
     total = F.sum(w)
     mean = lambda c: F.when(total > 0, F.sum(w * F.col(c)) / total).otherwise(F.avg(c))
-    spots = head.groupBy("h", *[f"k_{k}" for k in keys]).agg(mean("y").alias("py"), mean("x").alias("px"), F.count("*").alias("n"))
-    return spots.select(*[F.col(f"k_{k}").alias(k) for k in keys], "py", "px", F.col("h.s").alias("intensity"), (-F.col("h.o")).alias("ord"), "n")
+    spots = grouped(peaks, distance, list(keys)).groupBy("head", *keys).agg(mean("py").alias("py"), mean("px").alias("px"), F.count("*").alias("n"))
+    return spots.select(*keys, "py", "px", F.col("head.s").alias("intensity"), (-F.col("head.o")).alias("ord"), "n")

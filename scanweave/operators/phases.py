@@ -5,9 +5,12 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import working_dir
+from .dominance import grouped
+
 
 def snapped(reference: DataFrame, families: list[float], tolerance: float) -> DataFrame:
     """Reference vectors (ref, gx, gy) stretched to their nearest family's length where its relative error is within the tolerance; the others are left out."""
@@ -31,6 +34,36 @@ def consensus(vectors: DataFrame, cell: float, least_share: float, keys: tuple[s
     return got.select((F.row_number().over(order) - 1).alias("ref"), "gx", "gy", "n")
 
 
+def ball_consensus(vectors: DataFrame, radius: float, least_share: float, keys: tuple[str, ...] = ("nav_y", "nav_x")) -> DataFrame:
+    """(ref, gx, gy, n): the spots of a region that at least a share of its positions (two at least) hold; refs from the densest on.
+
+    The vector with the most others within the radius takes them all, then the
+    densest of those left, and so on (ties: the smaller kx, then ky); a spot lies
+    at its vectors' median. Balls follow the vectors, so a spot is whole wherever
+    it lies. Equal vectors count together as one point. Vectors without a place
+    are in no spot. Pairs within the radius are counted: the region should be the
+    neighbourhood of a reference position, not a whole scan of fine vectors.
+    """
+    working_dir(vectors.sparkSession)
+    known = vectors.where(F.col("kx").isNotNull() & F.col("ky").isNotNull()).select(*keys, "kx", "ky")
+    order = ["kx", "ky"]
+    points = known.groupBy(*order).agg(F.count("*").alias("times")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()).checkpoint()
+    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    placed = points.select("ord", "kx", "ky", "times", cell("kx").alias("cx"), cell("ky").alias("cy"))
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    around = placed.withColumn("__a", F.explode(steps)).withColumn("__b", F.explode(steps)).select(F.col("kx").alias("ox"), F.col("ky").alias("oy"), "times", (F.col("cx") + F.col("__a")).alias("cx"), (F.col("cy") + F.col("__b")).alias("cy"))
+    near = placed.drop("times").join(around, ["cx", "cy"]).where((F.col("kx") - F.col("ox")) ** 2 + (F.col("ky") - F.col("oy")) ** 2 <= radius**2)
+    dense = near.groupBy("ord", "kx", "ky").agg(F.sum("times").alias("intensity"))
+    spots = grouped(dense.select(F.col("ky").alias("py"), F.col("kx").alias("px"), "intensity", "ord"), radius, []).select((-F.col("own.o")).alias("ord"), F.col("head.s").alias("density"), (-F.col("head.o")).alias("head"))
+    members = known.join(points.select("kx", "ky", "ord"), ["kx", "ky"]).join(spots, "ord")
+    total = known.select(*keys).distinct().agg(F.count("*").alias("__t"))
+    found = members.groupBy("head", "density").agg(F.count_distinct(*keys).alias("n"), F.percentile("kx", F.lit(0.5)).alias("gx"), F.percentile("ky", F.lit(0.5)).alias("gy"))
+    # one row; then a row a spot
+    kept = found.crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(2), F.ceil(least_share * F.col("__t"))))
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("density"), "head")) - 1
+    return kept.select(number.alias("ref"), "gx", "gy", "n")
+
+
 def match_rings(measured: list[float], phases: dict[str, list[float]], tolerance: float = 0.03) -> list[tuple[str, float, float, int]]:
     """(phase, scale, residual, matched), best first: ring radii assigned one to one to a phase's reflections.
 

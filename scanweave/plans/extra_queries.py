@@ -75,6 +75,19 @@ def consensus_reference(spark, sf_dir):
     return rounded(phases.consensus(d.vectors(spark, sf_dir), 0.4, 0.9), 9, "gx", "gy")
 
 
+@query(f"""WITH {d.VECTORS}, p AS (SELECT kx, ky, count(*) AS times FROM v GROUP BY ALL), e AS (SELECT a.kx, a.ky, sum(b.times) AS s FROM p a JOIN p b ON (a.kx - b.kx) ** 2 + (a.ky - b.ky) ** 2 <= 0.0625 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY s DESC, kx, ky) AS i FROM e),
+h AS (SELECT unnest(ids) AS i FROM (WITH RECURSIVE r(i, ids, ys, xs) AS (SELECT 0::BIGINT, []::BIGINT[], []::DOUBLE[], []::DOUBLE[] UNION ALL
+SELECT o.i, CASE WHEN t.ok THEN list_append(ids, o.i) ELSE ids END, CASE WHEN t.ok THEN list_append(ys, o.ky) ELSE ys END, CASE WHEN t.ok THEN list_append(xs, o.kx) ELSE xs END
+FROM r JOIN o ON o.i = r.i + 1, LATERAL (SELECT len(list_filter(range(1, len(ids) + 1), lambda k: (ys[k] - o.ky) ** 2 + (xs[k] - o.kx) ** 2 <= 0.0625)) = 0 AS ok) t)
+SELECT ids FROM r ORDER BY i DESC LIMIT 1)),
+a AS (SELECT o.kx, o.ky, min(k.i) AS head FROM o JOIN h ON true JOIN o k ON k.i = h.i AND (k.ky - o.ky) ** 2 + (k.kx - o.kx) ** 2 <= 0.0625 GROUP BY ALL),
+c AS (SELECT head, count(DISTINCT (nav_y, nav_x)) AS n, median(v.kx) AS gx, median(v.ky) AS gy FROM v JOIN a USING (kx, ky) GROUP BY head)
+SELECT CAST(row_number() OVER (ORDER BY head) - 1 AS INT) AS ref, round(gx, 9) AS gx, round(gy, 9) AS gy, n FROM c WHERE n >= greatest(2, ceil(0.9 * (SELECT count(DISTINCT (nav_y, nav_x)) FROM v)))""")
+def ball_consensus_reference(spark, sf_dir):
+    return rounded(phases.ball_consensus(d.vectors(spark, sf_dir), 0.25, 0.9), 9, "gx", "gy")
+
+
 @query("SELECT * FROM (VALUES ('cubic', 3), ('other', 2)) t(phase, matched)")
 def phase_of_rings(spark, sf_dir):
     got = phases.match_rings([1.0, 1.155, 1.633], {"cubic": [1.7321, 2.0, 2.8284], "other": [1.0, 2.5, 4.1]})

@@ -3,9 +3,10 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from scanweave.operators import dominance
+from scanweave.operators import dominance, phases
 
 PEAKS = "y int, x int, py double, px double, intensity double, ord long"
 
@@ -77,3 +78,35 @@ def test_best_pairs(spark, kind):
     df = spark.createDataFrame(rows, "g int, a long, b long, distance double").repartition(3)
     got = dominance.best_pairs(df, ["g"])
     assert got.columns == df.columns and Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def slow_consensus(rows, radius, share):
+    pool = np.array([r[2:4] for r in rows if r[2] is not None])
+    at = [r[:2] for r in rows if r[2] is not None]
+    near = [np.flatnonzero(((pool - p) ** 2).sum(axis=1) <= radius**2) for p in pool]
+    used, out = np.zeros(len(pool), bool), []
+    for i in sorted(range(len(pool)), key=lambda i: (-len(near[i]), *pool[i])):
+        if not used[i]:
+            members = [j for j in near[i] if not used[j]]
+            used[members] = True
+            n = len({at[j] for j in members})
+            if n >= max(2, np.ceil(share * len(set(at)))):
+                out.append((*np.median(pool[members], axis=0), n))
+    return out
+
+
+@pytest.mark.parametrize("moved", [0.0, 0.125])
+def test_ball_consensus(spark, moved):
+    """Spots on any cell's border are whole; false positives and repeated vectors don't count."""
+    rng = np.random.default_rng(3)
+    spots = [(a * 0.25, b * 0.25) for a in (-2, 0, 2) for b in (-2, 0, 2)]
+    rows = [(y, x, float(np.round(gx + moved + rng.normal(0, 0.02), 3)), float(np.round(gy + moved + rng.normal(0, 0.02), 3))) for y in range(4) for x in range(4) for gx, gy in spots if rng.random() < 0.9]
+    rows += [(0, 0, 1.7, 1.7)] * 30 + [(y, 0, float(rng.uniform(-1, 1)), float(rng.uniform(-1, 1))) for y in range(4)] + [(1, 1, None, 0.0)] + rows[:5]
+    df = spark.createDataFrame(rows, "nav_y int, nav_x int, kx double, ky double").repartition(3)
+    got = [(r.gx, r.gy, r.n) for r in phases.ball_consensus(df, 0.1, 0.5).orderBy("ref").collect()]
+    want = slow_consensus(rows, 0.1, 0.5)
+    assert len(got) == len(want) == 9
+    for g, w in zip(got, want, strict=True):
+        assert g == pytest.approx(w, abs=1e-12)
+    assert all(min(np.hypot(g[0] - a - moved, g[1] - b - moved) for a, b in spots) < 0.03 for g in got)
+    assert phases.ball_consensus(df.where("false"), 0.1, 0.5).collect() == []
