@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.components import Model
+from ..sources.store import working_dir
 from .grid import grid_complete, neighbours
 
 FIT = "y int, x int, parameters array<double>, converged boolean, chisq double, n_iter int"
@@ -101,6 +102,7 @@ def polish(spectra: DataFrame, fits: DataFrame, model: Model, axis: tuple[float,
     """Poor fits tried again from their best neighbour's parameters; a result stays only if it is better, and passes end when none is."""
     from .neighbourhood import poor_fits
 
+    working_dir(spectra.sparkSession)
     for _ in range(passes):
         poor = poor_fits(fits, factor).where("poor").select("y", "x")
         near = neighbours(fits.where("converged"), ["parameters", "chisq"]).groupBy("y", "x").agg(F.min_by("n_parameters", "n_chisq").alias("seed"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("core_queries", "field_queries", "model_queries", "kernel_queries", "extra_queries", "source_queries", "planted_queries")
+MODULES = ("core_queries", "field_queries", "model_queries", "kernel_queries", "extra_queries", "source_queries", "planted_queries", "image_queries")
 #: Queries over made-up input alone: they are tests of their operators, and aren't registered.
 WITHOUT_TABLES = frozenset(
     "coarse_seeds zero_beam_filter model_curve edges_in_range d_spacings spot_reflections playback_clock movie_frame_list member_offsets member_votes snapped_reference phase_of_rings band_pattern "
