@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -71,8 +72,8 @@ def find_vectors(frames: DataFrame, shape: tuple[int, int], radius: float, metho
     return halo.nav_blur(frames.select("y", "x", "frame"), shape, nav_sigma).mapInPandas(run, VECTORS)
 
 
-#: Pixels that the running reference takes in one task at most, and the share of the median sharpness below which a frame is kept out of it.
-MOST_RUNNING, CREDIBLE = 1 << 28, 0.25
+#: The share of the median sharpness below which a frame is kept out of a running reference, and the steps to a doubling in which sharpness is counted for that median.
+CREDIBLE, STEPS = 0.25, 128
 
 
 def numbered(y: int, x: int, n: int) -> np.ndarray:
@@ -82,6 +83,16 @@ def numbered(y: int, x: int, n: int) -> np.ndarray:
     return ((int(y) << 42) | (int(x) << 21)) + np.arange(n)
 
 
+def binned_median(sharps: Counter) -> float:
+    """The median of values counted by their rounded logarithms."""
+    left = (sum(sharps.values()) - 1) // 2
+    for k in sorted(sharps):
+        left -= sharps[k]
+        if left < 0:
+            return 2.0 ** (k / STEPS)
+    raise ValueError("there is no value")
+
+
 def drift(frames: DataFrame, shape: tuple[int, int], reference: str | int = "first", upsample: int = 8, most: float = 32.0, least: float = 0.0, region: tuple[int, int, int, int] | None = None, reject: bool = True) -> DataFrame:
     """(t, dy, dx, sharpness) of a movie (t, frame): each frame's displacement, measured in a region (y0, x0, height, width) if one is given.
 
@@ -90,8 +101,9 @@ def drift(frames: DataFrame, shape: tuple[int, int], reference: str | int = "fir
     are solved apart, and the sums run over one small row a frame. "running"
     compares with the mean of the frames aligned so far, and (with reject) keeps
     frames out of it whose sharpness is under a quarter of the median of those in
-    it; it is serial by nature and runs as one ordered group, so a movie of over
-    MOST_RUNNING pixels is an error. Steps under `least` count as none.
+    it (to half a percent); frames are moved back in Fourier space. It is serial by nature: the frames stream
+    in order through one task that holds one sum and a histogram, however long the movie. Steps under `least` count as none.
+    Rows without t or frame give none with it.
     """
     schema = "t int, dy double, dx double, sharpness double"
     quiet = lambda v: 0.0 if abs(v) < least else v
@@ -112,22 +124,23 @@ def drift(frames: DataFrame, shape: tuple[int, int], reference: str | int = "fir
         upto = Window.partitionBy(F.lit(0)).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return pairs.mapInPandas(steps, schema).select("t", F.sum("dy").over(upto).alias("dy"), F.sum("dx").over(upto).alias("dx"), "sharpness")
     if reference == "running":
-        if frames.count() * h * w > MOST_RUNNING:
-            raise ValueError("the movie is too long for a running reference; take sequential or a fixed one")
-
-        def serial(rows: pd.DataFrame) -> pd.DataFrame:
-            out, total, n, credible = [], None, 0, []
-            for t, f in rows.sort_values("t")[["t", "frame"]].itertuples(index=False):
-                a = seen(f)
-                dy, dx, s = kernels.shift_between(total / n, a, upsample, most) if n else (0.0, 0.0, np.inf)
-                if not reject or not credible or s >= CREDIBLE * np.median(credible):
-                    back = kernels.shifted(a, -dy, -dx, a.mean())
-                    total, n = (back if total is None else total + back), n + 1
-                    credible += [s] if np.isfinite(s) else []
-                out.append((t, quiet(dy), quiet(dx), s))
-            return pd.DataFrame(out, columns=["t", "dy", "dx", "sharpness"])
-
-        return frames.select("t", "frame", F.col("t").isNull().alias("g")).groupBy("g").applyInPandas(serial, schema)
+        fy, fx = np.fft.fftfreq(h)[:, None], np.fft.fftfreq(w)[None, :]
+
+        def serial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, n, sharps = np.zeros((h, w), complex), 0, Counter()
+            for rows in batches:
+                out = []
+                for t, f in rows.itertuples(index=False):
+                    a = seen(f)
+                    dy, dx, s = kernels.shift_between(np.fft.ifft2(total / n).real, a, upsample, most) if n else (0.0, 0.0, np.inf)
+                    if not reject or not sharps or s >= CREDIBLE * binned_median(sharps):
+                        total, n = total + np.fft.fft2(a) * np.exp(2j * np.pi * (fy * dy + fx * dx)), n + 1
+                        if np.isfinite(s) and s > 0:
+                            sharps[round(np.log2(s) * STEPS)] += 1
+                    out.append((t, quiet(dy), quiet(dx), s))
+                yield pd.DataFrame(out, columns=["t", "dy", "dx", "sharpness"])
+
+        return frames.where("t IS NOT NULL AND frame IS NOT NULL").select("t", "frame").repartition(1).sortWithinPartitions("t").mapInPandas(serial, schema)
     first = frames.agg(F.min("t")).first()[0] if reference == "first" else int(reference)
     row = frames.where(F.col("t") == first).select("frame").first()
     if row is None:

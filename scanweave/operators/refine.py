@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import halo
+
 
 def com_in_box(image: np.ndarray, points: np.ndarray, half: int, rounds: int = 2) -> np.ndarray:
     """Points (y, x) moved to the centre of mass of their box, its least value taken off, a few times."""
@@ -76,6 +78,104 @@ def refined_atoms(images: DataFrame, points: DataFrame, shape: tuple[int, int],
     return images.select("image", "frame").join(lists, "image").mapInPandas(run, "image int, id long, x double, y double, A double, sigma_x double, sigma_y double")
 
 
+def _bump(q: np.ndarray, yy: np.ndarray, xx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values (n, pixels) of Gaussians (rows of volume, x, y, sigma_x, sigma_y) and their derivatives (n, 5, pixels)."""
+    a, x, y, sx, sy = (q[:, [k]] for k in range(5))
+    dx, dy = xx - x, yy - y
+    unit = np.exp(-(dx * dx) / (2 * sx * sx) - dy * dy / (2 * sy * sy)) / (2 * np.pi * sx * sy)
+    v = a * unit
+    return v, np.stack([unit, v * dx / sx**2, v * dy / sy**2, v * (dx * dx / sx**3 - 1 / sx), v * (dy * dy / sy**3 - 1 / sy)], axis=1)
+
+
+def pairs_in_box(boxes: np.ndarray, start: np.ndarray, sigma: float, rounds: int = 80) -> np.ndarray:
+    """(rows of two Gaussians' volume, x, y, sigma_x, sigma_y): both atoms of each box (n, side, side) fitted together, so that each explains the other's tail; start is (n, 4), x and y of the one and the other from the box's corner. Pixels that aren't finite don't count."""
+    n, side = boxes.shape[:2]
+    yy, xx = (a.ravel().astype(float) for a in np.mgrid[:side, :side])
+    d = boxes.reshape(n, side * side)
+    seen = np.isfinite(d)
+    d = np.where(seen, d, 0.0)
+    size = np.maximum(np.where(seen, d, -np.inf).max(axis=1, initial=-np.inf) / 2, 1e-9) * 2 * np.pi * sigma * sigma
+    width = np.full(n, float(sigma))
+    q = np.column_stack([size, start[:, 0], start[:, 1], width, width, size, start[:, 2], start[:, 3], width, width])
+
+    def left(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, j1 = _bump(q[:, :5], yy, xx)
+        two, j2 = _bump(q[:, 5:], yy, xx)
+        return (d - one - two) * seen, np.concatenate([j1, j2], axis=1) * seen[:, None]
+
+    r, jac = left(q)
+    cost, damp = (r * r).sum(axis=1), np.full(n, 1e-2)
+    for _ in range(rounds):
+        a = jac @ jac.transpose(0, 2, 1)
+        a = a + np.eye(10) * (damp[:, None] * (np.einsum("ijj->ij", a) + 1e-12) + 1e-15)[:, :, None]
+        t = q + np.linalg.solve(a, jac @ r[:, :, None])[:, :, 0]
+        t[:, [3, 4, 8, 9]] = np.clip(np.abs(t[:, [3, 4, 8, 9]]), 0.3, side)
+        new_r, new_jac = left(t)
+        new = (new_r * new_r).sum(axis=1)
+        better = new < cost
+        gain = np.where(better, cost - new, 0.0)
+        q[better], r[better], jac[better], cost[better] = t[better], new_r[better], new_jac[better], new[better]
+        damp = np.clip(np.where(better, damp * 0.3, damp * 5), 1e-9, 1e9)
+        if (gain <= 1e-12 * cost).all() and (damp > 1e3).all():
+            break
+    return q
+
+
+def refined_pairs(pixels: DataFrame, atoms: DataFrame, pairs: DataFrame, shape: tuple[int, int], sigma: float = 2.5, margin: float = 3.0, tile: int = 64, batch: int = 256) -> DataFrame:
+    """(image, a, b, ax, ay, bx, by, a_A, a_sigma_x, a_sigma_y, b_A, b_sigma_x, b_sigma_y, separation, fitted) of pairs (image, a, b) of atoms (image, id, y, x).
+
+    Both atoms are fitted in one box as two Gaussians: apart, each would be drawn to the other.
+    The box holds half the median separation of all pairs (to a hundredth of a pixel) and
+    margin sigmas on each side of a pair's middle, and is moved inside the image.
+    pixels (image, y, x, value) come in tiles with a halo of half a box, so no
+    image is in one task, and any tile gives the same result. Pixels that are null
+    or absent don't count. An atom that would leave the box stays where it was;
+    fitted tells whether neither did. A pair without a pixel, or with fewer than ten, isn't fitted, and one whose
+    atoms aren't both given, or lack a coordinate, gives no row.
+    """
+    end = lambda n: atoms.where("x IS NOT NULL AND y IS NOT NULL").select("image", F.col("id").alias(n), F.col("x").cast("double").alias(f"{n}x"), F.col("y").cast("double").alias(f"{n}y"))
+    both = pairs.select("image", "a", "b").join(end("a"), ["image", "a"]).join(end("b"), ["image", "b"])
+    # distances in hundredths have few distinct values, so that an exact median is cheap
+    apart = both.agg(F.percentile(F.round(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")), 2), F.lit(0.5))).first()[0] or 0.0
+    half = int(round(apart / 2 + margin * sigma))
+    if 2 * half + 1 > min(shape):
+        raise ValueError(f"a box of {2 * half + 1} pixels doesn't fit into the image")
+    inside = lambda m, n: F.least(F.greatest(F.rint(m).cast("int"), F.lit(half)), F.lit(n - half - 1))
+    placed = both.withColumn("cy", inside((F.col("ay") + F.col("by")) / 2, shape[0])).withColumn("cx", inside((F.col("ax") + F.col("bx")) / 2, shape[1]))
+    placed = placed.withColumn("ty", F.floor(F.col("cy") / tile).cast("int")).withColumn("tx", F.floor(F.col("cx") / tile).cast("int"))
+    names = ["a_A", "a_sigma_x", "a_sigma_y", "b_A", "b_sigma_x", "b_sigma_y"]
+    schema = "image int, a long, b long, ax double, ay double, bx double, by double, " + ", ".join(f"{n} double" for n in names) + ", separation double, fitted boolean"
+
+    def fit(key: tuple, seen: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        top, left, side = int(key[1]) * tile - half, int(key[2]) * tile - half, tile + 2 * half
+        whole = np.full((side, side), np.nan)
+        whole[seen["y"].to_numpy() - top, seen["x"].to_numpy() - left] = seen["value"].to_numpy(dtype=float, na_value=np.nan)
+        rows = rows.sort_values(["a", "b"])
+        corner = rows[["cx", "cy"]].to_numpy() - half
+        at = rows[["ax", "ay", "bx", "by"]].to_numpy(dtype=float)
+        q = np.full((len(rows), 10), np.nan)
+        step = np.arange(2 * half + 1)
+        for i in range(0, len(rows), batch):
+            c = corner[i : i + batch]
+            boxes = whole[(c[:, 1] - top)[:, None, None] + step[:, None], (c[:, 0] - left)[:, None, None] + step]
+            enough = np.isfinite(boxes).sum(axis=(1, 2)) >= 10
+            q[i : i + batch][enough] = pairs_in_box(boxes[enough], (at[i : i + batch] - np.tile(c, 2))[enough], sigma)
+        new = q[:, [1, 2, 6, 7]] + np.tile(corner, 2)
+        near = np.isfinite(new) & (np.abs(new - at) <= half)
+        stays = near.reshape(-1, 2, 2).all(axis=2)
+        new = np.where(np.repeat(stays, 2, axis=1), new, at)
+        out = pd.DataFrame({"image": rows["image"].to_numpy(), "a": rows["a"].to_numpy(), "b": rows["b"].to_numpy(), "ax": new[:, 0], "ay": new[:, 1], "bx": new[:, 2], "by": new[:, 3]})
+        for n, k in zip(names, (0, 3, 4, 5, 8, 9), strict=True):
+            out[n] = q[:, k]
+        return out.assign(separation=np.hypot(new[:, 2] - new[:, 0], new[:, 3] - new[:, 1]), fitted=stays.all(axis=1))
+
+    tiles = halo.tiled(pixels.where("value IS NOT NULL").select("image", "y", "x", F.col("value").cast("double").alias("value")), half, tile)
+    keys = ["image", "ty", "tx"]
+    return tiles.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(fit, schema)
+
+
 def nearest_opposites(points: np.ndarray, centre: np.ndarray, most: float, rows: int = 512) -> np.ndarray:
     """(pairs of places): points that are each other's nearest opposite about a centre, at most `most` apart from it. Distances are taken a block of rows at a time; the first of equals counts."""
     near, dist = np.zeros(len(points), int), np.zeros(len(points))
