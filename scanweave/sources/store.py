@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..axes import Axis
 from ..operators.ragged import FORMAT_VERSION, upgraded
+from .ranges import MRC_MODES, frame_ranges
 
 #: Readable and writable kinds by ending; the rest of the formats of the field need libraries that aren't here.
 READERS = {".parquet": "parquet", ".orc": "orc", ".csv": "csv", ".json": "json", ".raw": "raw", ".rpl": "raw", ".npy": "npy", ".mrc": "mrc"}
@@ -57,14 +58,14 @@ def open_file(spark: SparkSession, path: str, **options) -> DataFrame:
     if ending not in READERS:
         raise ValueError(f"can't read {ending or 'a path without ending'}; known: {', '.join(READERS)}")
     if READERS[ending] == "raw":
-        return raw_frames(spark, path, **options)
+        return frame_ranges(spark, path, **options).select("path", "i", "frame")
     if READERS[ending] in STACKS:
-        return stack_frames(spark, path, READERS[ending])
+        return frame_ranges(spark, path, kind=READERS[ending])
     return spark.read.options(**({"header": "true", "inferSchema": "true"} if ending == ".csv" else {}) | options).format(READERS[ending]).load(path)
 
 
 def raw_frames(spark: SparkSession, path: str, height: int, width: int, dtype: str = "<u2", header: int = 0) -> DataFrame:
-    """(path, i, frame) of headerless binary stacks: each file is decoded by the task that reads it, a frame a row. Split stacks into files of bounded size."""
+    """(path, i, frame) of headerless binary stacks: each file is decoded by the task that reads it, a frame a row; for globs and short files, others are read by `ranges.frame_ranges`."""
     size = height * width * np.dtype(dtype).itemsize
 
     def decode(batches):
@@ -83,10 +84,6 @@ def _npy(data: bytes) -> np.ndarray:
     return np.load(io.BytesIO(data), allow_pickle=False)
 
 
-#: Pixel types by the mode of an MRC header.
-MRC_MODES = {0: "i1", 1: "i2", 2: "f4", 6: "u2"}
-
-
 def _mrc(data: bytes) -> np.ndarray:
     """A stack of an MRC file: sizes and mode in the first four words, the length of an extended header in word 24, pixels after both."""
     nx, ny, nz, mode = np.frombuffer(data, "<i4", 4)
