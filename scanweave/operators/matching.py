@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil, log2
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,31 +101,65 @@ def k_nearest(points: DataFrame, k: int, cell: float, keys: tuple[str, ...] = ()
     other = (points if among is None else among).select(*keys, F.col("id").alias("n_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), at("x").alias("cx"), at("y").alias("cy"))
     own = points.select(*keys, "id", "x", "y", F.explode(_around()).alias("s")).select(*keys, "id", "x", "y", (at("x") + F.col("s.a")).alias("cx"), (at("y") + F.col("s.b")).alias("cy"))
     d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
-    pairs = own.join(other, [*keys, "cx", "cy"]).where(F.col("id") != F.col("n_id")).withColumn("distance", d).where(F.col("distance") <= cell)
+    pairs = own.join(other.hint("merge"), [*keys, "cx", "cy"]).where(F.col("id") != F.col("n_id")).withColumn("distance", d).where(F.col("distance") <= cell)
     rank = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("distance", "n_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(*keys, "id", "rank", "n_id", "distance", "nx", "ny")
 
 
+def fitting_width(points: DataFrame, cell: float, most: float) -> float:
+    """The cell's width, halved until points (x, y) share their cell with no more than `most` on average, themselves counted: then a join of cells grows with the points, not with their square."""
+    at = lambda c, w: F.floor(F.col(c) / w).cast("long")
+    while True:
+        cells = points.groupBy(at("x", cell).alias("cx"), at("y", cell).alias("cy")).agg(F.count("*").cast("double").alias("n"), F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("far"))
+        n, far = cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n"), F.max("far")).first()
+        # cells narrower than what floating-point numbers tell apart part nothing more
+        if n is None or n <= most or cell <= far * 2.0**-50:
+            return cell
+        cell /= 2.0 ** max(1, ceil(log2(n / most) / 2))
+
+
+def _nearest_lists(places: DataFrame, among: DataFrame, want: int, cell: float) -> DataFrame:
+    """(x, y, near): for places (x, y) the first `want` points among (id, x, y) by distance and id; places with fewer within the cell's width are left out."""
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+    other = among.select(F.col("id").alias("n_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), at("x").alias("cx"), at("y").alias("cy"))
+    own = places.select("x", "y", F.explode(_around()).alias("s")).select("x", "y", (at("x") + F.col("s.a")).alias("cx"), (at("y") + F.col("s.b")).alias("cy"))
+    pairs = own.join(other.hint("merge"), ["cx", "cy"]).withColumn("distance", F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))).where(F.col("distance") <= cell)
+    rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("distance", "n_id"))
+    first = pairs.withColumn("rank", rank).where(F.col("rank") <= want)
+    return first.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("distance", "n_id", "nx", "ny"))).alias("near")).where(F.size("near") >= want)
+
+
 def k_nearest_all(points: DataFrame, k: int, cell: float) -> DataFrame:
     """k_nearest of every point: those that found fewer than k search again with twice the width, until all have k or all others.
 
-    Only points that still search are joined, and each round's result is written
-    to the checkpoint folder. Points without finite coordinates take no part.
+    Equal points search once, and the k + 1 smallest ids of a place stand for all
+    of it, since no list can hold more of them besides the searching point. The
+    first width is the cell's, or less where points lie so dense that a cell would
+    hold many. Later rounds join only places that still search, and few of those
+    can lie near each other; so the work grows with the points. Each round's result is written
+    to the checkpoint folder. Joins are merges: a table of keys is so small on disk
+    that Catalyst would send it to every executor through the driver. Points
+    without an id or finite coordinates take no part.
     """
     working_dir(points.sparkSession)
-    finite = points.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).select("id", "x", "y")
-    want = min(k, finite.count() - 1)
-    if want < 1:
+    finite = points.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")) & F.col("id").isNotNull()).select("id", "x", "y")
+    place = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
+    among = finite.withColumn("place", place).where(F.col("place") <= k + 1).checkpoint()
+    want = min(k + 1, among.count())
+    if want < 2:
         return k_nearest(finite.where("false"), k, cell)
-    out, todo = None, finite
+    cell = fitting_width(among, cell, 4 * (k + 1))
+    todo, lists = among.where("place = 1").select("x", "y"), []
     while True:
-        got = k_nearest(todo, k, cell, among=finite)
-        got = got.withColumn("__n", F.count("*").over(Window.partitionBy("id"))).where(F.col("__n") >= want).drop("__n").checkpoint()
-        out = got if out is None else out.unionByName(got)
-        todo = todo.join(got.select("id").distinct(), "id", "left_anti").checkpoint()
+        got = _nearest_lists(todo, among, want, cell).checkpoint()
+        lists.append(got)
+        todo = todo.join(got.select("x", "y").hint("merge"), ["x", "y"], "left_anti").checkpoint()
         if todo.isEmpty():
-            return out
+            break
         cell *= 2
+    own = finite.join(reduce(DataFrame.union, lists).hint("merge"), ["x", "y"])
+    near = F.slice(F.filter("near", lambda n: n["n_id"] != F.col("id")), 1, k)
+    return own.select("id", F.posexplode(near).alias("rank", "n")).select("id", (F.col("rank") + 1).alias("rank"), "n.n_id", "n.distance", "n.nx", "n.ny")
 
 
 def greedy_one_to_one(candidates: DataFrame, keys: list[str]) -> DataFrame:
