@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import pi
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import greedy_one_to_one, k_nearest_all
+from ..sources.store import working_dir
+from .matching import fitting_width, greedy_one_to_one, k_nearest_all
 
 
 def shape_properties(atoms: DataFrame) -> DataFrame:
@@ -25,37 +27,58 @@ def neighbour_distance(atoms: DataFrame, k: int, cell: float) -> DataFrame:
 def displacement(atoms: DataFrame, k: int, cell: float) -> DataFrame:
     """(id, dx, dy): an atom's offset from the centroid of its k nearest."""
     near = k_nearest_all(atoms.select("id", "x", "y"), k, cell).groupBy("id").agg(F.avg("nx").alias("mx"), F.avg("ny").alias("my"))
-    return atoms.select("id", "x", "y").join(near, "id").select("id", (F.col("x") - F.col("mx")).alias("dx"), (F.col("y") - F.col("my")).alias("dy"))
+    return atoms.select("id", "x", "y").join(near.hint("merge"), "id").select("id", (F.col("x") - F.col("mx")).alias("dx"), (F.col("y") - F.col("my")).alias("dy"))
 
 
 def dumbbell_vector(atoms: DataFrame, cell: float, most: float | None = None) -> DataFrame:
     """(vx, vy): the median step to the nearest neighbour, folded into one half-plane."""
     near = k_nearest_all(atoms.select("id", "x", "y"), 1, cell)
-    d = atoms.select("id", "x", "y").join(near, "id").select((F.col("nx") - F.col("x")).alias("dx"), (F.col("ny") - F.col("y")).alias("dy"), "distance")
+    d = atoms.select("id", "x", "y").join(near.hint("merge"), "id").select((F.col("nx") - F.col("x")).alias("dx"), (F.col("ny") - F.col("y")).alias("dy"), "distance")
     if most is not None:
         d = d.where(F.col("distance") <= most)
     turn = F.when((F.col("dx") < 0) | ((F.col("dx") == 0) & (F.col("dy") < 0)), -1).otherwise(1)
     return d.agg(F.percentile(F.col("dx") * turn, F.lit(0.5)).alias("vx"), F.percentile(F.col("dy") * turn, F.lit(0.5)).alias("vy"))
 
 
+def _steps_apart(a: DataFrame, b: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """(keys..., a, b, distance): pairs of a (keys..., a, ex, ey) and b (keys..., b, x, y) within reach."""
+    cell = lambda c: F.floor(c / reach).cast("long")
+    steps = F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    own = a.withColumn("s", F.explode(steps)).select(*a.columns, (cell(F.col("ex")) + F.col("s.a")).alias("cx"), (cell(F.col("ey")) + F.col("s.b")).alias("cy"))
+    other = b.select(*b.columns, cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"))
+    d = F.hypot(F.col("x") - F.col("ex"), F.col("y") - F.col("ey"))
+    return own.join(other.hint("merge"), [*keys, "cx", "cy"]).where(F.col("a") != F.col("b")).select(*keys, "a", "b", d.alias("distance")).where(F.col("distance") <= reach)
+
+
 def dumbbell_pairs(atoms: DataFrame, vx: float, vy: float, tolerance: float) -> DataFrame:
     """(a, b, distance): atoms one vector apart within tolerance times its length, one to one, best first.
 
-    Candidates come from a cell join, and are matched in rounds of local
-    dominance; without a column `image` all atoms are of one image.
+    Pairs exactly one vector apart come first: atoms of a place are paired with those of
+    its opposite in order of their ids, which needs no list of candidates. The rest
+    are candidates of a cell join, and are matched in rounds of local
+    dominance; where atoms lie dense, within a small reach first, which is doubled for those that are left.
+    Without a column `image` all atoms are of one image.
     """
-    reach = tolerance * (vx * vx + vy * vy) ** 0.5
-    cell = lambda c: F.floor(c / reach).cast("long")
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    keys = ["image"] if "image" in atoms.columns else []
-    a = atoms.select(*keys, F.col("id").alias("a"), (F.col("x") + vx).alias("ex"), (F.col("y") + vy).alias("ey"), F.explode(steps).alias("s"))
-    a = a.select(*keys, "a", "ex", "ey", (cell(F.col("ex")) + F.col("s.a")).alias("cx"), (cell(F.col("ey")) + F.col("s.b")).alias("cy"))
-    b = atoms.select(*keys, F.col("id").alias("b"), "x", "y", cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"))
-    d = F.hypot(F.col("x") - F.col("ex"), F.col("y") - F.col("ey"))
-    cand = a.join(b, [*keys, "cx", "cy"]).where(F.col("a") != F.col("b")).select(*keys, "a", "b", d.alias("distance")).where(F.col("distance") <= reach)
-    if keys:
-        return greedy_one_to_one(cand, keys)
-    return greedy_one_to_one(cand.withColumn("image", F.lit(0)), ["image"]).drop("image")
+    working_dir(atoms.sparkSession)
+    most = tolerance * (vx * vx + vy * vy) ** 0.5
+    if "image" not in atoms.columns:
+        return dumbbell_pairs(atoms.withColumn("image", F.lit(0)), vx, vy, tolerance).drop("image")
+    a = atoms.select("image", F.col("id").alias("a"), (F.col("x") + vx).alias("ex"), (F.col("y") + vy).alias("ey")).where("a IS NOT NULL")
+    b = atoms.select("image", F.col("id").alias("b"), "x", "y").where("b IS NOT NULL")
+    taken = []
+    if vx or vy:
+        turn = lambda *c: F.row_number().over(Window.partitionBy("image", *c[:2]).orderBy(c[2])).alias("turn")
+        same = ["image", "ex", "ey", "turn"]
+        taken.append(a.select("*", turn("ex", "ey", "a")).join(b.select("image", "b", F.col("x").alias("ex"), F.col("y").alias("ey"), turn("x", "y", "b")).hint("merge"), same).select("image", "a", "b", F.lit(0.0).alias("distance")).checkpoint())
+    reach = None
+    while True:
+        if taken:
+            a = a.join(taken[-1].select("image", "a").hint("merge"), ["image", "a"], "left_anti").checkpoint()
+            b = b.join(taken[-1].select("image", "b").hint("merge"), ["image", "b"], "left_anti").checkpoint()
+        reach = min(most, 2 * reach if reach else fitting_width(b.select("image", "x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct(), most, 16))
+        taken.append(greedy_one_to_one(_steps_apart(a, b, ["image"], reach).checkpoint(), ["image"]))
+        if reach >= most:
+            return reduce(DataFrame.union, taken)
 
 
 def unpaired(atoms: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -23,14 +23,15 @@ from ..sources.store import working_dir
 def _without(left: DataFrame, out: DataFrame, names: list[str]) -> DataFrame:
     """Rows of left whose names are in no row of out, null being equal to null."""
     gone = out.select(*[F.col(n).alias(f"__{n}") for n in names]).distinct()
-    return left.join(gone, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names]), "left_anti")
+    return left.join(gone.hint("merge"), reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names]), "left_anti")
 
 
 def best_pairs(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates (keys..., a, b, distance) of each group matched one to one, best distance first; ties to the smaller a, then b. Of repeated candidates one is taken; an empty table gives an empty result.
 
     A pair settles if it is the best of both its ends: two aggregations a round,
-    combined in each task before they are shuffled.
+    combined in each task before they are shuffled. Nothing is broadcast: keys are so
+    small in a shuffle that a great many would pass through the driver.
     """
     working_dir(candidates.sparkSession)
     rest = [c for c in candidates.columns if c not in (*keys, "a", "b", "distance")]
@@ -40,7 +41,7 @@ def best_pairs(candidates: DataFrame, keys: list[str]) -> DataFrame:
         one = best("a", "b").select(*keys, "a", "m.*")
         two = best("b", "a").select(*[F.col(k).alias(f"__{k}") for k in [*keys, "b"]], F.col("m.a").alias("__a"))
         both = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in [*keys, "a", "b"]])
-        pairs = one.join(two, both, "left_semi").select(*candidates.columns).checkpoint()
+        pairs = one.join(two.hint("merge"), both, "left_semi").select(*candidates.columns).checkpoint()
         if pairs.isEmpty():
             return reduce(DataFrame.union, taken, pairs)
         taken.append(pairs)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scanweave.operators import matching
+from scanweave.operators import atoms, matching
 
 
 @pytest.fixture
@@ -49,3 +49,19 @@ def test_k_nearest_narrows_crowded_cells(spark):
     # copies can't be parted
     assert matching.fitting_width(df.select(F.lit(1e6).alias("x"), F.lit(0.0).alias("y")), 16.0, 20) < 1e-8
     assert matching.fitting_width(df.where("false"), 16.0, 20) == 16.0
+
+
+@pytest.mark.parametrize("vx, vy, tolerance", [(-3.0, 2.0, 0.4), (0.4, 0.3, 4.0), (40.0, 0.0, 1.0)])
+def test_dumbbell_pairs_of_copies_without_a_broadcast(spark, tmp_path, plans, vx, vy, tolerance):
+    rows, df = crowded(spark, tmp_path)
+    reach, at = tolerance * (vx * vx + vy * vy) ** 0.5, {i: (x, y) for i, x, y in rows}
+    near = sorted((float(np.hypot(at[b][0] - (at[a][0] + vx), at[b][1] - (at[a][1] + vy))), a, b) for a in at for b in at if a != b)
+    firsts, seconds, want = set(), set(), set()
+    for dist, a, b in near:
+        if dist <= reach and a not in firsts and b not in seconds:
+            firsts.add(a)
+            seconds.add(b)
+            want.add((a, b, round(dist, 9)))
+    out = atoms.dumbbell_pairs(df, vx, vy, tolerance)
+    assert {(r.a, r.b, round(r.distance, 9)) for r in out.collect()} == want
+    assert not [p for p in plans if "Broadcast" in p]
