@@ -81,9 +81,11 @@ def aligned(member: DataFrame, offset: tuple[int, int], region: tuple[int, int,
 
 
 def sum_members(members: list[DataFrame], keys: list[str], value: str = "value") -> DataFrame:
-    """The aligned members' elementwise sum, in a type that can't overflow."""
+    """The aligned members' elementwise sum, in a type that can't overflow. A position that a member lacks, as in a scan's last row filled in part, has none."""
     kind = "long" if dict(members[0].dtypes)[value] in ("int", "smallint", "tinyint", "bigint") else "double"
-    return reduce(DataFrame.unionByName, members).groupBy(*keys).agg(F.sum(F.col(value).cast(kind)).alias(value))
+    rows = reduce(DataFrame.unionByName, [m.withColumn("__member", F.lit(i)) for i, m in enumerate(members)])
+    sums = rows.groupBy(*keys).agg(F.sum(F.col(value).cast(kind)).alias(value), F.size(F.collect_set("__member")).alias("__n"))
+    return sums.where(F.col("__n") == len(members)).drop("__n")
 
 
 def to_long(frames: DataFrame, width: int, frame: str = "frame") -> DataFrame:

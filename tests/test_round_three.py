@@ -65,3 +65,15 @@ def test_dumbbell_pairs_of_copies_without_a_broadcast(spark, tmp_path, plans, vx
     out = atoms.dumbbell_pairs(df, vx, vy, tolerance)
     assert {(r.a, r.b, round(r.distance, 9)) for r in out.collect()} == want
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_members_are_summed_where_all_are(spark, tmp_path):
+    from scanweave.plans import core_queries
+
+    # 4 rows of 25 positions, the last one filled in part
+    rows = [(i, [float(i)] * 64) for i in range(85)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    at = {divmod(i, 25): 64.0 * i for i, _ in rows}
+    want = {(y, x - 2): v + at[y + 2, x - 2] for (y, x), v in at.items() if x >= 2 and (y + 2, x - 2) in at}
+    got = {(r.y, r.x): r.value for r in core_queries.sum_aligned_members(spark, str(tmp_path)).collect()}
+    assert got == want and (1, 5) in got and (1, 15) not in got
