@@ -33,12 +33,15 @@ def scene(spark, sf_dir, side: int):
     """(y, x, v): a texture of mean 0 and deviation 1, line items counted by pixels that their keys' hashes give, and smoothed; of bounded size, whatever the table's."""
     hit = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(side * side))
     counts = d.read(spark, sf_dir, "lineitem").groupBy(hit.alias("p")).agg(F.sum("l_quantity").cast("double").alias("n"))
+    grid = spark.range(side * side).select(F.floor(F.col("id") / side).cast("int").alias("y"), (F.col("id") % side).cast("int").alias("x"), F.col("id").alias("p"))
+    there = grid.join(counts, "p", "left").select("y", "x", F.coalesce("n", F.lit(0.0)).alias("n"))
+    # counts less their mean: else the pixels at the border, which sum fewer, would stand out the more the more line items there are
+    level = there.crossJoin(F.broadcast(there.agg(F.avg("n").alias("m")))).select("y", "x", (F.col("n") - F.col("m")).alias("n"))
     bell = {-2: 0.1353, -1: 0.6065, 0: 1.0, 1: 0.6065, 2: 0.1353}
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(v * w).alias("w")) for a, v in bell.items() for b, w in bell.items()])
-    near = counts.select(F.floor(F.col("p") / side).cast("int").alias("y"), (F.col("p") % side).cast("int").alias("x"), "n", F.explode(steps).alias("s"))
+    near = level.select("y", "x", "n", F.explode(steps).alias("s"))
     smooth = near.groupBy((F.col("y") + F.col("s.a")).alias("y"), (F.col("x") + F.col("s.b")).alias("x")).agg(F.sum(F.col("n") * F.col("s.w")).alias("v"))
-    grid = spark.range(side * side).select(F.floor(F.col("id") / side).cast("int").alias("y"), (F.col("id") % side).cast("int").alias("x"))
-    full = grid.join(smooth, ["y", "x"], "left").select("y", "x", F.coalesce("v", F.lit(0.0)).alias("v"))
+    full = smooth.where(F.col("y").between(0, side - 1) & F.col("x").between(0, side - 1))
     one = full.agg(F.avg("v").alias("m"), F.stddev("v").alias("s"))
     return full.crossJoin(F.broadcast(one)).select("y", "x", ((F.col("v") - F.col("m")) / F.col("s")).alias("v"))
 

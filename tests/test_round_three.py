@@ -77,3 +77,11 @@ def test_members_are_summed_where_all_are(spark, tmp_path):
     want = {(y, x - 2): v + at[y + 2, x - 2] for (y, x), v in at.items() if x >= 2 and (y + 2, x - 2) in at}
     got = {(r.y, r.x): r.value for r in core_queries.sum_aligned_members(spark, str(tmp_path)).collect()}
     assert got == want and (1, 5) in got and (1, 15) not in got
+
+
+def test_the_scene_keeps_its_texture_with_many_line_items(spark, tmp_path):
+    from scanweave.plans import image_queries
+
+    spark.range(1_500_000).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (1.0 + F.col("id") % 50).alias("l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    inside = image_queries.scene(spark, str(tmp_path), 40).where("y BETWEEN 4 AND 35 AND x BETWEEN 4 AND 35")
+    assert 0.8 < inside.agg(F.stddev("v")).first()[0] < 1.2
