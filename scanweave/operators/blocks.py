@@ -42,6 +42,7 @@ def compared(held: DataFrame, passing: DataFrame, key: str, value: str, block: i
         others = rest()
         first = next(others, None)
         block_rows = pd.concat(own) if own else None
+        own.clear()
         if first is not None and block_rows is not None and len(block_rows):
 
             def streamed() -> Iterator[pd.DataFrame]:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .blocks import compared
 from .grid import EIGHT, neighbours
 
+#: Scores that a task of the exhaustive search holds at a time, and values of a tile of templates.
+SCORES, TILE_VALUES = 1 << 20, 1 << 21
+
+
 def euler_matrix(phi1: Column, big_phi: Column, phi2: Column) -> list[list[Column]]:
     """Bunge z-x-z, sample to crystal."""
     c1, s1, c, s, c2, s2 = F.cos(phi1), F.sin(phi1), F.cos(big_phi), F.sin(big_phi), F.cos(phi2), F.sin(phi2)
@@ -73,17 +77,22 @@ def dictionary_index(patterns: DataFrame, dictionary: DataFrame, k: int, tile: i
 
     Patterns and templates meet in a grid of blocks: a task keeps a tile of
     templates as one matrix, multiplies it with the patterns that stream past and
-    passes on k rows for each; the tiles' lists are merged by a ranking.
+    passes on k rows for each; the tiles' lists are merged by a ranking. A tile
+    holds fewer templates if they are long, and as many patterns are scored at a time as
+    fill SCORES scores, so a task's memory depends on neither table's size.
     """
+    longest = dictionary.agg(F.max(F.size("pattern"))).first()[0] or 1
+    tile = max(1, min(tile, TILE_VALUES // max(1, longest)))
 
     def run(templates: pd.DataFrame, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, t = templates["id"].to_numpy(), normalised(np.array(templates["pattern"].tolist(), float))
-        order = np.argsort(names, kind="stable")
-        names, t = names[order], t[order].T
+        templates = templates.sort_values("id", kind="stable")
+        names, t = templates["id"].to_numpy(), normalised(np.stack(templates["pattern"].to_numpy()).astype(float)).T
+        step = max(1, SCORES // len(names))
+        del templates
         for b in batches:
-            for at in range(0, len(b), 1024):
-                rows = b.iloc[at : at + 1024]
-                s = np.round(normalised(np.array(rows["pattern"].tolist(), float)) @ t, 12)
+            for at in range(0, len(b), step):
+                rows = b.iloc[at : at + step]
+                s = np.round(normalised(np.stack(rows["pattern"].to_numpy()).astype(float)) @ t, 12)
                 if k < s.shape[1]:  # partition selection; among equals of the last place the smaller templates stay
                     least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
                     free = k - (s > least).sum(axis=1, keepdims=True)

@@ -85,3 +85,29 @@ def test_the_scene_keeps_its_texture_with_many_line_items(spark, tmp_path):
     spark.range(1_500_000).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (1.0 + F.col("id") % 50).alias("l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
     inside = image_queries.scene(spark, str(tmp_path), 40).where("y BETWEEN 4 AND 35 AND x BETWEEN 4 AND 35")
     assert 0.8 < inside.agg(F.stddev("v")).first()[0] < 1.2
+
+
+def search_peak(spark, monkeypatch, orientation):
+    """Peak MB of one full cell of the exhaustive search."""
+    import tracemalloc
+
+    import pandas as pd
+
+    held = {}
+    monkeypatch.setattr(orientation, "compared", lambda *a: held.update(run=a[5], tile=a[4]) or spark.createDataFrame([], "id long, template long, score double"))
+    rng = np.random.default_rng(1)
+    orientation.dictionary_index(*[spark.createDataFrame([(0, [0.0, 1.0])], "id long, pattern array<double>")] * 2, 3)
+    frame = lambda n: pd.DataFrame({"id": np.arange(n), "pattern": list(rng.normal(size=(n, 16)))})
+    templates, batch = frame(16_384), frame(2048)
+    tracemalloc.start()
+    rows = sum(len(x) for x in held["run"](templates, iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert rows == 3 * 2048
+    return peak
+
+
+def test_a_cell_of_the_exhaustive_search_is_bounded(spark, monkeypatch):
+    from scanweave.operators import orientation
+
+    assert search_peak(spark, monkeypatch, orientation) < 150
