@@ -18,6 +18,17 @@ def plain(v):
     return v.item() if hasattr(v, "item") else v
 
 
+def _latest(rows: DataFrame, keys: tuple[str, ...], order: str, value: str, ready_after: int) -> DataFrame:
+    """The updates of keys that never expire. A value or an order that is not a number counts as null."""
+
+    def known(c: str):
+        return F.when(~F.isnan(c), F.col(c)) if dict(rows.dtypes)[c] in ("float", "double") else F.col(c)
+
+    cut = rows.select(*keys, known(order).alias("__o"), known(value).alias("__v")).where("__o IS NOT NULL")
+    got = cut.groupBy(*keys).agg(F.max(F.struct("__o", "__v")).alias("__top"), F.count("*").alias("n"))
+    return got.select(*keys, F.col("__top.__o").alias(order), F.col("__top.__v").alias(value), "n", (F.col("n") >= ready_after).alias("ready"), F.lit(False).alias("expired"))
+
+
 def live_latest(rows: DataFrame, keys: tuple[str, ...], order: str, value: str, ready_after: int = 1, expire_seconds: float | None = None, late_seconds: float = 0.0, time: str = "ts") -> DataFrame:
     """A stream of updates (keys..., order, value, n, ready, expired): a key's newest row so far, in output mode update.
 
@@ -26,15 +37,18 @@ def live_latest(rows: DataFrame, keys: tuple[str, ...], order: str, value: str,
     ready from its ready_after-th row on (rows without an order aren't counted). With
     expire_seconds a key without a row for so long, by the rows' time and late_seconds
     of patience, gives one update with expired and is forgotten: it begins anew with its next row; rows that are later than that
-    patience are dropped by Spark. State is a row a key.
+    patience are dropped by Spark. State is a row a key. Without expiry it is that of Spark's
+    own aggregates, so no key costs a call of Python.
     """
     if not rows.isStreaming:
         raise ValueError("a preview follows a stream; use events.latest for a table")
     types = dict(rows.dtypes)
+    if expire_seconds is None:
+        return _latest(rows, keys, order, value, ready_after)
     state_schema = f"o {types[order]}, v {types[value]}, n long, seen timestamp"
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", `{order}` {types[order]}, `{value}` {types[value]}, n long, ready boolean, expired boolean"
     names = [*keys, order, value, "n", "ready", "expired"]
-    span = None if expire_seconds is None else pd.Timedelta(seconds=expire_seconds)
+    span = pd.Timedelta(seconds=expire_seconds)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         o, v, n, seen = state.get if state.exists else (None, None, 0, None)
@@ -53,22 +67,19 @@ def live_latest(rows: DataFrame, keys: tuple[str, ...], order: str, value: str,
             lo, lv = plain(top), plain(best.max()) if len(best) else None
             if o is None or lo > o or (lo == o and lv is not None and (v is None or lv > v)):
                 o, v = lo, lv
-            if span is not None and b[time].notna().any():
+            if b[time].notna().any():
                 seen = b[time].max() if seen is None or pd.isna(seen) else max(pd.Timestamp(seen), b[time].max())
         if not n:
             return
         state.update((o, v, n, None if seen is None else pd.Timestamp(seen).to_pydatetime()))
-        if span is not None and seen is not None:
+        if seen is not None:
             # a time in the past can't be set: a key whose time has come expires with the next batch
             due = int((pd.Timestamp(seen) + span).timestamp() * 1000)
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(*key, o, v, n, n >= ready_after, False)], columns=names)
 
-    cut = rows.select(*keys, order, value, *([time] if span is not None else []))
-    if span is not None:
-        cut = cut.withWatermark(time, microseconds(late_seconds))
-    timeout = GroupStateTimeout.EventTimeTimeout if span is not None else GroupStateTimeout.NoTimeout
-    return cut.groupBy(*keys).applyInPandasWithState(step, schema, state_schema, "update", timeout)
+    cut = rows.select(*keys, order, value, time).withWatermark(time, microseconds(late_seconds))
+    return cut.groupBy(*keys).applyInPandasWithState(step, schema, state_schema, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def keep_updates(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -111,3 +111,16 @@ def test_a_cell_of_the_exhaustive_search_is_bounded(spark, monkeypatch):
     from scanweave.operators import orientation
 
     assert search_peak(spark, monkeypatch, orientation) < 150
+
+
+def test_previews_without_expiry_call_no_python(spark, tmp_path):
+    from scanweave.streaming import preview
+
+    rows = spark.range(4).select(F.col("id").alias("k"), F.col("id").alias("o"), F.when(F.col("id") == 1, float("nan")).otherwise(F.col("id").cast("double")).alias("v"), F.current_timestamp().alias("ts"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/rows")
+    live = preview.live_latest(stream, ("k",), "o", "v")
+    assert "PandasWithState" not in live._jdf.queryExecution().analyzed().toString()
+    preview.keep_updates(live, f"{tmp_path}/updates", f"{tmp_path}/checkpoint").awaitTermination()
+    # what is no number is null, as it was
+    assert {(r.k, r.v) for r in preview.preview(spark, f"{tmp_path}/updates", ("k",)).collect()} == {(0, 0.0), (1, None), (2, 2.0), (3, 3.0)}
