@@ -121,7 +121,7 @@ def pairs_in_box(boxes: np.ndarray, start: np.ndarray, sigma: float, rounds: int
     return q
 
 
-def refined_pairs(pixels: DataFrame, atoms: DataFrame, pairs: DataFrame, shape: tuple[int, int], sigma: float = 2.5, margin: float = 3.0, tile: int = 64, batch: int = 256) -> DataFrame:
+def refined_pairs(pixels: DataFrame, atoms: DataFrame, pairs: DataFrame, shape: tuple[int, int], sigma: float = 2.5, margin: float = 3.0, tile: int = 256, batch: int = 256) -> DataFrame:
     """(image, a, b, ax, ay, bx, by, a_A, a_sigma_x, a_sigma_y, b_A, b_sigma_x, b_sigma_y, separation, fitted) of pairs (image, a, b) of atoms (image, id, y, x).
 
     Both atoms are fitted in one box as two Gaussians: apart, each would be drawn to the other.

@@ -124,3 +124,14 @@ def test_previews_without_expiry_call_no_python(spark, tmp_path):
     preview.keep_updates(live, f"{tmp_path}/updates", f"{tmp_path}/checkpoint").awaitTermination()
     # what is no number is null, as it was
     assert {(r.k, r.v) for r in preview.preview(spark, f"{tmp_path}/updates", ("k",)).collect()} == {(0, 0.0), (1, None), (2, 2.0), (3, 3.0)}
+
+
+def test_dumbbell_tiles_repeat_few_pixels(spark):
+    import inspect
+
+    from scanweave.operators import halo, refine
+
+    tile = inspect.signature(refine.refined_pairs).parameters["tile"].default
+    side = 4 * tile
+    pixels = spark.range(0, side * side, 7).select(F.floor(F.col("id") / side).cast("int").alias("y"), (F.col("id") % side).cast("int").alias("x"))
+    assert halo.tiled(pixels, 10, tile).count() < 1.2 * pixels.count()
