@@ -10,17 +10,19 @@ around it; a threshold for each kind selects, and of selected spans that
 overlap, the one of the larger margin stays. Base spans are kept in any case,
 and what overlaps one is added only if its margin is larger still.
 
-The trees learn from two sources. One is the texts: a bounded sample of the
-documents with something like a number or an address (`max_docs`), where a
-proposed span is right if it meets a base span of its kind or passes its
+The trees learn from two sources. One is the texts, all of them and all their
+proposed spans: a span is right if it meets a base span of its kind or passes its
 checksum, or, for a secret, if a name is given its value there (`ASSIGNED`); forms that the base patterns don't
 know are left out. The other is a list of examples
 made up by rule (`training_examples`), for the spelled-out and spaced-out forms
-that texts seldom hold. Each kind's threshold is the least that is precise
-enough on held-out documents and on held-out examples, each by itself.
+that texts seldom hold; where spans of texts are more, examples weigh so much
+that both sources weigh about the same. Each kind's threshold is the least that is precise
+enough on all spans of held-out documents and on held-out examples, each by itself.
 
-The trees run as CASE expressions inside the plan, so a document's text never
-leaves the JVM and nothing but the sample is shuffled.
+Equal rows of features become one with a count, and Spark sums the histograms of
+which the trees are grown (`boosting.grow`). The trees run as CASE expressions
+inside the plan, so a document's text never leaves the JVM and nothing but those
+counts is shuffled.
 
 Positions: splitting a text by a pattern gives the gaps between its matches,
 and running sums of gap and match lengths give each match's place. Patterns are
@@ -31,14 +33,13 @@ may begin inside a run only where the last one ended.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .shared import let
+from .shared import let, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of spans: the base kinds, and one that has no base pattern.
@@ -230,73 +231,75 @@ def training_examples(most: int = 4000, seed: int = 7) -> list[tuple[int, str, s
     return out
 
 
-def _bar(margin: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The margin from which on spans are selected: halfway between the least that keeps the precision and the next one below, over all margins if none keeps it."""
-    least = boosting.threshold_at(margin, y, precision) if y.any() else np.inf
+def _bar(margin: np.ndarray, y: np.ndarray, n: np.ndarray, precision: float) -> float:
+    """The margin from which on spans are selected: halfway between the least that keeps the precision and the next one below, over all margins if none keeps it. A row stands for n spans, y of them right."""
+    least = boosting.threshold_at(margin, y, precision, n) if y.any() else np.inf
     if not y.any() or not (margin >= least).any():
         return float(margin.max()) + 1
     below = margin[margin < least]
     return (least + float(below.max())) / 2 if len(below) else -np.inf
 
 
-@lru_cache(maxsize=4)
-def _model(rows: bytes, precision: float) -> tuple[boosting.Forest, tuple[float, ...]]:
-    """rows: FEATURES, the label, whether the row is held out, and whether it is of a text."""
-    rows = np.frombuffer(rows, float).reshape(-1, len(FEATURES) + 3)
-    x, y, held, real = rows[:, : len(FEATURES)], rows[:, -3], rows[:, -2] > 0, rows[:, -1] > 0
-    forest = boosting.fit(x[~held], y[~held], trees=24, depth=3, rate=0.3)
-    margin, bars = forest.margin(x), []
-    for kind in range(len(NAMES)):
-        own = [held & (x[:, 0] == kind) & of for of in (real, ~real)]
-        bars.append(max([_bar(margin[at], y[at], precision) for at in own if at.any()], default=np.inf))
-    return forest, tuple(map(float, bars))
-
-
 def proposals(text: Column) -> Column:
     """All proposed spans of a text, by kind and start: array<struct<kind, start, end, m, left, right>>."""
     none = F.array().cast(SPANS)
     return F.flatten(F.array(*[F.when(text.rlike(PROPOSED_HINT[k]), _found(text, PROPOSED[k], i)).otherwise(none) for i, k in enumerate(NAMES)]))
 
 
-def labelled_proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 4000, each: int = 16) -> DataFrame:
-    """FEATURES, label, held and real of proposed spans in at most max_docs documents, the first `each` of each kind and document.
+def labelled_proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """kind, m, left, right, y (whether the span is right) and held: all proposed spans of all documents of whose form the base patterns say anything.
 
-    Documents with two digits in a row or an at sign are dealt into max_docs cells by a hash of the
-    id, and one of each cell is drawn; every fifth of them is held out. Rows without id teach nothing.
+    Every fifth document, by the CRC of its id, is held out; a row without id isn't.
     """
-    h = F.xxhash64("doc_id")
-    cols = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").rlike("@|[0-9]{2}"))
-    drawn = cols.groupBy(F.pmod(h, F.lit(max_docs)).alias("cell")).agg(F.min_by("doc_id", h).alias("its_id"))
-    # max_docs bounds the broadcast side, and an id has one text
-    texts = cols.join(F.broadcast(drawn), cols["doc_id"] == drawn["its_id"]).groupBy("doc_id").agg(F.min("text").alias("text"))
-    spans = F.flatten(F.array(*[F.slice(F.filter("proposed", _of_kind(i)), 1, each) for i in range(len(NAMES))]))
-    one = texts.withColumn("base", F.flatten(F.array(*base_spans(F.col("text")).values()))).withColumn("proposed", proposals(F.col("text"))).select("doc_id", "base", F.explode(spans).alias("c"))
-    c = F.col("c")
-    # a card that stands in a longer run of digits is no base span, and still one by its checksum
-    right = F.when(c["kind"] < len(KINDS), F.exists("base", lambda b: (b["kind"] == c["kind"]) & _clash(b, c)) | (c["kind"] == KINDS.index("card")) & c["m"].rlike("^[0-9]+$") & _valid("card", c["m"])).otherwise(c["left"].rlike(ASSIGNED))
-    # whether the base patterns say anything of the form: they say nothing of spelled-out addresses, of cards parted by other marks, or of telephone numbers without a plus sign
-    said = F.element_at(F.array(c["m"].rlike(r"^\S+@\S+$"), c["m"].rlike("^[0-9.]+$"), ~_valid("card", c["m"]) | F.exists("base", lambda b: _clash(b, c)), c["m"].startswith("+") | ~_valid("phone", c["m"]), F.lit(True)), c["kind"] + 1)
-    cols = [x.cast("double").alias(n) for n, x in zip(FEATURES, features(c["kind"], c["m"], c["left"], c["right"]), strict=True)]
-    return one.where(right | said).select(*cols, right.cast("double").alias("label"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).cast("double").alias("held"), F.lit(1.0).alias("real"))
-
-
-def _rows(df: DataFrame) -> np.ndarray:
-    """All rows of a bounded table of numbers."""
-    return np.stack([c.to_numpy() for c in df.toArrow().columns], axis=1).reshape(-1, len(FEATURES) + 3)
-
-
-@lru_cache(maxsize=4)
-def _made(spark: SparkSession, examples: int) -> np.ndarray:
-    """FEATURES, label, held and real of the examples made by rule."""
-    made = spark.createDataFrame([(*e, int(i % 4 == 0)) for i, e in enumerate(training_examples(examples))], "kind int, m string, left string, right string, label int, held int")
-    cols = [x.cast("double").alias(n) for n, x in zip(FEATURES, features(*(F.col(c) for c in ("kind", "m", "left", "right"))), strict=True)]
-    return _rows(made.select(*cols, F.col("label").cast("double"), F.col("held").cast("double"), F.lit(0.0).alias("real")))
-
-
-def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = 4000, precision: float = 0.99, max_docs: int = 4000) -> tuple[boosting.Forest, tuple[float, ...]]:
+
+    def labelled(text: Column) -> Column:
+        def one(base: Column, c: Column) -> Column:
+            # a card that stands in a longer run of digits is no base span, and still one by its checksum
+            right = F.when(c["kind"] < len(KINDS), _meets(c, base, lambda b: b["kind"] == c["kind"]) | (c["kind"] == KINDS.index("card")) & c["m"].rlike("^[0-9]+$") & _valid("card", c["m"])).otherwise(c["left"].rlike(ASSIGNED))
+            # whether the base patterns say anything of the form: they say nothing of spelled-out addresses, of cards parted by other marks, or of telephone numbers without a plus sign
+            said = (
+                F.when(c["kind"] == 0, c["m"].rlike(r"^\S+@\S+$")).when(c["kind"] == 1, c["m"].rlike("^[0-9.]+$")).when(c["kind"] == 2, ~_valid("card", c["m"]) | _meets(c, base))
+                .when(c["kind"] == 3, c["m"].startswith("+") | ~_valid("phone", c["m"])).otherwise(F.lit(True))
+            )
+            return F.struct(c.alias("c"), right.alias("right"), said.alias("said"))
+
+        base = _in_blocks(F.flatten(F.array(*base_spans(text).values())))
+        return let(proposals(text), lambda proposed: F.when(F.size(proposed) > 0, let(base, lambda b: F.transform(proposed, lambda c: one(b, c)))))
+
+    held = (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0) & F.col(id_col).isNotNull()
+    spans = docs.where(F.col(text_col).isNotNull()).select(held.alias("held"), F.explode(let(F.col(text_col), labelled)).alias("s"))
+    return spans.where("s.right or s.said").select(*[F.col("s")["c"][x].alias(x) for x in ("kind", "m", "left", "right")], F.col("s.right").cast("int").alias("y"), "held")
+
+
+def _examples(spark: SparkSession, examples: int) -> DataFrame:
+    """The examples made by rule, as labelled_proposals has the spans of texts; every fourth is held out."""
+    return spark.createDataFrame([(*e, i % 4 == 0) for i, e in enumerate(training_examples(examples))], "kind int, m string, left string, right string, y int, held boolean")
+
+
+def counted(spans: DataFrame) -> DataFrame:
+    """x (`boosting.steps` of FEATURES), y, held, real, and n, the number of spans with these."""
+    x = F.array(*[boosting.steps(f) for f in features(*(F.col(c) for c in ("kind", "m", "left", "right")))])
+    return spans.select(x.alias("x"), "y", "held", "real").groupBy("x", "y", "held", "real").agg(F.count("*").alias("n"))
+
+
+def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = 4000, precision: float = 0.99) -> tuple[boosting.Forest, tuple[float, ...]]:
     """The trees, and the margin from which on spans of each kind are selected (infinite for a kind that nothing is known of)."""
-    rows = np.concatenate([_made(docs.sparkSession, examples), _rows(labelled_proposals(docs, id_col, text_col, max_docs))])
-    return _model(np.ascontiguousarray(rows[np.lexsort(rows.T)]).tobytes(), precision)
+    spans = labelled_proposals(docs, id_col, text_col).withColumn("real", F.lit(True)).union(_examples(docs.sparkSession, examples).withColumn("real", F.lit(False)))
+    rows = materialise(counted(spans), "pii-rows").persist()
+    try:
+        n = {r.real: int(r.n) for r in rows.where("not held").groupBy("real").agg(F.sum("n").alias("n")).collect()}
+        weight = max(1, n.get(True, 0) // max(n.get(False, 0), 1))
+        forest = boosting.grow(rows.where("not held").select("x", "y", F.when(F.col("real"), F.col("n")).otherwise(F.col("n") * weight).alias("n")), trees=24, depth=3, rate=0.3)
+        # a row for each margin, of which there are as many as the trees have, not the texts
+        by_margin = rows.where("held").select("real", F.get("x", F.lit(0)).alias("kind"), forest.units().alias("margin"), "y", "n").groupBy("real", "kind", "margin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("y"))
+        real, kind, margin, n, y = (c.to_numpy() for c in by_margin.toArrow().columns)
+    finally:
+        rows.unpersist()
+    bars = []
+    for k in range(len(NAMES)):
+        own = [(kind == k) & of for of in (real, ~real)]
+        bars.append(max([_bar(margin[at] / boosting.UNIT, y[at], n[at], precision) for at in own if at.any()], default=np.inf))
+    return forest, tuple(map(float, bars))
 
 
 def _clash(a: Column, b: Column) -> Column:
@@ -304,13 +307,13 @@ def _clash(a: Column, b: Column) -> Column:
 
 
 def _in_blocks(spans: Column) -> Column:
-    """Spans in blocks of BLOCK, each with the least start and the greatest end in it."""
+    """Spans in blocks of BLOCK, each with the least start and the greatest end in it; of no spans, an empty block without them."""
 
     def block(i: Column) -> Column:
         part = F.slice(spans, i, BLOCK)
         return F.struct(F.array_min(F.transform(part, lambda s: s["start"])).alias("start"), F.array_max(F.transform(part, lambda s: s["end"])).alias("end"), part.alias("spans"))
 
-    return F.transform(F.sequence(F.lit(1), F.size(spans), F.lit(BLOCK)), block)
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(spans), F.lit(1)), F.lit(BLOCK)), block)
 
 
 def _meets(c: Column, blocks: Column, of: Callable[[Column], Column] | None = None) -> Column:
@@ -339,7 +342,7 @@ def strongest(spans: Column) -> Column:
     return let(_in_blocks(spans), resolved)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), examples: int = 4000, precision: float = 0.99, max_docs: int = 4000) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), examples: int = 4000, precision: float = 0.99) -> DataFrame:
     """docs' id and the columns in keep, with base and added: arrays of struct<kind, start, end, m>, by kind and start; and n_proposed, the proposed spans by kind.
 
     A null text is an empty one and has no spans; a null id is kept; repeated rows
@@ -349,7 +352,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     `strongest` says which stay; base spans stay in any case. Columns not named
     are dropped, so they can't clash.
     """
-    forest, margins = trained(docs, id_col, text_col, examples, precision, max_docs)
+    forest, margins = trained(docs, id_col, text_col, examples, precision)
 
     def judged(c: Column) -> Column:
         margin = let(F.array(*[f.cast("double") for f in features(c["kind"], c["m"], c["left"], c["right"])]), lambda f: forest.margin_column([F.get(f, i) for i in range(len(FEATURES))]))
